@@ -38,6 +38,11 @@ SHIPPED_TERMS = 200_000
 LOOKED_UP = 2
 
 
+def text_hash(text: Column) -> Column:
+    """Tells rows with one id, or none, apart by their text."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def words(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORDS), F.lit(0))
 
@@ -149,14 +154,17 @@ def rarest_terms(found: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def matches(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, occurrences, phrases): every row of docs (row, doc_id, n_words), the
+    """(rows, occurrences, phrases): every row of docs (row, doc_id, text_hash, n_words), the
     exact places (row, start, size, phrase) of benchmark phrases in them, and
     the phrases (item_id, phrase, size)."""
     found = stored(phrases(items, window), "phrases")
     wanted = stored(rarest_terms(found, docs, text_col), "wanted")
     terms = _shipped(wanted.select("term").distinct())
     index = stored(
-        docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), positions(F.col(text_col), terms, window - 1).alias("p")), "index"
+        docs.select(
+            F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), text_hash(F.col(text_col)).alias("text_hash"), positions(F.col(text_col), terms, window - 1).alias("p")
+        ),
+        "index",
     )
     postings = index.select("row", F.explode("p.hits").alias("h")).select("row", "h.term", "h.at", "h.lead", "h.context")
     shifted = postings.join(wanted, "term").select(
@@ -170,7 +178,7 @@ def matches(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "
         .where(F.col("lists") == F.least(F.lit(LOOKED_UP), F.col("size")))
         .select("row", "start", "size", "phrase")
     )
-    return index.select("row", "doc_id", F.col("p.n_words").alias("n_words")), places, found
+    return index.select("row", "doc_id", "text_hash", F.col("p.n_words").alias("n_words")), places, found
 
 
 def near_each_other(docs: DataFrame, items: DataFrame, within: int = 20, window: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -191,7 +199,7 @@ def near_each_other(docs: DataFrame, items: DataFrame, within: int = 20, window:
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every row of docs.
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, text_hash) of every row of docs.
 
     n_hit counts the words inside any occurrence of a phrase once.
     """
@@ -218,6 +226,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: s
             F.size(ids).cast("long").alias("n_items"),
             F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"),
             (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+            "text_hash",
         )
     )
 
