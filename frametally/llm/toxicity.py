@@ -2,19 +2,21 @@
 
 Lexicon.  From a bounded sample of labelled rows that aren't held out
 (``SAMPLE`` of them, by a hash of their id) the words are taken whose share of
-toxic documents is far above that of the others; a word must stand next to
-different words, so that one copied text can't put its rare words in.
+toxic documents is far above that of the others, and so are stems that begin
+several such words (inflected or compounded forms); a word counts by the different
+words it stands next to, so that one copied text can't put its rare words in.
 
 Misspellings.  The lexicon is a trie.  A word of a document that shares its
 first or last letters with a lexicon term (one edit leaves one end of a term
 intact) becomes a Levenshtein automaton, simulated on bit vectors, which is
 intersected with the trie: the walk follows only branches on which the automaton
-is alive.  Results are kept for each distinct word of a task.
+is alive.  Results are kept for each distinct word of a task.  A term whose near
+spellings are words of the sample's clean documents is matched exactly only.
 
 Context.  Each match is scored in a window of words around it: quotation marks
 and verbs of saying take from it, words that address someone add to it.  The
-weights of exact and misspelled matches, quoted and directed ones come from a
-logistic regression on the same sample; nothing but the text enters a score.
+weights of matches (a misspelled one counts as MISSPELLED of an exact one), of
+quoted and of directed ones come from a logistic regression on the same sample; nothing but the text enters a score.
 
 Defined results: a null text is empty; texts without a match, empty ones among
 them, all get the same low score; labels that are null or have no document are
@@ -32,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from frametally.llm import bytekernels as bk
-from frametally.llm.decontaminate import Terms
+from frametally.llm.decontaminate import Terms, words
 from frametally.llm.quality import remainder
 from frametally.llm.shared import stored
 
@@ -42,14 +44,21 @@ SAMPLE = 8000
 TERMS = 64
 #: Words on either side of a match that its context score looks at.
 WINDOW = 4
-#: Shortest term.
+#: Worth of a misspelled match.
+MISSPELLED = 0.8
+#: Near spellings of a term may stand in this share of the clean documents.
+SPELLINGS = 0.001
+#: Shortest term, and the lengths of stems.
 SHORTEST = 4
+STEMS = (5, 6, 7)
+#: A stem begins at least this many different words.
+FORMS = 4
 
 # Context words.
 SAYING = frozenset(b"said says say saying called calls word words term quote quoted quotes wrote writes dijo dice disait dit sagte sagt schrieb mot palabra wort".split())
 ADDRESSING = frozenset(b"you your yours yourself youre u ur du dich dein ihr tu te toi vous usted tus eres".split())
 _QUOTE = ("\"", "“", "”", "„", "«", "»", "‘", "’", "'", "`")
-FEATURES = ("exact", "misspelled", "quoted", "directed", "share", "terms")
+FEATURES = ("matches", "words", "quoted", "directed", "share", "terms", "stems", "stem_share")
 _memo: dict[tuple, dict[bytes, tuple[int, int]]] = {}
 
 
@@ -102,9 +111,11 @@ class Trie:
 
 @dataclass(frozen=True)
 class Lexicon:
-    """Terms with their weights: log odds of an exact match, and of a misspelled one."""
+    """Whole words, and stems that begin words."""
 
     terms: tuple[bytes, ...]
+    stems: tuple[bytes, ...] = ()
+    exact_only: frozenset[bytes] = frozenset()
 
     def edits(self, n: int) -> int:
         return 0 if n < SHORTEST else 1 if n < 8 else 2
@@ -123,13 +134,16 @@ class Matcher:
     """Finds the lexicon's terms, exact or misspelled, among the words of a chunk."""
 
     def __init__(self, lexicon: Lexicon):
-        self.lexicon, self.trie = lexicon, Trie(list(lexicon.terms))
+        self.lexicon = lexicon
+        spelt = [t for t in lexicon.terms if len(t) >= SHORTEST and t not in lexicon.exact_only]
+        self.trie, self.number = Trie(spelt), [lexicon.terms.index(t) for t in spelt]
         self.exact = Terms(np.array([bk.word_hash(t) for t in lexicon.terms], dtype=np.uint64))
         self.index = {bk.word_hash(t): i for i, t in enumerate(lexicon.terms)}
-        size = [len(t) for t in lexicon.terms] or [0]
+        size = [len(t) for t in spelt] or [0]
         self.shortest, self.longest = max(SHORTEST - 1, min(size) - 2), max(size) + 2
+        self.stems = [(n, Terms(np.array([bk.word_hash(t) for t in lexicon.stems if len(t) == n], dtype=np.uint64))) for n in sorted({*map(len, lexicon.stems)})]
         self.ends = {}
-        for n, own in ((2, [t for t in lexicon.terms if SHORTEST <= len(t) < 6]), (3, [t for t in lexicon.terms if len(t) >= 6])):
+        for n, own in ((2, [t for t in spelt if len(t) < 6]), (3, [t for t in spelt if len(t) >= 6])):
             for tail in (False, True):
                 bits = np.zeros(1 << 16, dtype=bool)
                 for t in own:
@@ -137,7 +151,7 @@ class Matcher:
                     bits[_ends(raw, np.array([0]), np.array([len(raw)]), n, tail)] = True
                 span = (min(map(len, own), default=1) - 2, max(map(len, own), default=0) + 2)
                 self.ends[n, tail] = (bits, span)
-        self.memo = _memo.setdefault(lexicon.terms, {})
+        self.memo = _memo.setdefault(tuple(spelt), {})
 
     def find(self, low: np.ndarray, h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word, term, edits) of every match, by rising word."""
@@ -162,8 +176,9 @@ class Matcher:
                 got = memo.get(w)
                 if got is None:
                     got = self.trie.within(w, self.lexicon.edits(len(w)))
-                    if got[0] >= 0 and got[1] > self.lexicon.edits(len(self.lexicon.terms[got[0]])):
-                        got = (-1, 0)
+                    if got[0] >= 0:
+                        term_ = self.number[got[0]]
+                        got = (term_, got[1]) if got[1] <= self.lexicon.edits(len(self.lexicon.terms[term_])) else (-1, 0)
                     memo[w] = got
                 if got[0] >= 0:
                     found.append((i, *got))
@@ -174,6 +189,17 @@ class Matcher:
                 return word[order], term[order], edits[order]
         return exact, term, np.zeros(len(exact), np.int64)
 
+    def stem_words(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Words that begin with a stem."""
+        if not self.stems:
+            return np.zeros(0, dtype=np.int64)
+        sums = bk.prefix_sums(low)
+        found = []
+        for n, stems in self.stems:
+            own = np.flatnonzero(ends - starts >= n)
+            found.append(own[stems.among(bk.range_hash(sums, starts[own], starts[own] + n))])
+        return np.unique(np.concatenate(found))
+
     def features(self, texts: pa.Array) -> np.ndarray:
         out = np.zeros((len(texts), len(FEATURES)))
         for a, _, buf, offsets in bk.text_chunks(texts):
@@ -193,13 +219,17 @@ class Matcher:
                     before = flat[max(starts[w] - 4, int(offsets[o])) : starts[w]].decode("utf-8", "ignore")
                 quoted = any(q in before for q in _QUOTE) and any(q in after for q in _QUOTE) or not near.isdisjoint(SAYING)
                 row = out[a + o]
-                row[0 if e == 0 else 1] += 1
+                row[0] += 1 if e == 0 else MISSPELLED
                 row[2] += quoted
                 row[3] += not near.isdisjoint(ADDRESSING)
                 seen.setdefault(o, set()).add(t)
             n = np.maximum(np.diff(first), 1)
             rows = slice(a, a + len(n))
-            out[rows, 4] = np.sqrt((out[rows, 0] + out[rows, 1]) / n)
+            stem = np.bincount(np.searchsorted(first, self.stem_words(low, starts, ends), side="right") - 1, minlength=len(n))
+            out[rows, 6] = np.log1p(stem)
+            out[rows, 7] = np.sqrt(stem / n)
+            out[rows, 1] = n
+            out[rows, 4] = np.sqrt(out[rows, 0] / n)
             for o, s in seen.items():
                 out[a + o, 5] = np.log1p(len(s))
         out[:, :4] = np.log1p(out[:, :4])
@@ -243,29 +273,52 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, folds: int = 5, held: in
 
 
 def learn_lexicon(sample: DataFrame, terms: int = TERMS) -> Lexicon:
-    """The words that set toxic documents of the sample apart.
+    """The words and stems that set toxic documents of the sample apart.
 
-    A word counts by the distinct words before it, not by its occurrences.
+    Each counts by the distinct words before it, not by its occurrences.
     """
-    from frametally.llm.decontaminate import words
-
     total = {r.label: r.n for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not total.get(0) or not total.get(1):
         return Lexicon(())
     w = sample.select("label", words(F.col("text")).alias("w"))
     pairs = w.select("label", F.explode(F.expr("transform(w, (v, i) -> named_struct('w', v, 'b', if(i = 0, '', w[i - 1])))")).alias("x"))
+    pairs = pairs.select("label", F.col("x.w").alias("word"), F.col("x.b").alias("before")).where(F.octet_length("word") >= SHORTEST).distinct()
+    keys = F.array(F.struct(F.lit(0).alias("n"), F.col("word").alias("key")), *[F.struct(F.lit(n).alias("n"), F.substring("word", 1, n).alias("key")) for n in STEMS])
+    toxic, clean = F.col("label") == 1, F.col("label") == 0
     counted = (
-        pairs.select("label", F.col("x.w").alias("word"), F.col("x.b").alias("before"))
-        .where(F.octet_length("word") >= SHORTEST)
-        .groupBy("label", "word", "before")
-        .agg(F.lit(1).alias("one"))
-        .groupBy("word")
-        .agg(F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).alias("toxic"), F.sum(F.when(F.col("label") == 0, 1).otherwise(0)).alias("clean"))
+        pairs.withColumn("k", F.explode(F.filter(keys, lambda k: (k["n"] == 0) | (F.length("word") >= k["n"]))))
+        .groupBy("k.n", "k.key")
+        .agg(F.count(F.when(toxic, 1)).alias("toxic"), F.count(F.when(clean, 1)).alias("clean"), F.approx_count_distinct(F.when(toxic, F.col("word"))).alias("forms"))
     )
     odds = F.log((F.col("toxic") + 0.5) / total[1] / ((F.col("clean") + 0.5) / total[0]))
-    rated = counted.where(F.col("toxic") >= max(3, round(0.02 * total[1]))).withColumn("odds", odds).where("odds > 3")
-    best = rated.orderBy(F.desc(F.col("toxic") * F.col("odds")), "word").limit(terms).collect()
-    return Lexicon(tuple(sorted(r.word.encode() for r in best)))
+    rated = counted.where(F.col("toxic") >= max(3, round(0.02 * total[1]))).withColumn("odds", odds).where("odds > 3").where((F.col("n") == 0) | (F.col("forms") >= FORMS))
+    best = rated.orderBy(F.desc(F.col("toxic") * F.col("odds")), "n", "key").limit(8 * terms).collect()
+    stems: list[bytes] = []
+    for key in (r.key.encode() for r in best if r.n):
+        if len(stems) < terms and not any(key.startswith(s) or s.startswith(key) for s in stems):
+            stems.append(key)
+    whole = [k for k in (r.key.encode() for r in best if not r.n) if not k.startswith(tuple(stems))]
+    return Lexicon(tuple(sorted(whole[:terms])), tuple(sorted(stems)))
+
+
+def spellings(lexicon: Lexicon, sample: DataFrame) -> Lexicon:
+    """The lexicon with those terms marked whose near spellings stand in clean documents."""
+
+    @F.arrow_udf("array<int>")
+    def near(texts: pa.Array) -> pa.Array:
+        matcher, out = Matcher(lexicon), [set() for _ in range(len(texts))]
+        for a, _, buf, offsets in bk.text_chunks(texts):
+            low = bk.LOWER[buf]
+            h, starts, ends, first = bk.word_hashes(low, offsets, bk.WORD, lower=False)
+            word, term, edits = matcher.find(low, h, starts, ends)
+            for o, t in zip((np.searchsorted(first, word[edits > 0], side="right") - 1).tolist(), term[edits > 0].tolist()):
+                out[a + o].add(t)
+        return pa.array([sorted(x) for x in out], pa.list_(pa.int32()))
+
+    clean = sample.where("label = 0")
+    most = max(1, SPELLINGS * clean.count())
+    common = clean.select(F.explode(near(F.col("text"))).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).collect()
+    return Lexicon(lexicon.terms, lexicon.stems, frozenset(lexicon.terms[r.t] for r in common))
 
 
 def features(lexicon: Lexicon, text: Column) -> Column:
@@ -279,7 +332,7 @@ def features(lexicon: Lexicon, text: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, most: int = SAMPLE) -> Model:
     sample = labelled_sample(docs, labels, folds, held, most)
-    lexicon = learn_lexicon(sample)
+    lexicon = spellings(learn_lexicon(sample), sample)
     rows = sample.select("label", features(lexicon, F.col("text")).alias("x")).orderBy("x", "label").collect()  # SAMPLE rows at most
     y = np.array([r.label for r in rows], dtype=float)
     if not len(rows) or y.min() == y.max():
