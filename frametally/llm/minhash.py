@@ -20,8 +20,8 @@ other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +29,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from frametally.llm import bytekernels as bk
-from frametally.llm.shared import components, stored
+from frametally.llm.shared import bucket_pairs, components, stored
 
 PERMUTATIONS = 128
 SHINGLE = 5
 #: Bands and the permutations in each: pairs of likeness 0.8 share a band with probability 0.998.
 BANDS, ROWS = 21, 6
+#: Rows in a slice of neighbouring ids, about, and slices at most.
+SLICE, MOST_SLICES = 4000, 4000
 
 _draw = np.random.default_rng(20240229)
 _A = _draw.integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -132,51 +134,31 @@ def edited_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     the next document of the last one.  Texts are shuffled once.
     """
     spark = docs.sparkSession
-    slices = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    total = rows.count()
+    slices = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_SLICES, total // SLICE))
     cuts = sorted(set(rows.agg(F.percentile_approx("doc_id", [i / slices for i in range(1, slices)], 100 * slices)).first()[0] or []))
-    slice_ = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0)
-    slice_ = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(slice_)
+    # the slice is the number of cuts up to the id: counted among every step-th cut, then among those between
+    step = max(1, math.isqrt(len(cuts)))
+    coarse = F.size(F.filter(F.array(*map(F.lit, cuts[step - 1 :: step])), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0)
+    fine = [cuts[i : i + step] for i in range(0, max(len(cuts), 1), step)]
+    rest = F.size(F.filter(F.get(F.array(*[F.array(*map(F.lit, f)).cast("array<bigint>") for f in [*fine, []]]), coarse), lambda c: c <= F.col("doc_id")))
+    slice_ = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(coarse * step + rest + 1)
     firsts = rows.select(slice_.alias("slice"), "doc_id").groupBy("slice").agg(F.min("doc_id").alias("first")).orderBy("slice").collect()  # one row for each slice
-    before = {r["slice"]: firsts[i - 1]["slice"] for i, r in enumerate(firsts)}
-    keys = [F.struct(F.lit(r["slice"]).alias("slice"), F.lit(r["first"]).cast("long").alias("first"), F.lit(before[r["slice"]]).alias("to")) for r in firsts]
-    if not keys:
+    if not firsts:
         return spark.createDataFrame([], _EDITED)
-    dealt = rows.withColumn("slice", slice_).withColumn("edge", F.filter(F.array(*keys), lambda k: (k["slice"] == F.col("slice")) & k["first"].eqNullSafe(F.col("doc_id"))))
-    copies = F.concat(F.array(F.struct("slice", F.lit(0).alias("halo"))), F.transform("edge", lambda k: F.struct(k["to"].alias("slice"), F.lit(1).alias("halo"))))
-    sent = dealt.select(F.explode(copies).alias("c"), "doc_id", "text").select("c.slice", "c.halo", "doc_id", "text")
+    first, to = [None] * (firsts[-1]["slice"] + 1), [None] * (firsts[-1]["slice"] + 1)
+    for i, r in enumerate(firsts):
+        first[r["slice"]], to[r["slice"]] = r["first"], firsts[i - 1]["slice"]
+    at = [F.get(F.array(*map(F.lit, x)).cast("array<bigint>"), F.col("slice")) for x in (first, to)]
+    dealt = rows.withColumn("slice", slice_).withColumns({"first": at[0], "to": at[1]})
+    own = F.struct(F.col("slice").cast("long").alias("slice"), F.lit(0).alias("halo"))
+    sent = dealt.withColumn("c", F.when(F.col("first").eqNullSafe(F.col("doc_id")), F.array(own, F.struct(F.col("to").alias("slice"), F.lit(1).alias("halo")))).otherwise(F.array(own)))
+    sent = sent.select(F.explode("c").alias("c"), "doc_id", "text").select("c.slice", "c.halo", "doc_id", "text")
     ordered = sent.repartition(slices, "slice").sortWithinPartitions("slice", "halo", "doc_id", "text")
     return ordered.select("halo", "doc_id", "text").mapInArrow(_pairs, _EDITED)
 
 
-def _band_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of rows (key, node) sorted by key: each with its bucket's first and with the one before."""
-    rest = None
-
-    def links(key: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
-        new = np.ones(len(key), dtype=bool)
-        new[1:] = key[1:] != key[:-1]
-        first = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
-        i = np.flatnonzero(~new)
-        a, b = np.concatenate([node[first[i]], node[i - 1]]), np.concatenate([node[i], node[i]])
-        low, high = np.minimum(a, b), np.maximum(a, b)
-        pair = np.unique(np.stack([low, high], axis=1)[low != high], axis=0)
-        return pa.record_batch([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
-
-    for batch in batches:
-        now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(2)]
-        if rest is not None:
-            now = [np.concatenate(x) for x in zip(rest, now)]
-        if not len(now[0]):
-            continue
-        cut = int(np.searchsorted(now[0], now[0][-1]))
-        if cut:
-            yield links(now[0][:cut], now[1][:cut])
-        rest = [x[cut:] for x in now]
-    if rest is not None:
-        yield links(*rest)
-
-
 def shingle_set(text: Column) -> Column:
     """The distinct shingle hashes of each text, in order."""
 
@@ -204,7 +186,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
     width = 4 * ROWS
     keys = F.array(*[F.xxhash64(F.lit(b), F.substring("p", b * width + 1, width)) for b in range(BANDS)])
     dealt = nodes.where("p <> ''").select(F.explode(keys).alias("key"), "node").repartition("key").sortWithinPartitions("key", "node")
-    pairs = stored(dealt.mapInArrow(_band_links, "a long, b long").distinct(), "pairs")
+    pairs = stored(dealt.mapInArrow(bucket_pairs, "a long, b long").distinct(), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     texts = docs.select(F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("node"), F.col(text_col).alias("text")).join(wanted, "node", "left_semi").dropDuplicates(["node"])
     sets = stored(texts.select("node", shingle_set(F.col("text")).alias("s")), "sets")

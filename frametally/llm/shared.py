@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +54,34 @@ def dropped(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs (a, b), a < b, of rows (key, node) sorted by key: each node of a bucket with the
+    bucket's first and with the one before it, never all with all.  A bucket may cross batches."""
+    rest = None
+
+    def pairs(key: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+        new = np.ones(len(key), dtype=bool)
+        new[1:] = key[1:] != key[:-1]
+        first = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+        i = np.flatnonzero(~new)
+        a, b = np.concatenate([node[first[i]], node[i - 1]]), np.concatenate([node[i], node[i]])
+        pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b], axis=0)
+        return pa.record_batch([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
+
+    for batch in batches:
+        now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(2)]
+        if rest is not None:
+            now = [np.concatenate(x) for x in zip(rest, now)]
+        if not len(now[0]):
+            continue
+        cut = int(np.searchsorted(now[0], now[0][-1]))
+        if cut:
+            yield pairs(now[0][:cut], now[1][:cut])
+        rest = [x[cut:] for x in now]
+    if rest is not None:
+        yield pairs(*rest)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable, for every node in an edge.
 

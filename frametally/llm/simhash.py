@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from frametally.llm import bytekernels as bk
-from frametally.llm.shared import components, stored
+from frametally.llm.shared import bucket_pairs, components, stored
 
 SEED = 42
 
@@ -179,6 +179,70 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
+#: A wide fingerprint's words of 64 bits; tables of keys and the bits of a key (see :func:`similar`).
+WIDE, TABLES, KEY_BITS = 8, 110, 23
+#: Room for the estimate's error, as a share of the bits.
+SLACK = 0.016
+_draw = np.random.default_rng(64)
+_ODD = _draw.integers(1, 1 << 63, WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_CHOSEN = np.stack([_draw.permutation(64 * WIDE)[:KEY_BITS] for _ in range(TABLES)])
+
+
+def wide_fingerprint(text: Column, k: int = 5) -> Column:
+    """WIDE SimHashes of a text's k-word shingles under different hash functions, as longs."""
+
+    @F.arrow_udf("array<long>")
+    def simhashes(texts: pa.Array) -> pa.Array:
+        out = np.zeros((len(texts), WIDE), dtype=np.uint64)
+        for a, b, buf, offsets in bk.text_chunks(texts):
+            h, _, _, first = bk.word_hashes(buf, offsets, bk.TOKEN)
+            s, at = bk.shingles(h, first, k)
+            with np.errstate(over="ignore"):
+                for i in range(WIDE):
+                    out[a:b, i] = majority_bits(bk.mix(s * _ODD[i]), at)
+        return pa.ListArray.from_arrays(np.arange(0, out.size + 1, WIDE, dtype=np.int32), bk.signed(out.ravel()))
+
+    return simhashes(text)
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, node) of rows (wide fingerprint, node): one for each table."""
+    weight = (1 << np.arange(KEY_BITS)).astype(np.int64)
+    for batch in batches:
+        wide = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, WIDE)
+        node = batch.column(1).to_numpy(zero_copy_only=False)
+        for i in range(0, len(node), 512):
+            bits = np.unpackbits(np.ascontiguousarray(wide[i : i + 512]).view(np.uint8), axis=1, bitorder="little")
+            key = bits[:, _CHOSEN].astype(np.int64) @ weight + (np.arange(TABLES) << KEY_BITS)
+            yield pa.record_batch([pa.array(key.ravel()), pa.array(np.repeat(node[i : i + 512], TABLES))], names=["key", "node"])
+
+
+def similar(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
+    """(doc_id, component_id) of every row: near-duplicates by the Jaccard likeness of k-word shingles.
+
+    At a likeness of 0.8 about 15 % of SimHash bits differ, too many for the
+    pigeonhole principle.  Wide fingerprints of 512 bits are cut into keys of
+    KEY_BITS bits drawn at random, TABLES of them; documents that agree in a
+    key are candidates (a pair of likeness 0.8 with probability 0.92, of 0.9
+    with 0.9999), and are linked if their Hamming distance over all bits is
+    that of the wanted likeness or less.  A bucket's candidates are its members
+    with its first and with the one before, so no group makes all its pairs.
+    """
+    cosine = 2 * similarity / (1 + similarity)
+    most = int(64 * WIDE * (np.arccos(cosine) / np.pi + SLACK))
+    prints = stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), wide_fingerprint(F.col(text_col), k).alias("wide")), "wide")
+    reps = stored(prints.groupBy("wide").agg(F.min("doc_id").alias("rep")), "reps")
+    known = reps.where("rep is not null")
+    dealt = known.select("wide", "rep").mapInArrow(_keyed, "key long, node long").repartition("key").sortWithinPartitions("key", "node")
+    pairs = dealt.mapInArrow(bucket_pairs, "a long, b long").distinct()
+    sides = [known.select(F.col("rep").alias(n), F.col("wide").alias(f"w{n}")) for n in "ab"]
+    both = pairs.join(sides[0], "a").join(sides[1], "b")
+    distance = sum((F.bit_count(F.col("wa")[i].bitwiseXOR(F.col("wb")[i])) for i in range(WIDE)), F.lit(0))
+    found = components(both.where(distance <= most).select("a", "b"))
+    named = reps.join(found, reps.rep == found.node, "left").select("wide", F.coalesce("component", "rep").alias("component_id"))
+    return prints.join(named, "wide").select("doc_id", "component_id")
+
+
 def hex_print(col: Column) -> Column:
     """16 lowercase hex digits."""
     return F.lpad(F.lower(F.hex(col)), 16, "0")
