@@ -165,6 +165,16 @@ def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
             yield pa.record_batch([pa.array(np.concatenate(h)), pa.array(of, pa.int64()), pa.array(np.concatenate(start)), pa.array(n, pa.int64())], names=["w", "seg", "start", "n"])
 
 
+def _joined_ranges(ranges: str) -> Column:
+    """Ranges of starts (a, b), sorted, those that touch or overlap made one."""
+    return F.expr(f"""
+      aggregate(array_sort({ranges}), cast(array() as array<struct<a:int,b:int>>), (st, x) ->
+        CASE WHEN size(st) > 0 AND x.a <= element_at(st, -1).b + 1
+             THEN concat(slice(st, 1, size(st) - 1), array(named_struct('a', element_at(st, -1).a, 'b', greatest(element_at(st, -1).b, x.b))))
+             ELSE concat(st, array(x)) END)
+    """)
+
+
 def _sort(rows: DataFrame, length: int) -> DataFrame:
     """(seg, hits) of rows (h, seg, bytes)."""
     return rows.select("h", "seg", "bytes").repartition("h").sortWithinPartitions("h").mapInArrow(partial(_sorted_shards, length=length), "seg long, hits array<struct<a:int,b:int>>")
@@ -222,7 +232,8 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, id_c
         found = stored(found, "found")
         hits = hits.unionByName(_sort(found.join(crowd, "h", "left_anti"), length))
         hits = hits.unionByName(_hot_hits(found.join(crowd, "h", "left_semi"), length))
-    hits = stored(hits, "hits")
+    # one row for each class, its ranges merged, so that the join below makes one row for each member
+    hits = stored(hits.groupBy("seg").agg(F.flatten(F.collect_list("hits")).alias("hits")).select("seg", _joined_ranges("hits").alias("hits")), "hits")
     placed = shared.select("row", "seg", "first").join(hits, "seg").select("row", F.explode(F.expr(f"transform(hits, x -> named_struct('a', x.a + first, 'b', x.b + first + {length}))")).alias("x"))
     spans = placed.groupBy("row").agg(F.collect_list("x").alias("spans"))
     return index.select("row", "k1", "k2").join(spans, "row").dropDuplicates(["k1", "k2"]).drop("row")

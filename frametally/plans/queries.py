@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from frametally.functions import addresses, containers, layout, rates, urls
-from frametally.operators import decide, hull, pixels, quant, sweep, verify
+from frametally.operators import decide, hull, pixels, quant, spectrum, sweep, verify
 from frametally.plans.views import duckdb_sql, view
-from frametally.sources import receipts
+from frametally.sources import pages, receipts
 from frametally.streaming import limits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -296,6 +296,12 @@ def encode_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels.generations(pixels.periodicity(histogram, "image"), "image")
 
 
+@query()
+def effective_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rings = spectrum.planes(_tiled(spark, sf_dir), "image").withColumn("spectrum", spectrum.spectrum(F.col("plane")))
+    return rings.where("spectrum is not null").select("image", F.round(pixels.effective_share("spectrum"), 6).alias("share"))
+
+
 # ---- quantisation tables -------------------------------------------------------------
 
 
@@ -363,6 +369,20 @@ def capped_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.capped(view(spark, sf_dir, "page_items"), "page", "idx", "bytes", 4, 20000).select("page", "idx")
 
 
+@query("""WITH n AS (SELECT page_id, 'http' || substr(split_part(split_part(url, '#', 1), '?', 1), 5) AS base, regexp_extract(url, '^[a-z]+://[^/]+', 0) AS host FROM pages)
+ SELECT page_id, CAST(0 AS INT) AS idx, host || '/hero' || page_id || '.jpg' AS url, 'img' AS kind, false AS lazy, CAST(1200 AS BIGINT) AS attr_w, host || '/hero-800.jpg 800w|' || host || '/hero-2x.jpg 2x' AS listed FROM n
+ UNION ALL SELECT page_id, 1, host || '/bg.png', 'background', false, NULL, '' FROM n UNION ALL SELECT page_id, 2, host || '/lazy.png', 'img', true, page_id % 7 + 1, '' FROM n""")
+def page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = view(spark, sf_dir, "pages")
+    tags = F.concat(
+        F.lit("<style>.hero{width:50%} @media x{img{width:1px}}</style><img class=hero src='/hero"), F.col("page_id").cast("string"), F.lit(".jpg' width=1200 srcset='/hero-2x.jpg 2x, /hero-800.jpg 800w, /bad.jpg 7q'>"),
+        F.lit("<div style=\"background: url('/bg.png') no-repeat\"></div><img src='data:image/png;base64,x'><img src='/lazy.png' loading=lazy width='"), (F.col("page_id") % 7 + 1).cast("string"), F.lit("'>"),
+    )
+    i = pages.images(p.withColumn("html", F.concat(tags, F.coalesce("html", F.lit("")))))
+    listed = F.array_join(F.transform("srcset", lambda e: F.concat_ws(" ", e["url"], e["descriptor"])), "|")
+    return i.select("page_id", "idx", "url", "kind", "lazy", "attr_w", listed.alias("listed"))
+
+
 # ---- URLs, addresses, containers ------------------------------------------------------
 
 
@@ -456,7 +476,7 @@ def rate_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limits.limit_batch(_requests(spark, sf_dir), ((3_600_000, 2), (86_400_000, 10)))
 
 
-@query("""WITH q AS (SELECT event_type AS url, event_id, epoch_ms(ts) AS t, row_number() OVER (PARTITION BY event_type ORDER BY epoch_ms(ts), event_id) AS k FROM {requests_raw}),
+@query("""WITH q AS (SELECT event_type AS url, event_id, epoch_us(ts) // 1000 AS t, row_number() OVER (PARTITION BY event_type ORDER BY epoch_us(ts) // 1000, event_id) AS k FROM {requests_raw}),
  s AS (SELECT url, event_id, t, k, false AS hit, t + 600000 AS until FROM q WHERE k = 1
    UNION ALL SELECT q.url, q.event_id, q.t, q.k, q.t < s.until, CASE WHEN q.t < s.until THEN s.until ELSE q.t + 600000 END FROM s JOIN q ON q.url = s.url AND q.k = s.k + 1)
  SELECT url, event_id, t AS "at", hit FROM s""")
