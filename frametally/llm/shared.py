@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -98,11 +98,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # large star: every larger neighbour of a node moves to the node's smallest neighbour
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        # small star: the node and its smaller neighbours move to the smallest of them
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # small star: the node and its smaller neighbours, few after a large star, move to the smallest of them
         small = (
-            large.join(low2, "u")
+            large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
             .select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x"))
             .select(F.col("x.v").alias("u"), F.col("x.m").alias("v"))
             .where("u <> v")
