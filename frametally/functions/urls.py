@@ -76,7 +76,7 @@ def wordpress(url: Column) -> Column:
 def nextjs(url: Column) -> Column:
     """The image an optimiser's url parameter names."""
     p = parts(url)
-    raw = value_of(F.filter(pairs(p["query"]), lambda x: key_of(x) == "url")[0])
+    raw = value_of(F.get(F.filter(pairs(p["query"]), lambda x: key_of(x) == "url"), F.lit(0)))
     # url_decode reads + as a space, which percent decoding of a component doesn't
     decoded = F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B")))
     target = F.when(decoded.rlike(r"^((?i)https?:)?//"), decoded).when(decoded.startswith("/"), F.concat(origin(url), decoded))
@@ -128,7 +128,7 @@ def descriptor(text: Column) -> Column:
 def srcset(url: Column, entries: Column) -> Column:
     """Entries (url, descriptor) larger than the one in use; all others, largest first, where the URL isn't listed."""
     entries = F.coalesce(entries, F.array().cast("array<struct<url:string,descriptor:string>>"))
-    now = descriptor(F.filter(entries, lambda e: e["url"] == url)[0]["descriptor"])
+    now = descriptor(F.get(F.filter(entries, lambda e: e["url"] == url), F.lit(0))["descriptor"])
     rest = F.transform(F.filter(entries, lambda e: e["url"] != url), lambda e, i: F.struct(descriptor(e["descriptor"]).alias("d"), i.alias("i"), e["url"].alias("url")))
     pool = F.filter(rest, lambda e: now.isNull() | (e["d"]["unit"] == now["unit"]) & (e["d"]["value"] > now["value"]))
     ranked = F.array_sort(F.transform(pool, lambda e: F.struct((-F.coalesce(e["d"]["value"], F.lit(0.0))).alias("rank"), e["i"].alias("i"), e["url"].alias("url"))))

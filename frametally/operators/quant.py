@@ -73,17 +73,17 @@ def signature(table: Column, precision: int = 0) -> Column:
 def subsampling(factors: Column) -> Column:
     """Chroma subsampling of an array of (h, v) structs, one for each component."""
     h, v = F.transform(factors, lambda f: f["h"]), F.transform(factors, lambda f: f["v"])
-    three = (F.size(factors) == 3) & (h[1] == 1) & (v[1] == 1) & (h[2] == 1) & (v[2] == 1)
+    three = (F.size(factors) == 3) & (F.get(h, F.lit(1)) == 1) & (F.get(v, F.lit(1)) == 1) & (F.get(h, F.lit(2)) == 1) & (F.get(v, F.lit(2)) == 1)
     return (
         F.when(F.size(factors) == 1, "none")
-        .when(three & (h[0] == 1) & (v[0] == 1), "4:4:4")
-        .when(three & (h[0] == 2) & (v[0] == 1), "4:2:2")
-        .when(three & (h[0] == 2) & (v[0] == 2), "4:2:0")
+        .when(three & (F.get(h, F.lit(0)) == 1) & (F.get(v, F.lit(0)) == 1), "4:4:4")
+        .when(three & (F.get(h, F.lit(0)) == 2) & (F.get(v, F.lit(0)) == 1), "4:2:2")
+        .when(three & (F.get(h, F.lit(0)) == 2) & (F.get(v, F.lit(0)) == 2), "4:2:0")
     )
 
 
 def bound_tables(tables: str = "tables", components: str = "components") -> Column:
     """struct(luma, chroma): the first component's table and the second's, by table id; ids 0 and 1 without components."""
     return F.expr(f"""named_struct(
-      'luma', filter({tables}, t -> t.id = coalesce({components}[0].table, 0))[0],
-      'chroma', CASE WHEN size({components}) = 1 THEN null ELSE filter({tables}, t -> t.id = coalesce({components}[1].table, 1))[0] END)""")
+      'luma', get(filter({tables}, t -> t.id = coalesce(get({components}, 0).table, 0)), 0),
+      'chroma', CASE WHEN size({components}) = 1 THEN null ELSE get(filter({tables}, t -> t.id = coalesce(get({components}, 1).table, 1)), 0) END)""")
