@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from frametally.llm import bytekernels as bk
-from frametally.llm.shared import bucket_pairs, components, stored
+from frametally.llm.shared import bucket_components, stored
 
 PERMUTATIONS = 128
 SHINGLE = 5
@@ -174,26 +174,31 @@ def shingle_set(text: Column) -> Column:
     return shingled(text)
 
 
+def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets (node, s) have the Jaccard likeness or more."""
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, class_id): the smallest id of the documents linked, directly or by others, at the similarity or above.
 
-    Equal texts are one node.  In a bucket a node is paired with the bucket's
-    first node and with the one before it, not with all; pairs are verified on
-    the shingle sets.
+    Equal texts are one node.  Pairs that share a band are verified on the
+    shingle sets (see ``bucket_components``).
     """
     rows = stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("node"), fingerprint(F.col(text_col)).alias("p")), "minhash")
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("p").alias("p"))
     width = 4 * ROWS
     keys = F.array(*[F.xxhash64(F.lit(b), F.substring("p", b * width + 1, width)) for b in range(BANDS)])
-    dealt = nodes.where("p <> ''").select(F.explode(keys).alias("key"), "node").repartition("key").sortWithinPartitions("key", "node")
-    pairs = stored(dealt.mapInArrow(bucket_pairs, "a long, b long").distinct(), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = docs.select(F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("node"), F.col(text_col).alias("text")).join(wanted, "node", "left_semi").dropDuplicates(["node"])
-    sets = stored(texts.select("node", shingle_set(F.col("text")).alias("s")), "sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    linked = both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
-    found = stored(components(linked), "classes")
+    dealt = nodes.where("p <> ''").select(F.explode(keys).alias("key"), "node")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        texts = docs.select(F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("node"), F.col(text_col).alias("text")).join(wanted, "node", "left_semi").dropDuplicates(["node"])
+        return alike(pairs, stored(texts.select("node", shingle_set(F.col("text")).alias("s")), "sets"), similarity)
+
+    found = stored(bucket_components(dealt, nodes.select("node", F.array().cast("array<bigint>").alias("wide")), verified), "classes")
     named = nodes.select("node", "rep").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     low = named.groupBy("component").agg(F.min("rep").alias("class_id"))
     return rows.select("doc_id", "node").join(named.join(low, "component").select("node", "class_id"), "node").select("doc_id", "class_id")

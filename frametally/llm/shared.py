@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -54,32 +55,118 @@ def dropped(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs (a, b), a < b, of rows (key, node) sorted by key: each node of a bucket with the
-    bucket's first and with the one before it, never all with all.  A bucket may cross batches."""
+#: Leading rows of a bucket that each row of it is tested against at first, and pairs tested at a time.
+LEAD, BLOCK = 64, 1 << 20
+
+
+def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows (key, node), sorted by both, whose key has another node; equal rows count once."""
+    rest = None
+    for batch in batches:
+        key, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+        if not len(key):
+            continue
+        new = np.ones(len(key), dtype=bool)
+        new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+        key, node, out = key[new], node[new], []
+        if rest is not None:
+            if rest[:2] == (key[0], node[0]):
+                key, node = key[1:], node[1:]
+            key, node = np.concatenate([[rest[0]], key]), np.concatenate([[rest[1]], node])
+        same = key[1:] == key[:-1]
+        some = np.zeros(len(key), dtype=bool)
+        some[1:] = same
+        some[:-1] |= same
+        if rest is not None:
+            some[0] &= not rest[2]
+        # the last row waits for the next one, unless it is known to have met another
+        rest = (key[-1], node[-1], bool(len(same) and same[-1]) or len(key) == 1 and rest is not None and rest[2])
+        yield pa.record_batch([pa.array(key[some]), pa.array(node[some])], names=["key", "node"])
+
+
+def bucket_pairs(batches: Iterator[pa.RecordBatch], most: int, whole: bool) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs (a, b), a < b, of rows (key, node, part, wide) sorted by key and node.
+
+    Nodes whose fingerprints differ in at most ``most`` bits may pair (any may
+    where fingerprints are empty).  ``whole``: all such pairs of nodes of
+    different parts.  Otherwise each node with the first such among the LEAD
+    first nodes of its bucket or, without one, with the node before it.  A
+    bucket may cross batches.
+    """
     rest = None
 
-    def pairs(key: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+    def near(wide: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        apart = np.zeros(len(i), dtype=np.int64)
+        for w in range(wide.shape[1]):
+            apart += np.bitwise_count(wide[i, w] ^ wide[j, w])
+        return apart <= most
+
+    def pairs(key: np.ndarray, node: np.ndarray, part: np.ndarray, wide: np.ndarray) -> Iterator[pa.RecordBatch]:
         new = np.ones(len(key), dtype=bool)
         new[1:] = key[1:] != key[:-1]
         first = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
-        i = np.flatnonzero(~new)
-        a, b = np.concatenate([node[first[i]], node[i - 1]]), np.concatenate([node[i], node[i]])
-        pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b], axis=0)
-        return pa.record_batch([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
+        count = np.arange(len(key)) - first
+        if not whole:
+            count = np.minimum(count, LEAD)
+        to = np.cumsum(count)
+        at = 0
+        while at < len(key):
+            end = max(at + 1, int(np.searchsorted(to, (to[at - 1] if at else 0) + BLOCK, side="right")))
+            n = count[at:end]
+            i = np.repeat(np.arange(at, end), n)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + first[i]
+            apart = part[i] != part[j]
+            i, j = i[apart], j[apart]
+            ok = near(wide, i, j)
+            i, j = i[ok], j[ok]
+            if not whole:
+                i, one = np.unique(i, return_index=True)
+                j = j[one]
+                left = np.setdiff1d(np.arange(at, end)[n > 0], i)
+                left = left[near(wide, left, left - 1)]
+                i, j = np.concatenate([i, left]), np.concatenate([j, left - 1])
+            a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+            yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+            at = end
+
+    def bits(column: pa.Array) -> np.ndarray:
+        flat = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        return flat.reshape(len(column), len(flat) // max(len(column), 1))
 
     for batch in batches:
-        now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(2)]
-        if rest is not None:
-            now = [np.concatenate(x) for x in zip(rest, now)]
+        now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)] + [bits(batch.column(3))]
         if not len(now[0]):
             continue
+        if rest is not None:
+            now = [np.concatenate(x) for x in zip(rest, now)]
         cut = int(np.searchsorted(now[0], now[0][-1]))
         if cut:
-            yield pairs(now[0][:cut], now[1][:cut])
+            yield from pairs(*(x[:cut] for x in now))
         rest = [x[cut:] for x in now]
     if rest is not None:
-        yield pairs(*rest)
+        yield from pairs(*rest)
+
+
+def bucket_components(dealt: DataFrame, wide: DataFrame, verified: Callable[[DataFrame], DataFrame], most: int = 0) -> DataFrame:
+    """(node, component) of the nodes linked by pairs that share a key and that ``verified`` keeps.
+
+    ``dealt`` has rows (key, node), ``wide`` (node, wide) the fingerprints as
+    arrays of longs, empty to test every pair.  A first round tests a number of
+    pairs in proportion to the rows.  In the second every pair of a bucket whose
+    nodes are in different components by then is tested, so no pair is missed
+    for an unlike node between its two.
+    """
+    rows = stored(dealt.repartition("key").sortWithinPartitions("key", "node").mapInArrow(met, "key long, node long"), "met")
+
+    def pairs(part: DataFrame, whole: bool) -> DataFrame:
+        return part.join(wide, "node").select("key", "node", "part", "wide").repartition("key").sortWithinPartitions("key", "node").mapInArrow(partial(bucket_pairs, most=most, whole=whole), "a long, b long").distinct()
+
+    first = stored(pairs(rows.withColumn("part", F.col("node")), False), "pairs")
+    links = stored(verified(first), "verified")
+    found = stored(components(links), "found")
+    part = rows.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
+    rest = stored(pairs(part, True).join(first, ["a", "b"], "left_anti"), "pairs")
+    return components(links.unionByName(verified(rest)))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from frametally.llm import bytekernels as bk
-from frametally.llm.shared import bucket_pairs, components, stored
+from frametally.llm.shared import bucket_components, components, stored
 
 SEED = 42
 
@@ -179,68 +179,101 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-#: A wide fingerprint's words of 64 bits; tables of keys and the bits of a key (see :func:`similar`).
-WIDE, TABLES, KEY_BITS = 8, 110, 23
+#: A wide fingerprint's words of 64 bits (see :func:`similar`).
+WIDE = 8
 #: Room for the estimate's error, as a share of the bits.
 SLACK = 0.016
+#: Rows of the sample in which common shingles are sought, and common shingles at most.
+ROWS, COMMON = 4000, 20000
 _draw = np.random.default_rng(64)
 _ODD = _draw.integers(1, 1 << 63, WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_CHOSEN = np.stack([_draw.permutation(64 * WIDE)[:KEY_BITS] for _ in range(TABLES)])
 
 
-def wide_fingerprint(text: Column, k: int = 5) -> Column:
-    """WIDE SimHashes of a text's k-word shingles under different hash functions, as longs."""
+def _distinct(texts: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first text, end, hashes, offsets) of the distinct k-word shingles of the texts of each chunk, rising in each text."""
+    for a, b, buf, offsets in bk.text_chunks(texts):
+        h, _, _, first = bk.word_hashes(buf, offsets, bk.TOKEN)
+        s, at = bk.shingles(h, first, k)
+        sets = [np.unique(s[i:j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
+        yield a, b, np.concatenate([*sets, np.zeros(0, np.uint64)]), np.concatenate([[0], np.cumsum([len(x) for x in sets], dtype=np.int64)])
 
-    @F.arrow_udf("array<long>")
+
+def _node(s: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(np.ascontiguousarray(s).tobytes(), SEED)
+
+
+def shingle_sets(text: Column, k: int) -> Column:
+    """struct(node, s): the distinct shingle hashes of each text, and their hash."""
+
+    @F.arrow_udf("struct<node:bigint,s:array<bigint>>")
+    def shingled(texts: pa.Array) -> pa.Array:
+        node, sets = [], []
+        for _, _, s, at in _distinct(texts, k):
+            for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
+                node.append(_node(s[i:j]))
+                sets.append(bk.signed(s[i:j]))
+        return pa.StructArray.from_arrays([pa.array(bk.signed(np.array(node, dtype=np.uint64))), pa.array(sets, pa.list_(pa.int64()))], names=["node", "s"])
+
+    return shingled(text)
+
+
+def prefix(s: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+    """The first of a set's shingles, in an order that holds for all sets, of which two sets of the likeness share one.
+
+    They share at least similarity x the size of either, so all but that many
+    and one more.  Common shingles are last in the order.
+    """
+    n = len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1 if len(s) else 0
+    often = np.isin(s, common)
+    return np.concatenate([s[~often], s[often]])[:n]
+
+
+def wide_fingerprint(text: Column, k: int, common: np.ndarray, similarity: float) -> Column:
+    """struct(node, wide, keys): the hash of a text's distinct shingles, WIDE SimHashes of them under different hash functions, and their :func:`prefix`."""
+
+    @F.arrow_udf("struct<node:bigint,wide:array<bigint>,keys:array<bigint>>")
     def simhashes(texts: pa.Array) -> pa.Array:
-        out = np.zeros((len(texts), WIDE), dtype=np.uint64)
-        for a, b, buf, offsets in bk.text_chunks(texts):
-            h, _, _, first = bk.word_hashes(buf, offsets, bk.TOKEN)
-            s, at = bk.shingles(h, first, k)
+        node, out, keys = np.zeros(len(texts), dtype=np.uint64), np.zeros((len(texts), WIDE), dtype=np.uint64), []
+        for a, b, s, at in _distinct(texts, k):
             with np.errstate(over="ignore"):
                 for i in range(WIDE):
                     out[a:b, i] = majority_bits(bk.mix(s * _ODD[i]), at)
-        return pa.ListArray.from_arrays(np.arange(0, out.size + 1, WIDE, dtype=np.int32), bk.signed(out.ravel()))
+            sets = [s[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
+            node[a:b] = [_node(x) for x in sets]
+            keys += [bk.signed(prefix(x, common, similarity)) for x in sets]
+        wide = pa.ListArray.from_arrays(np.arange(0, out.size + 1, WIDE, dtype=np.int32), bk.signed(out.ravel()))
+        return pa.StructArray.from_arrays([pa.array(bk.signed(node)), wide, pa.array(keys, pa.list_(pa.int64()))], names=["node", "wide", "keys"])
 
     return simhashes(text)
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, node) of rows (wide fingerprint, node): one for each table."""
-    weight = (1 << np.arange(KEY_BITS)).astype(np.int64)
-    for batch in batches:
-        wide = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, WIDE)
-        node = batch.column(1).to_numpy(zero_copy_only=False)
-        for i in range(0, len(node), 512):
-            bits = np.unpackbits(np.ascontiguousarray(wide[i : i + 512]).view(np.uint8), axis=1, bitorder="little")
-            key = bits[:, _CHOSEN].astype(np.int64) @ weight + (np.arange(TABLES) << KEY_BITS)
-            yield pa.record_batch([pa.array(key.ravel()), pa.array(np.repeat(node[i : i + 512], TABLES))], names=["key", "node"])
+def common_shingles(docs: DataFrame, k: int, id_col: str, text_col: str) -> np.ndarray:
+    """Shingles of three texts or more of a sample by id, COMMON of them at most.  They only order shingles; no result depends on them."""
+    share = max(1, docs.count() // ROWS)
+    sample = docs.where(F.pmod(F.xxhash64(F.lit(5), F.col(id_col).cast("long")), F.lit(share)) == 0)
+    s = sample.select(F.explode(shingle_sets(F.col(text_col), k)["s"]).alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
+    return np.array([r.s for r in s.orderBy(F.desc("n"), "s").limit(COMMON).collect()], dtype=np.int64).view(np.uint64)
 
 
 def similar(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
-    """(doc_id, component_id) of every row: near-duplicates by the Jaccard likeness of k-word shingles.
-
-    At a likeness of 0.8 about 15 % of SimHash bits differ, too many for the
-    pigeonhole principle.  Wide fingerprints of 512 bits are cut into keys of
-    KEY_BITS bits drawn at random, TABLES of them; documents that agree in a
-    key are candidates (a pair of likeness 0.8 with probability 0.92, of 0.9
-    with 0.9999), and are linked if their Hamming distance over all bits is
-    that of the wanted likeness or less.  A bucket's candidates are its members
-    with its first and with the one before, so no group makes all its pairs.
+    """(doc_id, component_id) of every row: near-duplicates by the Jaccard likeness of distinct k-word shingles.
+
+    Texts of the same shingles are one node.  Two sets of the likeness share a
+    shingle of their prefixes, so every such pair meets under a key.  Of those
+    that meet, pairs are links whose Hamming distance over all bits is that of
+    the wanted likeness or less.
     """
-    cosine = 2 * similarity / (1 + similarity)
-    most = int(64 * WIDE * (np.arccos(cosine) / np.pi + SLACK))
-    prints = stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), wide_fingerprint(F.col(text_col), k).alias("wide")), "wide")
-    reps = stored(prints.groupBy("wide").agg(F.min("doc_id").alias("rep")), "reps")
-    known = reps.where("rep is not null")
-    dealt = known.select("wide", "rep").mapInArrow(_keyed, "key long, node long").repartition("key").sortWithinPartitions("key", "node")
-    pairs = dealt.mapInArrow(bucket_pairs, "a long, b long").distinct()
-    sides = [known.select(F.col("rep").alias(n), F.col("wide").alias(f"w{n}")) for n in "ab"]
-    both = pairs.join(sides[0], "a").join(sides[1], "b")
-    distance = sum((F.bit_count(F.col("wa")[i].bitwiseXOR(F.col("wb")[i])) for i in range(WIDE)), F.lit(0))
-    found = components(both.where(distance <= most).select("a", "b"))
-    named = reps.join(found, reps.rep == found.node, "left").select("wide", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(named, "wide").select("doc_id", "component_id")
+    printed = wide_fingerprint(F.col(text_col), k, common_shingles(docs, k, id_col, text_col), similarity)
+    prints = stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), printed.alias("p")).select("doc_id", "p.*"), "wide")
+    reps = stored(prints.groupBy("node").agg(F.min("doc_id").alias("rep")), "reps")
+    firsts = stored(prints.join(reps.select("node", F.col("rep").alias("doc_id")), ["node", "doc_id"], "left_semi"), "firsts")
+    wide = firsts.select("node", "wide").dropDuplicates(["node"])
+
+    most = int(64 * WIDE * (np.arccos(2 * similarity / (1 + similarity)) / np.pi + SLACK))
+    found = stored(bucket_components(firsts.select(F.explode("keys").alias("key"), "node"), wide, lambda pairs: pairs, most), "classes")
+    named = reps.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    low = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    return prints.select("doc_id", "node").join(named.join(low, "component").select("node", "component_id"), "node").select("doc_id", "component_id")
 
 
 def hex_print(col: Column) -> Column:

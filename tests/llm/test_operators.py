@@ -422,3 +422,11 @@ def test_simhash_on_hard_rows(spark, hard, empty):
     by = {(r.doc_id, r.fingerprint): r.component_id for r in got}
     assert by[1, 0] == by[2, 0] == by[6, 0] == 1 and {v for (d, _), v in by.items() if d in (3, 4)} == {3} and {v for (d, _), v in by.items() if d is None} == {None}
     assert simhash.near_duplicates(empty).count() == 0
+
+
+def test_every_pair_of_a_bucket_is_tested(spark):
+    """Of nodes 0 to 199 under one key those are linked whose difference is 100: others stand between."""
+    dealt = spark.createDataFrame([(7, i) for i in range(200)], "key long, node long")
+    wide = spark.createDataFrame([(i, []) for i in range(200)], "node long, wide array<long>")
+    got = shared.bucket_components(dealt, wide, lambda pairs: pairs.where("b - a = 100"))
+    assert {r.node: r.component for r in got.collect()} == {i: i % 100 for i in range(200)}
