@@ -424,6 +424,39 @@ def test_simhash_on_hard_rows(spark, hard, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_similar_by_brute_force_in_crowded_buckets(spark, sf):
+    """Likeness 0.8 by the distinct shingles, also where unlike texts of one long passage stand between."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = []
+    for g in range(12):
+        own = [f"g{g}w{i}" for i in range(60)]
+        for v in range(3):
+            own[-1 - v] = f"v{g}x{v}"
+            rows.append((g * 3 + v + 10**6, passage + " " + " ".join(own)))
+    line = "one line that is much repeated here "
+    rows += [(2 * 10**6 + i, line * 40 + " ".join(f"r{i}y{j}" for j in range(60))) for i in range(2)]
+    for n in (5, 6, 8, 9):
+        rows += [(3 * 10**6 + n * 10 + i, " ".join(f"s{n}z{j}" for j in range(n + 4 + i))) for i in range(2)]
+    docs = texts(spark, sf) | dict(rows)
+    sets = {k: frozenset(grams(t, 5)) for k, t in docs.items()}
+    part = {k: k for k in docs}
+
+    def root(k):
+        while part[k] != k:
+            k = part[k]
+        return k
+
+    ids = sorted(docs)
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            s, t = sets[a], sets[b]
+            if s == t or len(s & t) >= 0.8 * len(s | t):
+                x, y = sorted((root(a), root(b)))
+                part[y] = x
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.similar(frame).collect()} == {k: root(k) for k in docs}
+
+
 def test_every_pair_of_a_bucket_is_tested(spark):
     """Of nodes 0 to 199 under one key those are linked whose difference is 100: others stand between."""
     dealt = spark.createDataFrame([(7, i) for i in range(200)], "key long, node long")
