@@ -6,12 +6,12 @@ toxic documents is far above that of the others, and so are stems that begin
 several such words (inflected or compounded forms); a word counts by the different
 words it stands next to, so that one copied text can't put its rare words in.
 
-Misspellings.  The lexicon is a trie.  A word of a document that shares its
-first or last letters with a lexicon term (one edit leaves one end of a term
-intact) becomes a Levenshtein automaton, simulated on bit vectors, which is
-intersected with the trie: the walk follows only branches on which the automaton
-is alive.  Results are kept for each distinct word of a task.  A term whose near
-spellings are words of the sample's clean documents is matched exactly only.
+Misspellings.  The lexicon, stems included, is a trie.  Each distinct word of a
+task that is long enough becomes a Levenshtein automaton, simulated on bit
+vectors, which is intersected with the trie: the walk follows only branches on
+which the automaton is alive.  A stem is found where the automaton has read it
+with any part of the word left over.  Near spellings that are words of the
+sample's clean documents are no match.
 
 Context.  Each match is scored in a window of words around it: quotation marks
 and verbs of saying take from it, words that address someone add to it.  The
@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from frametally.llm import bytekernels as bk
-from frametally.llm.decontaminate import Terms, words
+from frametally.llm.decontaminate import words
 from frametally.llm.quality import remainder
 from frametally.llm.shared import stored
 
@@ -46,7 +46,7 @@ TERMS = 64
 WINDOW = 4
 #: Worth of a misspelled match.
 MISSPELLED = 0.8
-#: Near spellings of a term may stand in this share of the clean documents.
+#: A near spelling may stand in this share of the clean documents.
 SPELLINGS = 0.001
 #: Shortest term, and the lengths of stems.
 SHORTEST = 4
@@ -63,9 +63,14 @@ _memo: dict[tuple, dict[bytes, tuple[int, int]]] = {}
 
 
 class Trie:
-    """A lexicon as a trie: children by byte; a node's term is its index, or -1."""
+    """A lexicon as a trie: children by byte; a node's term is its index, or -1.
 
-    def __init__(self, terms: list[bytes]):
+    Terms from index ``whole`` on are stems, found at the start of a word;
+    ``limits`` are the edits that each term allows.
+    """
+
+    def __init__(self, terms: list[bytes], whole: int | None = None, limits: list[int] | None = None):
+        self.whole, self.limits = len(terms) if whole is None else whole, limits
         self.children: list[dict[int, int]] = [{}]
         self.term = [-1]
         for i, t in enumerate(terms):
@@ -95,8 +100,9 @@ class Trie:
         while stack:
             node, state = stack.pop()
             if self.term[node] >= 0:
-                for e in range(min(most, best[1] - 1) + 1):
-                    if state[e] & accept:
+                end = accept if self.term[node] < self.whole else full
+                for e in range(min(most if self.limits is None else min(most, self.limits[self.term[node]]), best[1] - 1) + 1):
+                    if state[e] & end:
                         best = (self.term[node], e)
                         break
             for c, child in self.children[node].items():
@@ -115,90 +121,53 @@ class Lexicon:
 
     terms: tuple[bytes, ...]
     stems: tuple[bytes, ...] = ()
-    exact_only: frozenset[bytes] = frozenset()
+    #: Near spellings that aren't matched.
+    clean: frozenset[bytes] = frozenset()
 
     def edits(self, n: int) -> int:
         return 0 if n < SHORTEST else 1 if n < 8 else 2
 
 
-def _ends(words_lo: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int, tail: bool) -> np.ndarray:
-    """16-bit keys of the first (or last) n bytes of words of at least n bytes."""
-    at = ends - n if tail else starts
-    key = words_lo[at].astype(np.uint32)
-    for i in range(1, n):
-        key = key * np.uint32(257) + words_lo[at + i]
-    return (key * np.uint32(0x9E3779B1)) >> np.uint32(16)
-
-
 class Matcher:
     """Finds the lexicon's terms, exact or misspelled, among the words of a chunk."""
 
     def __init__(self, lexicon: Lexicon):
         self.lexicon = lexicon
-        spelt = [t for t in lexicon.terms if len(t) >= SHORTEST and t not in lexicon.exact_only]
-        self.trie, self.number = Trie(spelt), [lexicon.terms.index(t) for t in spelt]
-        self.exact = Terms(np.array([bk.word_hash(t) for t in lexicon.terms], dtype=np.uint64))
-        self.index = {bk.word_hash(t): i for i, t in enumerate(lexicon.terms)}
-        size = [len(t) for t in spelt] or [0]
-        self.shortest, self.longest = max(SHORTEST - 1, min(size) - 2), max(size) + 2
-        self.stems = [(n, Terms(np.array([bk.word_hash(t) for t in lexicon.stems if len(t) == n], dtype=np.uint64))) for n in sorted({*map(len, lexicon.stems)})]
-        self.ends = {}
-        for n, own in ((2, [t for t in spelt if len(t) < 6]), (3, [t for t in spelt if len(t) >= 6])):
-            for tail in (False, True):
-                bits = np.zeros(1 << 16, dtype=bool)
-                for t in own:
-                    raw = np.frombuffer(t, dtype=np.uint8)
-                    bits[_ends(raw, np.array([0]), np.array([len(raw)]), n, tail)] = True
-                span = (min(map(len, own), default=1) - 2, max(map(len, own), default=0) + 2)
-                self.ends[n, tail] = (bits, span)
-        self.memo = _memo.setdefault(tuple(spelt), {})
+        # a word that is a term of its own comes before a stem of the same letters
+        spelt = [*lexicon.terms, *(t for t in lexicon.stems if t not in lexicon.terms)]
+        self.whole = len(lexicon.terms)
+        self.trie = Trie(spelt, self.whole, [lexicon.edits(len(t)) for t in spelt])
+        self.shortest = min((len(t) - lexicon.edits(len(t)) for t in spelt), default=1)
+        self.memo = _memo.setdefault((lexicon.terms, lexicon.stems), {})
+
+    def nearest(self, word: bytes) -> tuple[int, int]:
+        """(term, edits) of the nearest term, or (-1, _); two neighbouring letters swapped are one edit, too."""
+        got = self.trie.within(word, 2)
+        if got[0] >= 0:
+            return got
+        for i in range(len(word) - 1):
+            turned = self.trie.within(word[:i] + word[i + 1 : i + 2] + word[i : i + 1] + word[i + 2 :], 0)
+            if turned[0] >= 0:
+                return turned[0], 1
+        return got
 
     def find(self, low: np.ndarray, h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(word, term, edits) of every match, by rising word."""
-        exact = self.exact.among(h)
-        term = np.array([self.index[x] for x in h[exact].tolist()], dtype=np.int64)
-        size = ends - starts
-        near = np.zeros(len(h), dtype=bool)
-        some = np.flatnonzero((size >= self.shortest) & (size <= self.longest))
-        for (n, tail), (bits, span) in self.ends.items():
-            own = some[(size[some] >= max(span[0], n)) & (size[some] <= span[1])]
-            near[own[bits[_ends(low, starts[own], ends[own], n, tail)]]] = True
-        near[exact] = False
-        maybe = np.flatnonzero(near)
-        if len(maybe):
-            flat = low.tobytes()
-            found = []
-            memo = self.memo
-            if len(memo) > 500_000:
-                memo.clear()
-            for i, a, b in zip(maybe.tolist(), starts[maybe].tolist(), ends[maybe].tolist()):
-                w = flat[a:b]
-                got = memo.get(w)
-                if got is None:
-                    got = self.trie.within(w, self.lexicon.edits(len(w)))
-                    if got[0] >= 0:
-                        term_ = self.number[got[0]]
-                        got = (term_, got[1]) if got[1] <= self.lexicon.edits(len(self.lexicon.terms[term_])) else (-1, 0)
-                    memo[w] = got
-                if got[0] >= 0:
-                    found.append((i, *got))
-            if found:
-                w, t, e = map(np.array, zip(*found))
-                word, term, edits = np.concatenate([exact, w]), np.concatenate([term, t]), np.concatenate([np.zeros(len(exact), np.int64), e])
-                order = np.argsort(word, kind="stable")
-                return word[order], term[order], edits[order]
-        return exact, term, np.zeros(len(exact), np.int64)
-
-    def stem_words(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Words that begin with a stem."""
-        if not self.stems:
-            return np.zeros(0, dtype=np.int64)
-        sums = bk.prefix_sums(low)
-        found = []
-        for n, stems in self.stems:
-            own = np.flatnonzero(ends - starts >= n)
-            found.append(own[stems.among(bk.range_hash(sums, starts[own], starts[own] + n))])
-        return np.unique(np.concatenate(found))
+        """(word, term, edits) of every match, by rising word; terms from ``whole`` on are stems."""
+        long = np.flatnonzero(ends - starts >= self.shortest)
+        _, one, which = np.unique(h[long], return_index=True, return_inverse=True)
+        flat = low.tobytes()
+        memo, term, edits = self.memo, np.full(len(one), -1), np.zeros(len(one), np.int64)
+        if len(memo) > 500_000:
+            memo.clear()
+        for i, (a, b) in enumerate(zip(starts[long[one]].tolist(), ends[long[one]].tolist())):
+            w = flat[a:b]
+            got = memo.get(w)
+            if got is None:
+                got = memo[w] = self.nearest(w)
+            if got[0] >= 0 and not (got[1] and w in self.lexicon.clean):
+                term[i], edits[i] = got
+        found = np.flatnonzero(term[which] >= 0)
+        return long[found], term[which[found]], edits[which[found]]
 
     def features(self, texts: pa.Array) -> np.ndarray:
         out = np.zeros((len(texts), len(FEATURES)))
@@ -209,6 +178,7 @@ class Matcher:
             owner = np.searchsorted(first, word, side="right") - 1
             flat = low.tobytes()
             seen: dict[int, set[int]] = {}
+            stem = np.zeros(len(first) - 1)
             for w, t, e, o in zip(word.tolist(), term.tolist(), edits.tolist(), owner.tolist()):
                 lo, hi = max(w - WINDOW, int(first[o])), min(w + WINDOW + 1, int(first[o + 1]))
                 near = {flat[starts[i] : ends[i]] for i in range(lo, hi) if i != w}
@@ -219,13 +189,15 @@ class Matcher:
                     before = flat[max(starts[w] - 4, int(offsets[o])) : starts[w]].decode("utf-8", "ignore")
                 quoted = any(q in before for q in _QUOTE) and any(q in after for q in _QUOTE) or not near.isdisjoint(SAYING)
                 row = out[a + o]
-                row[0] += 1 if e == 0 else MISSPELLED
+                worth = 1 if e == 0 else MISSPELLED
+                row[0] += worth
+                if t >= self.whole:
+                    stem[o] += worth
                 row[2] += quoted
                 row[3] += not near.isdisjoint(ADDRESSING)
                 seen.setdefault(o, set()).add(t)
             n = np.maximum(np.diff(first), 1)
             rows = slice(a, a + len(n))
-            stem = np.bincount(np.searchsorted(first, self.stem_words(low, starts, ends), side="right") - 1, minlength=len(n))
             out[rows, 6] = np.log1p(stem)
             out[rows, 7] = np.sqrt(stem / n)
             out[rows, 1] = n
@@ -302,23 +274,24 @@ def learn_lexicon(sample: DataFrame, terms: int = TERMS) -> Lexicon:
 
 
 def spellings(lexicon: Lexicon, sample: DataFrame) -> Lexicon:
-    """The lexicon with those terms marked whose near spellings stand in clean documents."""
+    """The lexicon with those near spellings of its terms that stand in clean documents."""
 
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf("array<binary>")
     def near(texts: pa.Array) -> pa.Array:
         matcher, out = Matcher(lexicon), [set() for _ in range(len(texts))]
         for a, _, buf, offsets in bk.text_chunks(texts):
             low = bk.LOWER[buf]
             h, starts, ends, first = bk.word_hashes(low, offsets, bk.WORD, lower=False)
             word, term, edits = matcher.find(low, h, starts, ends)
-            for o, t in zip((np.searchsorted(first, word[edits > 0], side="right") - 1).tolist(), term[edits > 0].tolist()):
-                out[a + o].add(t)
-        return pa.array([sorted(x) for x in out], pa.list_(pa.int32()))
+            flat = low.tobytes()
+            for o, i in zip((np.searchsorted(first, word[edits > 0], side="right") - 1).tolist(), word[edits > 0].tolist()):
+                out[a + o].add(flat[starts[i] : ends[i]])
+        return pa.array([sorted(x) for x in out], pa.list_(pa.binary()))
 
     clean = sample.where("label = 0")
     most = max(1, SPELLINGS * clean.count())
     common = clean.select(F.explode(near(F.col("text"))).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).collect()
-    return Lexicon(lexicon.terms, lexicon.stems, frozenset(lexicon.terms[r.t] for r in common))
+    return Lexicon(lexicon.terms, lexicon.stems, frozenset(bytes(r.t) for r in common))
 
 
 def features(lexicon: Lexicon, text: Column) -> Column:

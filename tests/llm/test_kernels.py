@@ -8,7 +8,7 @@ import xxhash
 
 from frametally.llm import bytekernels as bk
 from frametally.llm import simhash, suffixes
-from frametally.llm.toxicity import Trie
+from frametally.llm.toxicity import Lexicon, Matcher, Trie
 
 TEXTS = ["", None, "a", "Ab  cd\nEF", "ünï Ünï x", " lead", "trail ", "x" * 300]
 
@@ -136,3 +136,11 @@ def test_trie_walk_gives_the_least_edits():
         least = min(edits(word, t) for t in terms)
         term, n = Trie(terms).within(word, most)
         assert (n == least == edits(word, terms[term])) if least <= most else (term, n) == (-1, most + 1)
+
+
+def test_stems_are_found_misspelled_and_in_context():
+    lexicon = Lexicon((b"wretched",), (b"idiot",), frozenset([b"idiom"]))
+    x = Matcher(lexicon).features(pa.array(["an idoitic plan", "he said idiotic today", "you idiots", "an idiom", "a wrtchhed day", "plain words"]))
+    assert (x[:, 0] > 0).tolist() == [True, True, True, False, True, False]
+    assert (x[:, 6] > 0).tolist() == [True, True, True, False, False, False]
+    assert x[1, 2] > 0 and x[2, 3] > 0
