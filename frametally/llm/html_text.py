@@ -1,9 +1,10 @@
 """Main text of HTML pages, with site templates found by counting element subtrees.
 
 A page is parsed into a tree of elements.  Every block element's subtree has a
-hash of its tags and text.  Spark counts, for each host, on how many pages each
-subtree stands; a subtree on at least ``PAGES`` pages and ``SHARE`` of its
-host's pages is template and is deleted wherever it stands on that host.  What
+hash of its tags and text.  Spark counts, for each host, on how many different
+pages each subtree stands; a subtree on at least ``PAGES`` pages and ``SHARE``
+of its host's pages, or on ``OFTEN`` pages, is template and is deleted wherever
+it stands on that host, unless nothing of a page would be left.  What
 HTML itself marks as no part of the article (menus, headers, footers, sidebars,
 forms, notices, adverts, reader comments, scripts, styles) goes on any page.
 Running text inside an article is never template: a sentence that many articles
@@ -13,7 +14,7 @@ If a page has an article or main element, its text is that of those elements;
 otherwise that of the whole body.
 
 Defined results: null or empty html gives an empty text; a null url is a host of
-its own; repeated rows count as pages of their own and get equal texts; text
+its own; rows of equal html count as one page of a host and get equal texts; text
 with broken markup is read as a browser would roughly read it, unclosed
 elements ending with their parent; other columns are ignored.
 """
@@ -31,9 +32,10 @@ from pyspark.sql import functions as F
 
 from frametally.llm.shared import stored
 
-#: A template stands on at least this many of its host's pages, and this share of them.
+#: A template stands on at least this many of its host's pages, and this share of them or OFTEN pages.
 PAGES = 8
 SHARE = 0.25
+OFTEN = 1000
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<rest>(?>\"[^\"]*+\"|'[^']*+'|[^'\">])*+)>|[^<]++|<", re.DOTALL
@@ -165,7 +167,11 @@ def _candidates(page: str) -> list[int]:
 
 
 def main_text(page: str, template: set[int] | frozenset[int] = frozenset()) -> str:
-    """The blocks of a page's main text, joined by two line ends."""
+    """The blocks of a page's main text, joined by two line ends; with templates if they hold all of it."""
+    return _blocks(page, template) or (_blocks(page, frozenset()) if template else "")
+
+
+def _blocks(page: str, template: set[int] | frozenset[int]) -> str:
     root = parse(page)
     gone = {id(e) for e, h, article in _walk(root) if h in template and not (article and e.tag in PROSE)} if template else ()
     mains = _mains(root, gone)
@@ -241,11 +247,12 @@ def host(url: Column) -> Column:
     return F.regexp_extract(F.lower(F.coalesce(url, F.lit(""))), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)
 
 
-def templates(seen: DataFrame, pages: int = PAGES, share: float = SHARE) -> DataFrame:
-    """(host, hash) of the template subtrees of pages (host, hashes)."""
-    total = seen.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    count = seen.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= pages)
-    return count.join(total, "host").where(F.col("n") >= F.col("pages") * share).select("host", "hash")
+def templates(seen: DataFrame, pages: int = PAGES, share: float = SHARE, often: int = OFTEN) -> DataFrame:
+    """(host, hash) of the template subtrees of pages (host, k2, hashes); pages of one host and k2 are one."""
+    one = seen.groupBy("host", "k2").agg(F.first("hashes").alias("hashes"))
+    total = seen.groupBy("host").agg(F.countDistinct("k2").alias("pages"))
+    count = one.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= pages)
+    return count.join(total, "host").where((F.col("n") >= F.col("pages") * share) | (F.col("n") >= often)).select("host", "hash")
 
 
 def extract(pages: DataFrame, least_pages: int = PAGES, share: float = SHARE) -> DataFrame:

@@ -463,3 +463,17 @@ def test_every_pair_of_a_bucket_is_tested(spark):
     wide = spark.createDataFrame([(i, []) for i in range(200)], "node long, wide array<long>")
     got = shared.bucket_components(dealt, wide, lambda pairs: pairs.where("b - a = 100"))
     assert {r.node: r.component for r in got.collect()} == {i: i % 100 for i in range(200)}
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    rows = [(i, f"http://h.example/{i}", "<div><p>the one text of a copied page</p></div>") for i in range(8)]
+    rows += [(100 + i, f"http://h.example/o{i}", f"<div><p>text number {i}</p></div>") for i in range(22)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == got[7] == "the one text of a copied page" and got[105] == "text number 5"
+    page = "<div><p>all of it</p></div>"
+    assert html_text.main_text(page, frozenset(html_text._candidates(page))) == "all of it"
+
+
+def test_frequent_subtrees_of_large_hosts_are_template(spark):
+    seen = spark.createDataFrame([("h", i, [1] if i < 12 else [i]) for i in range(100)], "host string, k2 long, hashes array<long>")
+    assert [r.hash for r in html_text.templates(seen, 8, 0.25, 12).collect()] == [1]
