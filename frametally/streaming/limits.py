@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -66,22 +67,43 @@ def limit_stream(requests: DataFrame, windows: tuple[tuple[int, int], ...] = WIN
     return requests.groupBy("client").transformWithStateInPandas(Limiter(windows), outputStructType=_OUT, outputMode="append", timeMode="processingTime")
 
 
+def _in_order(requests: DataFrame, key: str, first, follow, out: str) -> DataFrame:
+    """``follow(state, at)`` -> (state, values) over each key's requests in order of (at, event_id), from ``first``.
+
+    Rows are sorted in their partitions and read as a stream; only the state of
+    the current key is held.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in out.split(", ")]
+        some, now, state = False, None, first
+        for batch in batches:
+            made = []
+            for k, at in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if not some or k != now:
+                    some, now, state = True, k, first
+                state, values = follow(state, at)
+                made.append(values)
+            columns = [pa.array(c, t) for c, t in zip(zip(*made) if made else [()] * (len(names) - 3), types)]
+            yield pa.record_batch([*batch.columns, *columns], names=names)
+
+    types = [pa.bool_() if c.split()[1] == "boolean" else pa.int64() for c in out.split(", ")[3:]]
+    rows = requests.select(key, F.col("event_id").cast("long").alias("event_id"), F.col("at").cast("long").alias("at"))
+    return rows.repartition(key).sortWithinPartitions(key, "at", "event_id").mapInArrow(run, out)
+
+
 def limit_batch(requests: DataFrame, windows: tuple[tuple[int, int], ...] = WINDOWS) -> DataFrame:
     """A batch (client, event_id, at in ms) with allowed and retry_after.
 
-    A fold over each client's ordered requests; its state holds no more hits
-    than the windows allow.
+    Each client's requests in order; the state holds no more hits than the
+    windows allow.
     """
-    width = max(w for w, _ in windows)
-    wait = "greatest(0L" + "".join(f", CASE WHEN size(filter(k, t -> t > x.at - {w})) >= {n} THEN element_at(filter(k, t -> t > x.at - {w}), -{n}) + {w} - x.at ELSE 0L END" for w, n in windows) + ")"
-    rows = requests.groupBy("client").agg(F.array_sort(F.collect_list(F.struct("at", "event_id"))).alias("r"))
-    fold = F.expr(f"""
-      aggregate(r, named_struct('hits', cast(array() as array<bigint>), 'out', cast(array() as array<struct<event_id:bigint,at:bigint,retry_after:bigint>>)),
-        (a, x) -> transform(array(filter(a.hits, t -> t > x.at - {width})), k -> named_struct(
-            'hits', CASE WHEN {wait} > 0 THEN k ELSE concat(k, array(x.at)) END,
-            'out', concat(a.out, array(named_struct('event_id', x.event_id, 'at', x.at, 'retry_after', {wait})))))[0],
-        a -> a.out)""")
-    return rows.select("client", F.explode(fold).alias("o")).select("client", "o.event_id", "o.at", (F.col("o.retry_after") == 0).alias("allowed"), "o.retry_after")
+
+    def follow(hits: list[int], at: int) -> tuple[list[int], tuple[bool, int]]:
+        hits, ok, wait = step(hits, at, windows)
+        return hits, (ok, wait)
+
+    return _in_order(requests.withColumn("client", F.col("client").cast("long")), "client", [], follow, _OUT)
 
 
 def cache_batch(requests: DataFrame, ttl_ms: int) -> DataFrame:
@@ -89,10 +111,8 @@ def cache_batch(requests: DataFrame, ttl_ms: int) -> DataFrame:
 
     An entry expires at its time plus the ttl, which reads don't prolong.
     """
-    rows = requests.groupBy("url").agg(F.array_sort(F.collect_list(F.struct("at", "event_id"))).alias("r"))
-    fold = F.expr(f"""
-      aggregate(r, named_struct('until', cast(-1 as bigint), 'out', cast(array() as array<struct<event_id:bigint,at:bigint,hit:boolean>>)),
-        (a, x) -> named_struct('until', CASE WHEN x.at < a.until THEN a.until ELSE x.at + {ttl_ms} END,
-           'out', concat(a.out, array(named_struct('event_id', x.event_id, 'at', x.at, 'hit', x.at < a.until)))),
-        a -> a.out)""")
-    return rows.select("url", F.explode(fold).alias("o")).select("url", "o.event_id", "o.at", "o.hit")
+
+    def follow(until: int, at: int) -> tuple[int, tuple[bool]]:
+        return (until, (True,)) if at < until else (at + ttl_ms, (False,))
+
+    return _in_order(requests, "url", -1, follow, "url string, event_id long, at long, hit boolean")

@@ -330,3 +330,22 @@ def test_fold_and_caps(spark):
     i = spark.createDataFrame(rows, "page int, idx int, width long, height long, lazy boolean")
     got = {r.idx: (r.above_fold, r.role) for r in layout.fold(i, "page", "idx").collect()}
     assert got == {0: (True, "lcp"), 1: (False, "content"), 2: (False, "content"), 3: (False, "content"), 4: (False, "content")}
+
+
+def test_batches_fold_no_arrays(spark):
+    """Requests of a key are a sorted stream, not one row's array; both steps agree with a replay."""
+    rows = [(c, i, i * 700 % 90_000, f"u{c}") for c in range(3) for i in range(500)]
+    r = spark.createDataFrame(rows, "client long, event_id long, at long, url string")
+    allowed, hit = {}, {}
+    for c in range(3):
+        hits, until = [], -1
+        for at, i in sorted((at, i) for k, i, at, _ in rows if k == c):
+            hits, ok, wait = limits.step(hits, at, ((60_000, 10),))
+            allowed[c, i] = (ok, wait)
+            hit[f"u{c}", i] = at < until
+            until = until if at < until else at + 5000
+    limited, cached = limits.limit_batch(r, ((60_000, 10),)), limits.cache_batch(r, 5000)
+    assert {(x.client, x.event_id): (x.allowed, x.retry_after) for x in limited.collect()} == allowed
+    assert {(x.url, x.event_id): x.hit for x in cached.collect()} == hit
+    for df in (limited, cached):
+        assert "collect_list" not in df._jdf.queryExecution().optimizedPlan().toString()
