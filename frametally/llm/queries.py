@@ -16,7 +16,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.edited_neighbours(table(spark, sf_dir, "documents"))
+    return minhash.fingerprinted(table(spark, sf_dir, "documents"))
 
 
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -55,118 +55,106 @@ def dropped(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Leading rows of a bucket that each row of it is tested against at first, and pairs tested at a time.
-LEAD, BLOCK = 64, 1 << 20
+#: Nodes of a bucket that are tested against each other in one piece, and pairs tested at a time.
+CHUNK, BLOCK = 4096, 1 << 20
 
 
-def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows (key, node), sorted by both, whose key has another node; equal rows count once."""
-    rest = None
-    for batch in batches:
-        key, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
-        if not len(key):
-            continue
-        new = np.ones(len(key), dtype=bool)
-        new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-        key, node, out = key[new], node[new], []
-        if rest is not None:
-            if rest[:2] == (key[0], node[0]):
-                key, node = key[1:], node[1:]
-            key, node = np.concatenate([[rest[0]], key]), np.concatenate([[rest[1]], node])
-        same = key[1:] == key[:-1]
-        some = np.zeros(len(key), dtype=bool)
-        some[1:] = same
-        some[:-1] |= same
-        if rest is not None:
-            some[0] &= not rest[2]
-        # the last row waits for the next one, unless it is known to have met another
-        rest = (key[-1], node[-1], bool(len(same) and same[-1]) or len(key) == 1 and rest is not None and rest[2])
-        yield pa.record_batch([pa.array(key[some]), pa.array(node[some])], names=["key", "node"])
+def _apart(words: list[str]) -> Column:
+    """In how many bits two prints (columns a_<word>, b_<word>) differ."""
+    apart = [F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in words]
+    return sum(apart[1:], apart[0]) if apart else F.lit(0)
 
 
-def bucket_pairs(batches: Iterator[pa.RecordBatch], most: int, whole: bool) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs (a, b), a < b, of rows (key, node, part, wide) sorted by key and node.
+def _printed(pairs: DataFrame, prints: DataFrame, words: list[str], most: int) -> DataFrame:
+    """The pairs (a, b) whose prints are near, with their distance."""
+    for side in "ab":
+        pairs = pairs.join(prints.select(F.col("node").alias(side), *[F.col(w).alias(f"{side}_{w}") for w in words]), side)
+    return pairs.withColumn("apart", _apart(words)).where(F.col("apart") <= most).select("a", "b", "apart")
 
-    Nodes whose fingerprints differ in at most ``most`` bits may pair (any may
-    where fingerprints are empty).  ``whole``: all such pairs of nodes of
-    different parts.  Otherwise each node with the first such among the LEAD
-    first nodes of its bucket or, without one, with the node before it.  A
-    bucket may cross batches.
+
+def near_pairs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b), a < b, of rows (piece, side, node, part, words...) sorted by piece whose parts differ and prints are near.
+
+    A piece has nodes of side 0 alone, all pairs of which are tested, or of
+    both sides, where each is tested with those of the other side.
     """
     rest = None
 
-    def near(wide: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        apart = np.zeros(len(i), dtype=np.int64)
-        for w in range(wide.shape[1]):
-            apart += np.bitwise_count(wide[i, w] ^ wide[j, w])
-        return apart <= most
-
-    def pairs(key: np.ndarray, node: np.ndarray, part: np.ndarray, wide: np.ndarray) -> Iterator[pa.RecordBatch]:
-        new = np.ones(len(key), dtype=bool)
-        new[1:] = key[1:] != key[:-1]
-        first = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
-        count = np.arange(len(key)) - first
-        if not whole:
-            count = np.minimum(count, LEAD)
-        to = np.cumsum(count)
-        at = 0
-        while at < len(key):
-            end = max(at + 1, int(np.searchsorted(to, (to[at - 1] if at else 0) + BLOCK, side="right")))
-            n = count[at:end]
-            i = np.repeat(np.arange(at, end), n)
-            j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + first[i]
-            apart = part[i] != part[j]
-            i, j = i[apart], j[apart]
-            ok = near(wide, i, j)
+    def pairs(side: np.ndarray, node: np.ndarray, part: np.ndarray, words: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        left = np.flatnonzero(side == 0)
+        right = np.flatnonzero(side == 1) if side.any() else left
+        step = max(1, BLOCK // max(1, len(right)))
+        for at in range(0, len(left), step):
+            i, j = np.meshgrid(left[at : at + step], right, indexing="ij")
+            ok = part[i] != part[j]
+            if right is left:
+                ok &= i < j
             i, j = i[ok], j[ok]
-            if not whole:
-                i, one = np.unique(i, return_index=True)
-                j = j[one]
-                left = np.setdiff1d(np.arange(at, end)[n > 0], i)
-                left = left[near(wide, left, left - 1)]
-                i, j = np.concatenate([i, left]), np.concatenate([j, left - 1])
-            a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
-            yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
-            at = end
-
-    def bits(column: pa.Array) -> np.ndarray:
-        flat = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-        return flat.reshape(len(column), len(flat) // max(len(column), 1))
+            apart = np.zeros(len(i), dtype=np.int64)
+            for w in words:
+                apart += np.bitwise_count(w[i] ^ w[j])
+            i, j = i[apart <= most], j[apart <= most]
+            if len(i):
+                yield pa.record_batch([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["a", "b"])
+
+    def pieces(now: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        cut = np.concatenate([[0], np.flatnonzero(now[0][1:] != now[0][:-1]) + 1, [len(now[0])]])
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+            if b - a > 1:
+                yield from pairs(*(x[a:b] for x in now[1:4]), [x[a:b] for x in now[4:]])
 
     for batch in batches:
-        now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)] + [bits(batch.column(3))]
+        now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
+        now[4:] = [x.view(np.uint64) for x in now[4:]]
         if not len(now[0]):
             continue
         if rest is not None:
             now = [np.concatenate(x) for x in zip(rest, now)]
         cut = int(np.searchsorted(now[0], now[0][-1]))
         if cut:
-            yield from pairs(*(x[:cut] for x in now))
+            yield from pieces([x[:cut] for x in now])
         rest = [x[cut:] for x in now]
     if rest is not None:
-        yield from pairs(*rest)
+        yield from pieces(rest)
 
 
-def bucket_components(dealt: DataFrame, wide: DataFrame, verified: Callable[[DataFrame], DataFrame], most: int = 0) -> DataFrame:
-    """(node, component) of the nodes linked by pairs that share a key and that ``verified`` keeps.
+def bucket_components(dealt: DataFrame, prints: DataFrame, verified: Callable[[DataFrame], DataFrame], most: int = 0) -> DataFrame:
+    """(node, component) of the nodes linked by pairs that share a key, have near prints and are kept by ``verified``, which returns a stored frame.
 
-    ``dealt`` has rows (key, node), ``wide`` (node, wide) the fingerprints as
-    arrays of longs, empty to test every pair.  A first round tests a number of
-    pairs in proportion to the rows.  In the second every pair of a bucket whose
-    nodes are in different components by then is tested, so no pair is missed
-    for an unlike node between its two.
+    ``dealt`` has rows (key, node); ``prints`` has node and the print's words of
+    64 bits, which differ in at most ``most`` bits where they are near (without
+    words all are).  First each node is tested with the smallest node of each of
+    its buckets, and the nearest of those is verified.  Then every pair of a
+    bucket whose nodes are in different components is tested, in pieces of
+    bounded size, and the near ones are verified, so that no pair is missed for
+    an unlike node between its two.
     """
-    rows = stored(dealt.repartition("key").sortWithinPartitions("key", "node").mapInArrow(met, "key long, node long"), "met")
-
-    def pairs(part: DataFrame, whole: bool) -> DataFrame:
-        return part.join(wide, "node").select("key", "node", "part", "wide").repartition("key").sortWithinPartitions("key", "node").mapInArrow(partial(bucket_pairs, most=most, whole=whole), "a long, b long").distinct()
-
-    first = stored(pairs(rows.withColumn("part", F.col("node")), False), "pairs")
-    links = stored(verified(first), "verified")
+    spark = dealt.sparkSession
+    words = [c for c in prints.columns if c != "node"]
+    lead = stored(dealt.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("top"), F.count(F.lit(1)).alias("n")).where("lead < top").select("key", "lead", "n"), "lead")
+    meets = dealt.join(lead, "key")
+    near = stored(_printed(meets.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), prints, words, most), "near")
+    first = stored(near.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("x")).select("x.a", "b"), "pairs")
+    links = verified(first)
     found = stored(components(links), "found")
-    part = rows.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
-    rest = stored(pairs(part, True).join(first, ["a", "b"], "left_anti"), "pairs")
-    return components(links.unionByName(verified(rest)))
+    crowd = lead.where("n > 2").select("key", "n")
+    rows = dealt.join(crowd, "key").join(found, "node", "left").select("key", "n", "node", F.coalesce("component", "node").alias("part"))
+    rows = stored(rows, "crowd")
+    mixed = rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
+    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
+    own = F.pmod(F.xxhash64("node"), chunks).cast("int")
+    placed = rows.join(mixed, "key").join(prints, "node").withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), chunks - 1))})
+    piece = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("piece")
+    placed = placed.select(piece, (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "part", *words)
+    crowded = placed.repartition("piece").sortWithinPartitions("piece").mapInArrow(partial(near_pairs, most=most), "a long, b long")
+    part = {s: found.select(F.col("node").alias(s), F.col("component").alias(f"part_{s}")) for s in "ab"}
+    apart = near.select("a", "b").join(part["a"], "a", "left").join(part["b"], "b", "left").where(F.coalesce("part_a", "a") != F.coalesce("part_b", "b")).select("a", "b")
+    rest = stored(crowded.unionByName(apart).distinct().join(first, ["a", "b"], "left_anti"), "pairs")
+    more = verified(rest)
+    out = stored(components(links.unionByName(more)), "components")
+    for x in (lead, near, first, links, found, rows, rest, more):
+        dropped(spark, x)
+    return out
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) -> DataFrame:

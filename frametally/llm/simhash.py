@@ -31,8 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from frametally.llm import bytekernels as bk
-from frametally.llm.minhash import alike
-from frametally.llm.shared import bucket_components, components, stored
+from frametally.llm.minhash import alike, bands, minima
+from frametally.llm.shared import bucket_components, components, dropped, stored
 
 SEED = 42
 
@@ -182,8 +182,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 #: A wide fingerprint's words of 64 bits, and the bits in which candidates may differ (see :func:`similar`).
 WIDE, REACH = 8, 128
-#: Rows of the sample in which common shingles are sought, and common shingles at most.
-ROWS, COMMON = 4000, 20000
 _draw = np.random.default_rng(64)
 _ODD = _draw.integers(1, 1 << 63, WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -216,19 +214,8 @@ def shingle_sets(text: Column, k: int) -> Column:
     return shingled(text)
 
 
-def prefix(s: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
-    """The first of a set's shingles, in an order that holds for all sets, of which two sets of the likeness share one.
-
-    They share at least similarity x the size of either, so all but that many
-    and one more.  Common shingles are last in the order.
-    """
-    n = len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1 if len(s) else 0
-    often = np.isin(s, common)
-    return np.concatenate([s[~often], s[often]])[:n]
-
-
-def wide_fingerprint(text: Column, k: int, common: np.ndarray, similarity: float) -> Column:
-    """struct(node, wide, keys): the hash of a text's distinct shingles, WIDE SimHashes of them under different hash functions, and their :func:`prefix`."""
+def wide_fingerprint(text: Column, k: int) -> Column:
+    """struct(node, wide, keys) of a text's distinct shingles: their hash, WIDE SimHashes of them under different hash functions, and the hashes of their MinHash bands (none for no shingles)."""
 
     @F.arrow_udf("struct<node:bigint,wide:array<bigint>,keys:array<bigint>>")
     def simhashes(texts: pa.Array) -> pa.Array:
@@ -237,46 +224,42 @@ def wide_fingerprint(text: Column, k: int, common: np.ndarray, similarity: float
             with np.errstate(over="ignore"):
                 for i in range(WIDE):
                     out[a:b, i] = majority_bits(bk.mix(s * _ODD[i]), at)
-            sets = [s[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
-            node[a:b] = [_node(x) for x in sets]
-            keys += [bk.signed(prefix(x, common, similarity)) for x in sets]
+            node[a:b] = [_node(s[i:j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
+            own = bk.signed(bands(minima(s, at)))
+            keys += [x if n else x[:0] for x, n in zip(own, np.diff(at).tolist())]
         wide = pa.ListArray.from_arrays(np.arange(0, out.size + 1, WIDE, dtype=np.int32), bk.signed(out.ravel()))
         return pa.StructArray.from_arrays([pa.array(bk.signed(node)), wide, pa.array(keys, pa.list_(pa.int64()))], names=["node", "wide", "keys"])
 
     return simhashes(text)
 
 
-def common_shingles(docs: DataFrame, k: int, id_col: str, text_col: str) -> np.ndarray:
-    """Shingles of three texts or more of a sample by id, COMMON of them at most.  They only order shingles; no result depends on them."""
-    share = max(1, docs.count() // ROWS)
-    sample = docs.where(F.pmod(F.xxhash64(F.lit(5), F.col(id_col).cast("long")), F.lit(share)) == 0)
-    s = sample.select(F.explode(shingle_sets(F.col(text_col), k)["s"]).alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
-    return np.array([r.s for r in s.orderBy(F.desc("n"), "s").limit(COMMON).collect()], dtype=np.int64).view(np.uint64)
-
-
 def similar(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
     """(doc_id, component_id) of every row: near-duplicates by the Jaccard likeness of distinct k-word shingles.
 
-    Texts of the same shingles are one node.  Two sets of the likeness share a
-    shingle of their prefixes, so every such pair meets under a key.  Of those
-    that meet, pairs are candidates whose wide SimHashes differ in at most REACH
-    of 512 bits (at a likeness of 0.8 the mean is 77.6 with a deviation of 8.1;
-    of sets of a few shingles up to 96 and 9), and links if the likeness of the
-    sets is reached.
+    Texts of the same shingles are one node.  At a likeness of 0.8 SimHashes of
+    64 bits differ in 9.7 on average, which no blocks of equal bits of a useful
+    size survive; so the blocks on which nodes meet are MinHash bands (two sets
+    of that likeness share one with probability 0.998), and SimHash verifies:
+    pairs are candidates whose wide fingerprints differ in at most REACH of 512
+    bits (at a likeness of 0.8 the mean is 77.6 with a deviation of 8.1; of sets
+    of a few shingles up to 96 and 9), and links if the likeness of the sets is
+    reached.
     """
-    printed = wide_fingerprint(F.col(text_col), k, common_shingles(docs, k, id_col, text_col), similarity)
-    prints = stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), printed.alias("p")).select("doc_id", "p.*"), "wide")
+    printed = wide_fingerprint(F.col(text_col), k)
+    prints = stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), printed.alias("p")).select("doc_id", "p.node", *[F.get("p.wide", F.lit(i)).alias(f"w{i}") for i in range(WIDE)], "p.keys"), "wide")
     reps = stored(prints.groupBy("node").agg(F.min("doc_id").alias("rep")), "reps")
-    firsts = stored(prints.join(reps.select("node", F.col("rep").alias("doc_id")), ["node", "doc_id"], "left_semi"), "firsts")
-    wide = firsts.select("node", "wide").dropDuplicates(["node"])
+    firsts = stored(prints.join(reps.select("node", F.col("rep").alias("doc_id")), ["node", "doc_id"], "left_semi").drop("doc_id").dropDuplicates(["node"]), "firsts")
 
     def verified(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(reps, "node").select(F.col("rep").alias("_id")).distinct()
         texts = docs.join(wanted, F.col(id_col).cast("long") == F.col("_id"), "left_semi")
-        sets = texts.select(shingle_sets(F.col(text_col), k).alias("x")).select("x.*").dropDuplicates(["node"])
-        return alike(pairs, stored(sets, "sets"), similarity)
+        sets = stored(texts.select(shingle_sets(F.col(text_col), k).alias("x")).select("x.*").dropDuplicates(["node"]), "sets")
+        out = stored(alike(pairs, sets, similarity), "verified")
+        dropped(docs.sparkSession, sets)
+        return out
 
-    found = stored(bucket_components(firsts.select(F.explode("keys").alias("key"), "node"), wide, verified, REACH), "classes")
+    found = bucket_components(firsts.select(F.explode("keys").alias("key"), "node"), firsts.drop("keys"), verified, REACH)
+    dropped(docs.sparkSession, firsts)
     named = reps.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     low = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     return prints.select("doc_id", "node").join(named.join(low, "component").select("node", "component_id"), "node").select("doc_id", "component_id")

@@ -457,11 +457,13 @@ def test_similar_by_brute_force_in_crowded_buckets(spark, sf):
     assert {r.doc_id: r.component_id for r in simhash.similar(frame).collect()} == {k: root(k) for k in docs}
 
 
-def test_every_pair_of_a_bucket_is_tested(spark):
+@pytest.mark.parametrize("chunk", [4096, 7])
+def test_every_pair_of_a_bucket_is_tested(spark, monkeypatch, chunk):
     """Of nodes 0 to 199 under one key those are linked whose difference is 100: others stand between."""
+    monkeypatch.setattr(shared, "CHUNK", chunk)
     dealt = spark.createDataFrame([(7, i) for i in range(200)], "key long, node long")
-    wide = spark.createDataFrame([(i, []) for i in range(200)], "node long, wide array<long>")
-    got = shared.bucket_components(dealt, wide, lambda pairs: pairs.where("b - a = 100"))
+    prints = spark.createDataFrame([(i,) for i in range(200)], "node long")
+    got = shared.bucket_components(dealt, prints, lambda pairs: shared.stored(pairs.where("b - a = 100"), "verified"))
     assert {r.node: r.component for r in got.collect()} == {i: i % 100 for i in range(200)}
 
 
