@@ -190,13 +190,6 @@ def shingle_set(text: Column) -> Column:
     return shingled(text)
 
 
-def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets (node, s) have the Jaccard likeness or more."""
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
-
-
 def banded(text: Column) -> Column:
     """struct(w0, w1, keys) of each text: the lowest bits of its fingerprint's places, and the hashes of its bands (none for no shingles)."""
 
@@ -227,15 +220,11 @@ def classes(docs: DataFrame, similarity: float = 0.8, text_col: str = "text", id
     nodes = stored(nodes, "nodes")
     dropped(docs.sparkSession, rows)
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    def sets(wanted: DataFrame) -> DataFrame:
         texts = docs.select(text_node(F.col(text_col)).alias("node"), F.col(text_col).alias("text")).join(wanted, "node", "left_semi").dropDuplicates(["node"])
-        sets = stored(texts.select("node", shingle_set(F.col("text")).alias("s")), "sets")
-        out = stored(alike(pairs, sets, similarity), "verified")
-        dropped(docs.sparkSession, sets)
-        return out
+        return texts.select("node", shingle_set(F.col("text")).alias("s"))
 
-    found = bucket_components(nodes.select(F.explode("keys").alias("key"), "node"), nodes.drop("keys"), verified, REACH)
+    found = bucket_components(nodes.select(F.explode("keys").alias("key"), "node"), nodes.drop("keys"), sets, similarity, REACH)
     dropped(docs.sparkSession, nodes)
     named = reps.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     low = named.groupBy("component").agg(F.min("rep").alias("class_id"))

@@ -55,104 +55,163 @@ def dropped(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Nodes of a bucket that are tested against each other in one piece, and pairs tested at a time.
-CHUNK, BLOCK = 4096, 1 << 20
+#: Nodes of a bucket, about, that are tested against each other in one piece, and shingles looked at a time.
+CHUNK, COLUMNS = 1024, 4096
 
 
-def _apart(words: list[str]) -> Column:
-    """In how many bits two prints (columns a_<word>, b_<word>) differ."""
-    apart = [F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in words]
-    return sum(apart[1:], apart[0]) if apart else F.lit(0)
+def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets (node, s) have the Jaccard likeness or more."""
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
 
-def _printed(pairs: DataFrame, prints: DataFrame, words: list[str], most: int) -> DataFrame:
-    """The pairs (a, b) whose prints are near, with their distance."""
+def _near(pairs: DataFrame, prints: DataFrame, words: list[str], most: int) -> DataFrame:
+    """The pairs (a, b) whose prints differ in at most ``most`` bits, and in how many they do."""
     for side in "ab":
         pairs = pairs.join(prints.select(F.col("node").alias(side), *[F.col(w).alias(f"{side}_{w}") for w in words]), side)
-    return pairs.withColumn("apart", _apart(words)).where(F.col("apart") <= most).select("a", "b", "apart")
+    apart = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in words), F.lit(0))
+    return pairs.withColumn("apart", apart).where(F.col("apart") <= most).select("a", "b", "apart")
+
+
+def _shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many values each set of left shares with each of right."""
+    value, at = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    often = np.bincount(at, minlength=len(value)) > 1
+    column = np.cumsum(often) - 1
+    row = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in [*left, *right]])
+    keep = often[at]
+    row, at = row[keep], column[at[keep]]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    for first in range(0, int(at[-1]) + 1 if len(at) else 0, COLUMNS):
+        a, b = np.searchsorted(at, (first, first + COLUMNS))
+        has = np.zeros((len(left) + len(right), COLUMNS), dtype=np.float32)
+        has[row[a:b], at[a:b] - first] = 1
+        out += has[: len(left)] @ has[len(left) :].T
+    return out
+
+
+def _forest(ok: np.ndarray, part: np.ndarray, shift: int) -> tuple[list[int], list[int]]:
+    """Links i, j + shift of a matrix of allowed ones that connect what it connects: at most one fewer than there are parts."""
+    _, label = np.unique(part, return_inverse=True)
+    i_, j_ = [], []
+    for i in range(len(ok)):
+        near = np.flatnonzero(ok[i]) + shift
+        parts, where = np.unique(label[near], return_index=True)
+        new = parts != label[i]
+        if new.any():
+            j_ += near[where[new]].tolist()
+            i_ += [i] * int(new.sum())
+            label[np.isin(label, parts)] = label[i]
+    return i_, j_
 
 
-def near_pairs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b), a < b, of rows (piece, side, node, part, words...) sorted by piece whose parts differ and prints are near.
+def linked(batches: Iterator[pa.RecordBatch], similarity: float, most: int) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of rows (piece, side, node, part, s, words...) sorted by piece.
 
     A piece has nodes of side 0 alone, all pairs of which are tested, or of
-    both sides, where each is tested with those of the other side.
+    both sides, where each is tested with those of the other side.  Nodes of
+    different parts may link whose prints differ in at most ``most`` bits and
+    whose sets have the likeness; of those links a forest is returned.
     """
     rest = None
 
-    def pairs(side: np.ndarray, node: np.ndarray, part: np.ndarray, words: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def links(rows: pa.Table) -> pa.RecordBatch | None:
+        side, node, part = (rows.column(i).to_numpy() for i in (1, 2, 3))
         left = np.flatnonzero(side == 0)
         right = np.flatnonzero(side == 1) if side.any() else left
-        step = max(1, BLOCK // max(1, len(right)))
-        for at in range(0, len(left), step):
-            i, j = np.meshgrid(left[at : at + step], right, indexing="ij")
-            ok = part[i] != part[j]
-            if right is left:
-                ok &= i < j
-            i, j = i[ok], j[ok]
-            apart = np.zeros(len(i), dtype=np.int64)
-            for w in words:
-                apart += np.bitwise_count(w[i] ^ w[j])
-            i, j = i[apart <= most], j[apart <= most]
-            if len(i):
-                yield pa.record_batch([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["a", "b"])
-
-    def pieces(now: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        cut = np.concatenate([[0], np.flatnonzero(now[0][1:] != now[0][:-1]) + 1, [len(now[0])]])
+        if part.min() == part.max() or not len(left):
+            return None
+        sets = rows.column(4).combine_chunks()
+        at, flat = sets.offsets.to_numpy(), sets.values.to_numpy()
+        size = np.diff(at)
+        ok = part[left][:, None] != part[right][None, :]
+        apart = np.zeros(ok.shape, dtype=np.int64)
+        for i in range(5, rows.num_columns):
+            w = rows.column(i).to_numpy().view(np.uint64)
+            apart += np.bitwise_count(w[left][:, None] ^ w[right][None, :])
+        ok &= apart <= most
+        # nodes without a near one are not looked at further
+        own, other = ok.any(axis=1), ok.any(axis=0)
+        left, right, ok = left[own], right[other], ok[own][:, other]
+        if not len(left):
+            return None
+        both = _shared_counts([flat[at[i] : at[i + 1]] for i in left], [flat[at[i] : at[i + 1]] for i in right])
+        ok &= both >= similarity * (size[left][:, None] + size[right][None, :] - both) - 1e-6
+        place = np.concatenate([left, right])
+        # one that stands on both sides is one node
+        i, j = _forest(ok, np.concatenate([part[left], part[right]]), len(left))
+        a, b = node[place[i]], node[place[j]]
+        return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    def pieces(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        piece = rows.column(0).to_numpy()
+        cut = np.concatenate([[0], np.flatnonzero(piece[1:] != piece[:-1]) + 1, [len(piece)]])
         for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
-            if b - a > 1:
-                yield from pairs(*(x[a:b] for x in now[1:4]), [x[a:b] for x in now[4:]])
+            if b - a > 1 and (out := links(rows.slice(a, b - a).combine_chunks())) is not None:
+                yield out
 
     for batch in batches:
-        now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
-        now[4:] = [x.view(np.uint64) for x in now[4:]]
-        if not len(now[0]):
+        if not batch.num_rows:
             continue
+        now = pa.Table.from_batches([batch])
         if rest is not None:
-            now = [np.concatenate(x) for x in zip(rest, now)]
-        cut = int(np.searchsorted(now[0], now[0][-1]))
+            now = pa.concat_tables([rest, now])
+        piece = now.column(0).to_numpy()
+        cut = int(np.searchsorted(piece, piece[-1]))
         if cut:
-            yield from pieces([x[:cut] for x in now])
-        rest = [x[cut:] for x in now]
+            yield from pieces(now.slice(0, cut))
+        rest = now.slice(cut)
     if rest is not None:
         yield from pieces(rest)
 
 
-def bucket_components(dealt: DataFrame, prints: DataFrame, verified: Callable[[DataFrame], DataFrame], most: int = 0) -> DataFrame:
-    """(node, component) of the nodes linked by pairs that share a key, have near prints and are kept by ``verified``, which returns a stored frame.
+def bucket_components(dealt: DataFrame, prints: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float, most: int) -> DataFrame:
+    """(node, component) of the nodes linked by pairs that share a key, have near prints and whose sets have the likeness.
 
-    ``dealt`` has rows (key, node); ``prints`` has node and the print's words of
-    64 bits, which differ in at most ``most`` bits where they are near (without
-    words all are).  First each node is tested with the smallest node of each of
-    its buckets, and the nearest of those is verified.  Then every pair of a
-    bucket whose nodes are in different components is tested, in pieces of
-    bounded size, and the near ones are verified, so that no pair is missed for
-    an unlike node between its two.
+    ``dealt`` has rows (key, node); ``prints`` has node and its print's words of
+    64 bits, which differ in at most ``most`` bits where they are near;
+    ``sets`` gives (node, s) of nodes.  First each node is tested with the
+    smallest node of each of its buckets, and the nearest of those is verified.
+    Then every pair of a bucket whose nodes are in different components is
+    tested, in pieces of bounded size that return no more links than nodes, so
+    no pair is missed for an unlike node between its two.
     """
     spark = dealt.sparkSession
     words = [c for c in prints.columns if c != "node"]
     lead = stored(dealt.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("top"), F.count(F.lit(1)).alias("n")).where("lead < top").select("key", "lead", "n"), "lead")
-    meets = dealt.join(lead, "key")
-    near = stored(_printed(meets.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), prints, words, most), "near")
+    near = stored(_near(dealt.join(lead, "key").where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), prints, words, most), "near")
     first = stored(near.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("x")).select("x.a", "b"), "pairs")
-    links = verified(first)
+    known = stored(sets(first.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "sets")
+    links = stored(alike(first, known, similarity), "links")
     found = stored(components(links), "found")
-    crowd = lead.where("n > 2").select("key", "n")
-    rows = dealt.join(crowd, "key").join(found, "node", "left").select("key", "n", "node", F.coalesce("component", "node").alias("part"))
-    rows = stored(rows, "crowd")
-    mixed = rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
-    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    own = F.pmod(F.xxhash64("node"), chunks).cast("int")
-    placed = rows.join(mixed, "key").join(prints, "node").withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), chunks - 1))})
-    piece = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("piece")
-    placed = placed.select(piece, (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "part", *words)
-    crowded = placed.repartition("piece").sortWithinPartitions("piece").mapInArrow(partial(near_pairs, most=most), "a long, b long")
-    part = {s: found.select(F.col("node").alias(s), F.col("component").alias(f"part_{s}")) for s in "ab"}
-    apart = near.select("a", "b").join(part["a"], "a", "left").join(part["b"], "b", "left").where(F.coalesce("part_a", "a") != F.coalesce("part_b", "b")).select("a", "b")
-    rest = stored(crowded.unionByName(apart).distinct().join(first, ["a", "b"], "left_anti"), "pairs")
-    more = verified(rest)
+    part = {s: found.select(F.col("node").alias(s), F.col("component").alias(f"part_{s}")) for s in ("a", "b")}
+    # buckets of two are known by now but for nodes that had a nearer one elsewhere
+    rest = near.select("a", "b").join(part["a"], "a", "left").join(part["b"], "b", "left").where(F.coalesce("part_a", "a") != F.coalesce("part_b", "b")).select("a", "b")
+    rest = stored(rest.join(first, ["a", "b"], "left_anti"), "pairs")
+    crowd = stored(dealt.join(lead.where("n > 2").select("key"), "key").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part")), "crowd")
+    # a bucket's nodes of its largest part need not meet each other
+    sized = crowd.groupBy("key", "part").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.sum("m").alias("n"), F.max(F.struct("m", "part")).alias("big")).where("big.m < n")
+    sized = sized.select("key", F.col("big.part").alias("main"), F.ceil(F.col("big.m") / CHUNK).cast("int").alias("mains"), F.ceil((F.col("n") - F.col("big.m")) / CHUNK).cast("int").alias("others"))
+    rows = stored(crowd.join(sized, "key"), "rows")
+    known2 = stored(sets(rows.select("node").unionByName(rest.select(F.explode(F.array("a", "b")).alias("node"))).distinct()), "sets")
+    in_main = F.col("part") == F.col("main")
+    own = F.pmod(F.xxhash64("node"), F.when(in_main, F.col("mains")).otherwise(F.col("others"))).cast("int")
+
+    def place(kind: int, x: Column, y: Column, side: Column) -> Column:
+        return F.struct(F.xxhash64("key", F.lit(kind), x, y).alias("piece"), side.cast("int").alias("side"))
+
+    with_main = F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda o: place(1, F.col("own"), o, F.lit(0)))
+    with_rest = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda o: place(0, F.least("own", o), F.greatest("own", o), F.col("own") > o))
+    of_main = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda o: place(1, o, F.col("own"), F.lit(1)))
+    placed = rows.withColumn("own", own).select("node", "part", F.explode(F.when(in_main, of_main).otherwise(F.concat(with_main, with_rest))).alias("x"))
+    placed = placed.join(known2, "node").join(prints, "node").select("x.piece", "x.side", "node", "part", "s", *words)
+    crowded = placed.repartition("piece").sortWithinPartitions("piece").mapInArrow(partial(linked, similarity=similarity, most=most), "a long, b long")
+    more = stored(alike(rest, known2, similarity).unionByName(crowded), "links")
     out = stored(components(links.unionByName(more)), "components")
-    for x in (lead, near, first, links, found, rows, rest, more):
+    for x in (lead, near, first, known, links, found, rest, crowd, rows, known2, more):
         dropped(spark, x)
     return out
 

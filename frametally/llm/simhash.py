@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from frametally.llm import bytekernels as bk
-from frametally.llm.minhash import alike, bands, minima
+from frametally.llm.minhash import bands, minima
 from frametally.llm.shared import bucket_components, components, dropped, stored
 
 SEED = 42
@@ -250,15 +250,12 @@ def similar(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", te
     reps = stored(prints.groupBy("node").agg(F.min("doc_id").alias("rep")), "reps")
     firsts = stored(prints.join(reps.select("node", F.col("rep").alias("doc_id")), ["node", "doc_id"], "left_semi").drop("doc_id").dropDuplicates(["node"]), "firsts")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(reps, "node").select(F.col("rep").alias("_id")).distinct()
-        texts = docs.join(wanted, F.col(id_col).cast("long") == F.col("_id"), "left_semi")
-        sets = stored(texts.select(shingle_sets(F.col(text_col), k).alias("x")).select("x.*").dropDuplicates(["node"]), "sets")
-        out = stored(alike(pairs, sets, similarity), "verified")
-        dropped(docs.sparkSession, sets)
-        return out
+    def sets(wanted: DataFrame) -> DataFrame:
+        ids = wanted.join(reps, "node").select(F.col("rep").alias("_id")).distinct()
+        texts = docs.join(ids, F.col(id_col).cast("long") == F.col("_id"), "left_semi")
+        return texts.select(shingle_sets(F.col(text_col), k).alias("x")).select("x.*").join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
-    found = bucket_components(firsts.select(F.explode("keys").alias("key"), "node"), firsts.drop("keys"), verified, REACH)
+    found = bucket_components(firsts.select(F.explode("keys").alias("key"), "node"), firsts.drop("keys"), sets, similarity, REACH)
     dropped(docs.sparkSession, firsts)
     named = reps.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     low = named.groupBy("component").agg(F.min("rep").alias("component_id"))

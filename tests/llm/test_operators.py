@@ -462,8 +462,9 @@ def test_every_pair_of_a_bucket_is_tested(spark, monkeypatch, chunk):
     """Of nodes 0 to 199 under one key those are linked whose difference is 100: others stand between."""
     monkeypatch.setattr(shared, "CHUNK", chunk)
     dealt = spark.createDataFrame([(7, i) for i in range(200)], "key long, node long")
-    prints = spark.createDataFrame([(i,) for i in range(200)], "node long")
-    got = shared.bucket_components(dealt, prints, lambda pairs: shared.stored(pairs.where("b - a = 100"), "verified"))
+    prints = spark.createDataFrame([(i, 0) for i in range(200)], "node long, w long")
+    sets = spark.createDataFrame([(i, list(range(i % 100 * 5, i % 100 * 5 + 5))) for i in range(200)], "node long, s array<long>")
+    got = shared.bucket_components(dealt, prints, lambda nodes: sets.join(nodes, "node", "left_semi"), 0.8, 3)
     assert {r.node: r.component for r in got.collect()} == {i: i % 100 for i in range(200)}
 
 
