@@ -3,10 +3,11 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from frametally.llm import decontaminate, html_text, licenses, minhash, mixing, quality, repeats, shared, simhash, toxicity, warc
+from frametally.llm import decontaminate, html_text, licenses, minhash, mixing, quality, repeats, shared, simhash, suffixes, toxicity, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"word{i % 97}x{i}" for i in range(20000))
@@ -166,6 +167,31 @@ def test_repeats_by_brute_force(spark, sf, monkeypatch, most):
         assert (g.n_bytes, g.n_removed, g.n_spans, g.sha256) == (len(t.encode()), len(t.encode()) - len(rest), n, hashlib.sha256(rest).hexdigest())
 
 
+def test_passages_by_brute_force(spark, sf, hard):
+    docs = texts(spark, sf)
+    got = {r.doc_id: r for r in repeats.measured(shared.table(spark, sf, "documents")).collect()}
+    raw = [t.encode() for t in docs.values()]
+    for (k, t), (rest, n), (long_rest, _) in zip(docs.items(), removed(raw, repeats.PASSAGE), removed(raw, repeats.LENGTH)):
+        g = got[k]
+        assert (g.n_passages, g.passage_bytes, g.n_removed, g.kept_sha256) == (n, len(t.encode()) - len(rest), len(t.encode()) - len(long_rest), hashlib.sha256(long_rest).hexdigest())
+    assert repeats.measured(hard).count() == len(HARD)
+
+
+def test_large_shards_are_sorted_by_queues_on_disk(spark, monkeypatch):
+    """One anchor in 300 texts: its shard is larger than the queues' memory."""
+    found, old = [], suffixes.DiskQueues._spill
+    monkeypatch.setattr(suffixes.DiskQueues, "_spill", lambda self, symbol: (found.append(symbol), old(self, symbol))[1])
+    passage = "one passage that stands in every text, " * 20
+    shard = [f"{'left ' * 90}{i}{passage}{i}{'right ' * 90}".encode() for i in range(300)]
+    batch = pa.record_batch([pa.array([1] * 300), pa.array([{"x": i, "y": 0} for i in range(300)]), pa.array(shard)], names=["h", "seg", "bytes"])
+    monkeypatch.setattr(repeats, "MEMORY", 1 << 18)
+    hits = [r for out in repeats._sorted_shards(iter([batch]), repeats.LENGTH) for r in out.to_pylist()]
+    assert len(hits) == 300 and found
+    want = removed(shard, repeats.LENGTH)
+    for r, t, (rest, _) in zip(sorted(hits, key=lambda r: r["seg"]["x"]), shard, want):
+        assert len({i for b in r["hits"] for i in range(b["a"], b["b"] + repeats.LENGTH)}) == len(t) - len(rest)
+
+
 def test_repeats_on_hard_rows(spark, hard, empty):
     got = repeats.without_repeats(hard, length=16, k=8).select("doc_id", "text", "kept.*", "seg", "row").collect()
     assert len(got) == len(HARD)
