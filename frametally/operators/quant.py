@@ -45,15 +45,16 @@ def estimate_quality(tables: DataFrame, known: DataFrame, key: str, table: str =
 
     ``known`` holds a few hundred rows (see :func:`families`).  Earlier families
     and lower qualities win ties; fits over FIT give nulls; encoder names the
-    only family that fits exactly.
+    only family that fits exactly.  Each different table is compared once:
+    encoders write few.
     """
     dim = F.broadcast(known.withColumnRenamed("luma", "expected"))
-    fits = tables.join(dim, how="cross").withColumn("fit", deviation(F.col(table), F.col("expected")))
-    best = fits.groupBy(key).agg(
+    fits = tables.select(F.col(table).alias("_table")).distinct().join(dim, how="cross").withColumn("fit", deviation(F.col("_table"), F.col("expected")))
+    best = fits.groupBy("_table").agg(
         F.min(F.struct("fit", "family_ord", "q", "family")).alias("b"), F.collect_set(F.when(F.col("fit") == 0, F.col("family"))).alias("exact_in")
     )
     ok = F.col("b.fit") <= FIT
-    return best.select(
+    return tables.join(best, F.col(table) == F.col("_table")).select(
         key,
         F.when(ok, F.col("b.family")).alias("family"),
         F.when(ok, F.col("b.q")).alias("quality"),

@@ -316,14 +316,17 @@ _BASE = f"base AS (SELECT unnest(range(64)) AS i, unnest({quant.STANDARD_LUMA})
 _SCALED = "CAST(least(255, greatest(1, floor((b * (CASE WHEN q < 50 THEN floor(5000 / q) ELSE 200 - 2 * q END) + 50) / 100))) AS INT)"
 
 
-@query(f"WITH {_BASE} SELECT p_partkey, CAST(i AS INT) AS i, {_SCALED} AS value FROM (SELECT p_partkey, 50 + p_size AS q FROM part WHERE p_partkey % 5 NOT IN (1, 2)) p, base")
+_OBSERVED = f"obs AS (SELECT p_partkey, i, v + CASE WHEN p_partkey % 5 = 1 AND i = 7 THEN 1 WHEN p_partkey % 5 = 2 THEN i % 4 ELSE 0 END AS o FROM (SELECT p_partkey, i, {_SCALED} AS v FROM (SELECT p_partkey, 50 + p_size AS q FROM part) p, base) t)"
+
+
+@query(f"WITH {_BASE}, {_OBSERVED} SELECT p_partkey, CAST(i AS INT) AS i, CAST(o AS INT) AS value FROM obs")
 def scaled_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _tables(spark, sf_dir).where("p_partkey % 5 not in (1, 2)")
+    t = _tables(spark, sf_dir)
     return t.select("p_partkey", F.posexplode("luma").alias("i", "value"))
 
 
 @query(f"""WITH {_BASE}, dim AS (SELECT family_ord, q, i, {_SCALED} AS e FROM (SELECT 0 AS family_ord, q, i, b FROM base, range(1, 101) t(q) UNION ALL SELECT 1, q, i, 16 FROM base, range(1, 101) t(q)) s),
- obs AS (SELECT p_partkey, i, v + CASE WHEN p_partkey % 5 = 1 AND i = 7 THEN 1 WHEN p_partkey % 5 = 2 THEN i % 4 ELSE 0 END AS o FROM (SELECT p_partkey, i, {_SCALED} AS v FROM (SELECT p_partkey, 50 + p_size AS q FROM part) p, base) t),
+ {_OBSERVED},
  fit AS (SELECT p_partkey, family_ord, q, sum(abs(o - e) / CAST(e AS DOUBLE)) / 64 AS fit FROM obs JOIN dim USING (i) GROUP BY ALL),
  best AS (SELECT p_partkey, arg_min((family_ord, q), (round(fit, 9), family_ord, q)) AS b, min(fit) AS fit, count(DISTINCT family_ord) FILTER (fit = 0) AS exact_in, min(family_ord) FILTER (fit = 0) AS exact_first FROM fit GROUP BY p_partkey)
  SELECT p_partkey, CASE WHEN fit <= 0.05 THEN CASE b[1] WHEN 0 THEN 'standard' ELSE 'flat' END END AS family, CASE WHEN fit <= 0.05 THEN CAST(b[2] AS INT) END AS quality, CASE WHEN fit <= 0.05 THEN round(fit, 6) END AS fit,
@@ -333,7 +336,8 @@ def table_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.withColumn("fit", F.round("fit", 6))
 
 
-@query()
+@query(f"""WITH {_BASE}, {_OBSERVED}, l AS (SELECT p_partkey, list_concat([2166136261, 0], flatten(list([CAST(o AS BIGINT) >> 8, CAST(o AS BIGINT) & 255] ORDER BY i))) AS data FROM obs GROUP BY p_partkey)
+ SELECT p_partkey, format('{{{{:08x}}}}', list_reduce(data, lambda a, b: (xor(a, b) * 16777619) & 4294967295)) AS signature FROM l""")
 def table_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tables(spark, sf_dir).select("p_partkey", quant.signature(F.col("luma")).alias("signature"))
 
@@ -471,12 +475,16 @@ def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("client", "event_id", F.expr("timestampdiff(MILLISECOND, timestamp'1970-01-01 00:00:00', ts)").alias("at"), "url")
 
 
-@query()
+@query("""WITH q AS (SELECT client, event_id, epoch_us(ts) // 1000 AS t, row_number() OVER (PARTITION BY client ORDER BY epoch_us(ts) // 1000, event_id) AS k FROM {requests}),
+ s AS (SELECT client, event_id, t, k, CAST(0 AS BIGINT) AS wait, [t] AS hits FROM q WHERE k = 1
+   UNION ALL SELECT client, event_id, t, k, wait, CASE WHEN wait = 0 THEN list_append(day, t) ELSE day END FROM (SELECT *, greatest(CASE WHEN len(hour) >= 2 THEN hour[len(hour) - 1] + 3600000 - t ELSE 0 END, CASE WHEN len(day) >= 10 THEN day[len(day) - 9] + 86400000 - t ELSE 0 END) AS wait FROM
+     (SELECT q.*, list_filter(s.hits, lambda x: x > q.t - 3600000) AS hour, list_filter(s.hits, lambda x: x > q.t - 86400000) AS day FROM s JOIN q ON q.client = s.client AND q.k = s.k + 1) j) w)
+ SELECT client, event_id, t AS "at", wait = 0 AS allowed, wait AS retry_after FROM s""")
 def rate_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limits.limit_batch(_requests(spark, sf_dir), ((3_600_000, 2), (86_400_000, 10)))
 
 
-@query("""WITH q AS (SELECT event_type AS url, event_id, epoch_us(ts) // 1000 AS t, row_number() OVER (PARTITION BY event_type ORDER BY epoch_us(ts) // 1000, event_id) AS k FROM {requests_raw}),
+@query("""WITH q AS (SELECT url, event_id, epoch_us(ts) // 1000 AS t, row_number() OVER (PARTITION BY url ORDER BY epoch_us(ts) // 1000, event_id) AS k FROM {requests}),
  s AS (SELECT url, event_id, t, k, false AS hit, t + 600000 AS until FROM q WHERE k = 1
    UNION ALL SELECT q.url, q.event_id, q.t, q.k, q.t < s.until, CASE WHEN q.t < s.until THEN s.until ELSE q.t + 600000 END FROM s JOIN q ON q.url = s.url AND q.k = s.k + 1)
  SELECT url, event_id, t AS "at", hit FROM s""")

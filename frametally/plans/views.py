@@ -77,8 +77,8 @@ FROM {customer}
 SELECT doc_id AS file_id, concat('img', CAST(doc_id AS VARCHAR(20)), CASE doc_id % 4 WHEN 0 THEN '.JPG' WHEN 1 THEN '.png' WHEN 2 THEN '.webp' ELSE '.txt' END) AS name,
   concat(CASE doc_id % 9 WHEN 0 THEN 'FFD8FFE0' WHEN 1 THEN '89504E470D0A1A0A' WHEN 2 THEN '474946383961' WHEN 3 THEN '52494646000000005745425056503820'
     WHEN 4 THEN '0000001C6674797061766966' WHEN 5 THEN '00000018667479706D696631' WHEN 6 THEN '3C73766720' WHEN 7 THEN '474946383861' ELSE '' END,
-    hex(substr(text, 1, 300))) AS hexbytes
-FROM {documents} WHERE text IS NOT NULL
+    hex(coalesce(text, ''))) AS hexbytes
+FROM {documents}
 """,
     "receipts": """
 SELECT o_orderkey AS line,
@@ -103,9 +103,8 @@ SELECT c_custkey AS file_ord, concat(CASE WHEN c_custkey % 2 = 0 THEN 'A' ELSE '
   CASE c_custkey % 3 WHEN 0 THEN concat('sha256:s', CAST(c_custkey % 97 AS VARCHAR(20))) WHEN 1 THEN concat('sha256:o', CAST(c_custkey % 89 AS VARCHAR(20))) ELSE concat('sha256:x', CAST(c_custkey AS VARCHAR(20))) END AS hash
 FROM {customer}
 """,
-    "requests_raw": "SELECT event_type, event_id, ts FROM {events}",
     "requests": """
-SELECT event_id, user_id AS client, ts, event_type AS url FROM {events}
+SELECT event_id, user_id AS client, ts, concat('/', event_type, '/', CAST(user_id AS VARCHAR(20))) AS url FROM {events}
 """,
 }
 

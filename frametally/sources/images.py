@@ -28,11 +28,15 @@ _SPARK = "struct<width:int,height:int,tables:array<struct<id:int,precision:int,v
 def scan(spark: SparkSession, root: str) -> DataFrame:
     """(path, length, content) of the image files under root, skipped folders left out.
 
-    Spark's listing passes over names that begin with a dot or an underscore.
+    Spark's listing passes over names that begin with a dot or an underscore,
+    and its readers over empty files, which are taken from the listing here.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    plain = F.regexp_replace(F.url_decode(F.regexp_replace("name", r"\+", "%2B")), "^file:/+", "file:/")
+    listed = spark.createDataFrame([(n,) for n in files.inputFiles()], "name string").select(plain.alias("path"))
+    empty = listed.join(files.select("path"), "path", "left_anti").select("path", F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content"))
     skipped = r"(^|/)(" + "|".join(s.replace(".", r"\.") for s in SKIPPED) + r")/"
-    return files.where(F.col("path").rlike(containers.IMAGE_NAME) & ~F.col("path").rlike(skipped)).select("path", "length", "content")
+    return files.select("path", "length", "content").unionByName(empty).where(F.col("path").rlike(containers.IMAGE_NAME) & ~F.col("path").rlike(skipped))
 
 
 def examine(files: DataFrame) -> DataFrame:

@@ -297,7 +297,9 @@ def test_tolerances(spark):
     assert [r[0] for r in d.select(ok).collect()] == [True, False]
 
 
-def test_limiter_batch_and_stream_agree_with_a_replay(spark, tmp_path):
+@pytest.fixture(scope="module")
+def replayed(spark):
+    """Requests, and what a replay of the step decides."""
     rng = random.Random(4)
     rows = sorted((rng.randint(0, 5000), i, rng.randint(1, 3)) for i in range(300))
     windows = ((300, 3), (2000, 9))
@@ -305,19 +307,28 @@ def test_limiter_batch_and_stream_agree_with_a_replay(spark, tmp_path):
     for at, i, client in rows:
         hits[client], ok, wait = limits.step(hits.get(client, []), at, windows)
         want[i] = (ok, wait)
-    frame_ = spark.createDataFrame([(c, i, at) for at, i, c in rows], "client long, event_id long, at long")
-    assert {r.event_id: (r.allowed, r.retry_after) for r in limits.limit_batch(frame_, windows).collect()} == want
     assert sum(ok for ok, _ in want.values()) < 300
-    source = str(tmp_path / "in")
-    cut = rows[150][0]
-    frame_.where(F.col("at") < cut).coalesce(1).write.parquet(source)
-    stream = limits.limit_stream(spark.readStream.schema(frame_.schema).parquet(source), windows)
-    query = stream.writeStream.format("memory").queryName("limited").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").start()
-    query.processAllAvailable()
-    frame_.where(F.col("at") >= cut).coalesce(1).write.mode("append").parquet(source)
-    query.processAllAvailable()
-    query.stop()
-    assert {r.event_id: (r.allowed, r.retry_after) for r in spark.sql("SELECT * FROM limited").collect()} == want
+    return spark.createDataFrame([(c, i, at) for at, i, c in rows], "client long, event_id long, at long"), windows, want, rows[150][0]
+
+
+def test_limiter_batch_agrees_with_a_replay(replayed):
+    requests, windows, want, _ = replayed
+    assert {r.event_id: (r.allowed, r.retry_after) for r in limits.limit_batch(requests, windows).collect()} == want
+
+
+def test_limiter_stream_agrees_with_a_replay(spark, replayed, tmp_path):
+    """Two runs on one checkpoint, each over what has come by then."""
+    requests, windows, want, cut = replayed
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for half in (requests.where(F.col("at") < cut), requests.where(F.col("at") >= cut)):
+        half.coalesce(1).write.mode("append").parquet(source)
+        stream = limits.limit_stream(spark.readStream.schema(requests.schema).parquet(source), windows)
+        run = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
+        try:
+            assert run.awaitTermination(90)
+        finally:
+            run.stop()
+    assert {r.event_id: (r.allowed, r.retry_after) for r in spark.read.parquet(out).collect()} == want
 
 
 def test_cache_entries_expire(spark):
