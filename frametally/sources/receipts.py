@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,79 +18,111 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return text.select("file", F.posexplode("l").alias("p", "raw")).select("file", (F.col("p") + 1).alias("line"), "raw")
 
 
-class _Receipt:
-    """Tests of the fields of one receipt, a variant."""
-
-    SCHEMAS = {"null": "VOID", "string": "STRING", "number": "BIGINT|DOUBLE|DECIMAL.*|FLOAT|INT|SMALLINT|TINYINT", "object": "OBJECT.*"}
-
-    def __init__(self, j: Column):
-        self.j = j
-
-    def get(self, path: str, kind: str) -> Column:
-        return F.try_variant_get(self.j, f"$.{path}", kind)
-
-    def is_(self, path: str, *kinds: str) -> Column:
-        """Whether a field is present with one of the JSON types (string, number, object, null)."""
-        one = F.schema_of_variant(F.variant_get(self.j, f"$.{path}", "variant"))
-        return F.coalesce(one.rlike("^(" + "|".join(self.SCHEMAS[k] for k in kinds) + ")$"), F.lit(False))
-
-    def text(self, path: str) -> Column:
-        return self.is_(path, "string") & (F.length(self.get(path, "string")) > 0)
-
-    def count(self, path: str) -> Column:
-        v = self.get(path, "double")
-        return self.is_(path, "number") & (v > 0) & (v == F.floor(v))
-
-    def problem(self) -> Column:
-        """The first problem, null if there is none."""
-        is_, text, get = self.is_, self.text, self.get
-        checks = [
-            (is_("v", "number") & (get("v", "double") == 1), "v must be 1"),
-            (text("ts"), "ts must be text"),
-            (text("asset"), "asset must be text"),
-            (text("sourceHash"), "sourceHash must be text"),
-            (is_("outputHash", "null") | text("outputHash"), "outputHash must be text or null"),
-            (is_("sourceRecovered", "null") | text("sourceRecovered.from") & text("sourceRecovered.via"), "sourceRecovered must have from and via, or be null"),
-            (self.count("reference.w") & self.count("reference.h") & text("reference.hash"), "reference must have w, h and hash"),
-            (is_("decision", "string") & get("decision", "string").isin(*DECISIONS), "decision is unknown"),
-            (is_("reason", "null", "string"), "reason must be text or null"),
-            (is_("output", "null") | text("output.format") & is_("output.quality", "null", "number") & is_("output.bytes", "number"), "output must have format, quality and bytes, or be null"),
-            (text("before.format") & is_("before.bytes", "number"), "before must have format and bytes"),
-            (is_("metrics", "null") | is_("metrics.ssim", "number") & is_("metrics.deltaE", "number") & is_("metrics.distortion", "number"), "metrics must have ssim, deltaE and distortion, or be null"),
-            (is_("weight", "null", "number"), "weight must be a number or null"),
-            (is_("lambda", "null", "number"), "lambda must be a number or null"),
-            (
-                is_("provenance", "null")
-                | is_("provenance.generations", "null", "number")
-                & is_("provenance.estimatedOriginalQuality", "null", "number")
-                & F.coalesce(get("provenance.headroom", "string").isin("normal", "low", "none"), F.lit(False)),
-                "provenance must have generations, estimatedOriginalQuality and headroom, or be null",
-            ),
-            (is_("encoder", "null", "string"), "encoder must be text or null"),
-            (text("tool"), "tool must be text"),
-            (
-                (get("decision", "string") != "encoded") | ~(is_("outputHash", "null") | is_("output", "null") | is_("metrics", "null")),
-                "an encoded entry must have outputHash, output and metrics",
-            ),
-        ]
-        out = F.when(self.j.isNull(), "invalid JSON").when(~F.coalesce(F.schema_of_variant(self.j).startswith("OBJECT"), F.lit(False)), "not an object")
-        for ok, reason in checks:
-            out = out.when(~F.coalesce(ok, F.lit(False)), reason)
-        return out
-
-    def judged(self) -> Column:
-        names = (("asset", "asset"), ("decision", "decision"), ("source_hash", "sourceHash"), ("output_hash", "outputHash"))
-        return F.struct(self.problem().alias("reason"), *[self.get(path, "string").alias(name) for name, path in names])
+#: Key -> what its value must be: kinds of values, or the fields of an object and whether it may be null instead.
+FIELDS: dict[str, str | tuple[dict[str, str], bool]] = {
+    "v": "one",
+    "ts": "text",
+    "asset": "text",
+    "sourceHash": "text",
+    "outputHash": "text null",
+    "sourceRecovered": ({"from": "text", "via": "text"}, True),
+    "reference": ({"w": "count", "h": "count", "hash": "text"}, False),
+    "decision": "decision",
+    "reason": "string null",
+    "output": ({"format": "text", "quality": "number null", "bytes": "number"}, True),
+    "before": ({"format": "text", "bytes": "number"}, False),
+    "metrics": ({"ssim": "number", "deltaE": "number", "distortion": "number"}, True),
+    "weight": "number null",
+    "lambda": "number null",
+    "provenance": ({"generations": "number null", "estimatedOriginalQuality": "number null", "headroom": "headroom"}, True),
+    "encoder": "string null",
+    "tool": "text",
+}
+#: Keys that an encoded entry must not have null.
+ENCODED = ("outputHash", "output", "metrics")
+
+
+def _number(x: object) -> bool:
+    return isinstance(x, (int, float)) and not isinstance(x, bool)
+
+
+_KINDS = {
+    "null": lambda x: x is None,
+    "string": lambda x: isinstance(x, str),
+    "text": lambda x: isinstance(x, str) and x != "",
+    "number": _number,
+    "count": lambda x: _number(x) and x > 0 and x == int(x),
+    "one": lambda x: _number(x) and x == 1,
+    "decision": lambda x: isinstance(x, str) and x in DECISIONS,
+    "headroom": lambda x: isinstance(x, str) and x in ("normal", "low", "none"),
+}
+_NAMES = {"null": "null", "string": "text", "text": "text", "number": "a number"}
+
+
+def _is(value: object, kinds: str) -> bool:
+    return any(_KINDS[k](value) for k in kinds.split())
+
+
+def _listed(names: list[str]) -> str:
+    return names[0] if len(names) == 1 else f"{', '.join(names[:-1])} and {names[-1]}"
+
+
+def _message(key: str, rule: str | tuple[dict[str, str], bool]) -> str:
+    if isinstance(rule, tuple):
+        return f"{key} must have {_listed(list(rule[0]))}" + ", or be null" * rule[1]
+    special = {"one": f"{key} must be 1", "decision": f"{key} is unknown"}
+    return special.get(rule) or f"{key} must be " + " or ".join(_NAMES[k] for k in rule.split())
+
+
+def problem(entry: object) -> str | None:
+    """The first problem of a parsed line, in order of the keys."""
+    if not isinstance(entry, dict):
+        return "not an object"
+    for key, rule in FIELDS.items():
+        value = entry.get(key, entry)  # the entry itself is of no kind
+        if isinstance(rule, tuple):
+            fields, nullable = rule
+            ok = value is None and nullable or isinstance(value, dict) and value is not entry and all(_is(value.get(f, entry), kinds) for f, kinds in fields.items())
+        else:
+            ok = _is(value, rule)
+        if not ok:
+            return _message(key, rule)
+    if entry["decision"] == "encoded" and any(entry[k] is None for k in ENCODED):
+        return f"an encoded entry must have {_listed(list(ENCODED))}"
+    return None
+
+
+def _no_constant(name: str) -> None:
+    raise ValueError(name)
+
+
+_FOUND = (("asset", "asset"), ("decision", "decision"), ("source_hash", "sourceHash"), ("output_hash", "outputHash"))
+
+
+def judged(raw: Column) -> Column:
+    """struct(reason, asset, decision, source_hash, output_hash) of each line, parsed once in Arrow batches."""
+    kind = pa.struct([pa.field(n, pa.string()) for n in ("reason", *dict(_FOUND))])
+
+    @F.arrow_udf(", ".join(f"{f.name} string" for f in kind).join(("struct<", ">")).replace(" string", ":string"))
+    def judge(lines: pa.Array) -> pa.Array:
+        out = []
+        for line in lines.to_pylist():
+            try:
+                entry = json.loads(line, parse_constant=_no_constant)
+                reason = problem(entry)
+            except (ValueError, RecursionError, OverflowError):
+                entry, reason = None, "invalid JSON"
+            got = entry if isinstance(entry, dict) else {}
+            out.append({"reason": reason} | {n: got.get(k) if isinstance(got.get(k), str) else None for n, k in _FOUND})
+        return pa.array(out, kind)
+
+    return judge(raw)
 
 
 def parse(lines: DataFrame) -> DataFrame:
-    """lines (..., raw) that aren't blank, with ``reason`` (null: valid) and the fields that joins need.
-
-    The receipt is a lambda's variable, so each line is parsed once.
-    """
+    """lines (..., raw) that aren't blank, with ``reason`` (null: valid) and the fields that joins need."""
     trimmed = lines.withColumn("raw", F.regexp_replace("raw", r"^\s+|\s+$", "")).where("raw <> ''")
-    judged = F.transform(F.array(F.try_parse_json("raw")), lambda j: _Receipt(j).judged())[0]
-    return trimmed.withColumn("_r", judged).select(*lines.columns, "_r.*")
+    return trimmed.withColumn("_r", judged(F.col("raw"))).select(*lines.columns, "_r.*")
 
 
 def to_json(entry: Column) -> Column:
