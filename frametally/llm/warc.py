@@ -18,7 +18,9 @@ Defined results: null html is an empty payload; a null url is an empty target
 address; records are told apart by page id and payload, so repeated rows and
 rows without an id are written as often as they occur (an id that is null
 never is what others revisit); payloads below ``least`` bytes are always
-responses; a damaged record has ``valid`` false and a reason, and the read goes on.
+responses; a damaged record (a header that is no number, a length that isn't the
+block's, missing segments, a wrong digest) has ``valid`` false and a reason, and
+the read goes on with the next record.
 """
 
 from __future__ import annotations
@@ -140,56 +142,70 @@ def write(pages: DataFrame, path: str, least: int = 0, segment: int = SEGMENT) -
 
 
 _FIELD = re.compile(rb"([^:\r\n]+):[ \t]*([^\r\n]*)\r\n")
+_START = re.compile(rb"(?:\A|\r\n)(WARC/\d)")
 
 
-def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record of an archive; ends at what is no record."""
+def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes, str | None]]:
+    """(headers, block, flaw) of each record of an archive.
+
+    After a record whose length is missing, no number or not that of its block,
+    and after what is no record, reading goes on where the next one begins.
+    """
     at = 0
-    while content.startswith(b"WARC/", at):
+    while m := _START.search(content, max(0, at - 2)):
+        at = m.start(1)
         end = content.find(b"\r\n\r\n", at)
         if end < 0:
+            yield {}, b"", "header cut short"
             return
         fields = {k.decode("utf-8", "replace").strip().lower(): v.decode("utf-8", "replace").strip() for k, v in _FIELD.findall(content[content.find(CRLF, at) + 2 : end + 2])}
-        try:
-            size = int(fields.get("content-length", ""))
-        except ValueError:
-            return
-        yield fields, content[end + 4 : end + 4 + size]
-        at = end + 4 + size
-        while content[at : at + 2] == CRLF:
-            at += 2
+        size, begin = _count(fields.get("content-length")), end + 4
+        stop = begin + (size or 0)
+        if size is not None and stop <= len(content) and content[stop : stop + 4] in (b"\r\n\r\n", b"\r\n", b""):
+            yield fields, content[begin:stop], None
+            at = stop
+            continue
+        after = _START.search(content, begin)
+        at = after.start() if after else len(content)
+        yield fields, content[begin:at].removesuffix(b"\r\n"), "content length is no number" if size is None else "content length differs"
+
+
+def _count(text: str | None, most: int = (1 << 63) - 1) -> int | None:
+    """A header's number; None where it is none, is negative or too large."""
+    return int(text) if text and text.isascii() and text.isdigit() and len(text) < 20 and int(text) <= most else None
 
 
-_RECORD = "origin string, number int, total long, kind string, url string, digest string, length long, refers_to string, block binary"
+_RECORD = "origin string, number int, total long, kind string, url string, digest string, length long, refers_to string, block binary, flaw string"
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.string()]
+    names = [x.split()[0] for x in _RECORD.split(", ")]
     for batch in batches:
         for content in batch.column(0):
             rows = []
-            for f, block in parse(content.as_buffer().to_pybytes()):
+            for f, block, flaw in parse(content.as_buffer().to_pybytes()):
                 kind = f.get("warc-type", "")
-                if kind not in ("response", "revisit", "continuation"):
+                if kind not in ("response", "revisit", "continuation") and not (flaw and not kind):
                     continue
-                own = f.get("warc-record-id")
-                number = int(f.get("warc-segment-number", "0"))
-                total = f.get("warc-segment-total-length")
-                length = f.get("x-payload-length")
-                rows.append((f.get("warc-segment-origin-id", own), number, total and int(total), kind, f.get("warc-target-uri"), f.get("warc-payload-digest", "").removeprefix("sha1:"), length and int(length), f.get("warc-refers-to"), block))
-            kinds = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
-            names = [x.split()[0] for x in _RECORD.split(", ")]
+                number, total, length = _count(f.get("warc-segment-number", "0"), (1 << 31) - 1), _count(f.get("warc-segment-total-length")), _count(f.get("x-payload-length"))
+                for name, value in (("warc-segment-number", number), ("warc-segment-total-length", total), ("x-payload-length", length)):
+                    if name in f and value is None:
+                        flaw = flaw or f"{name} is no number"
+                origin = f.get("warc-segment-origin-id", f.get("warc-record-id"))
+                rows.append((origin, number or 0, total, kind, f.get("warc-target-uri"), f.get("warc-payload-digest", "").removeprefix("sha1:"), length, f.get("warc-refers-to"), block, flaw))
             yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], names=names)
 
 
-def payload(block: Column, digest_: Column, kind: Column) -> Column:
-    """struct(payload binary, sha1, reason) of a whole HTTP block; reason is null where all is well."""
+def payload(blocks: Column, digest_: Column, kind: Column) -> Column:
+    """struct(payload binary, sha1, reason) of an HTTP block in parts; reason is null where all is well."""
     out = pa.struct([("payload", pa.binary()), ("sha1", pa.string()), ("reason", pa.string())])
 
     @F.arrow_udf("struct<payload:binary,sha1:string,reason:string>")
-    def decoded(blocks: pa.Array, digests: pa.Array, kinds: pa.Array) -> pa.Array:
+    def decoded(wholes: pa.Array, digests: pa.Array, kinds: pa.Array) -> pa.Array:
         rows = []
-        for b, d, k in zip(blocks, digests.to_pylist(), kinds.to_pylist()):
-            raw = b.as_buffer().to_pybytes() if b.is_valid else b""
+        for b, d, k in zip(wholes, digests.to_pylist(), kinds.to_pylist()):
+            raw = b"".join(x.as_buffer() for x in b.values if x.is_valid) if b.is_valid else b""
             head, _, body = raw.partition(b"\r\n\r\n")
             if k == "revisit":
                 rows.append((None, d, None))
@@ -203,7 +219,7 @@ def payload(block: Column, digest_: Column, kind: Column) -> Column:
                 rows.append((None, None, str(e)))
         return pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows) if rows else [[]] * 3, out)], fields=list(out))
 
-    return decoded(block, digest_, kind)
+    return decoded(blocks, digest_, kind)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -211,16 +227,19 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     records = files.mapInArrow(_read, _RECORD)
     # segments meet under their origin; whole records have nothing to wait for
-    whole = records.where("number = 0").select(F.col("origin").alias("record_id"), "kind", "url", "digest", "length", "refers_to", F.lit(1).alias("segments"), "block", F.lit(None).cast("string").alias("gap"))
+    whole = records.where("number = 0").select(
+        F.col("origin").alias("record_id"), "kind", "url", "digest", "length", "refers_to", F.lit(1).alias("segments"), F.array("block").alias("blocks"),
+        F.coalesce("flaw", F.when(F.col("kind") == "continuation", "segment number missing")).alias("gap"),
+    )
     parts = (
         records.where("number > 0")
         .groupBy("origin")
         .agg(
             F.array_sort(F.collect_list(F.struct("number", "block"))).alias("parts"),
             F.max("total").alias("total"),
+            F.max("flaw").alias("flaw"),
             *[F.max(F.when(F.col("number") == 1, F.col(c))).alias(c) for c in ("kind", "url", "digest", "length", "refers_to")],
         )
-        .withColumn("block", F.expr("aggregate(parts, cast('' as binary), (a, x) -> concat(a, x.block))"))
         .select(
             F.col("origin").alias("record_id"),
             "kind",
@@ -229,14 +248,15 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             "length",
             "refers_to",
             F.size("parts").alias("segments"),
-            "block",
-            F.when(F.expr("transform(parts, x -> x.number) <> sequence(1, size(parts))"), "segment missing")
+            F.expr("transform(parts, x -> x.block)").alias("blocks"),
+            F.when(F.col("flaw").isNotNull(), F.col("flaw"))
+            .when(F.expr("transform(parts, x -> x.number) <> sequence(1, size(parts))"), "segment missing")
             .when(F.col("total").isNull(), "last segment missing")
-            .when(F.octet_length("block") != F.col("total"), "total length differs")
+            .when(F.expr("aggregate(parts, 0L, (n, x) -> n + octet_length(x.block))") != F.col("total"), "total length differs")
             .alias("gap"),
         )
     )
-    both = whole.unionByName(parts).withColumn("p", payload(F.col("block"), F.col("digest"), F.col("kind")))
+    both = whole.unionByName(parts).withColumn("p", payload(F.col("blocks"), F.col("digest"), F.col("kind")))
     reason = F.coalesce("gap", "p.reason")
     return both.select("record_id", "kind", "url", "digest", "length", "refers_to", "segments", "p.payload", "p.sha1", reason.isNull().alias("valid"), reason.alias("reason"))
 

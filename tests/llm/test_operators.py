@@ -421,6 +421,28 @@ def test_warc_damage_is_reported(spark, tmp_path):
     assert warc.unchunked(warc.chunked(b"x" * 20000)) == b"x" * 20000
 
 
+@pytest.mark.parametrize("old,new,reason", [
+    (b"Content-Length: ", b"Content-Length: x", "content length is no number"), (b"Content-Length: ", b"Content-Length: 9", "content length differs"),
+    (b"X-Payload-Length: ", b"X-Payload-Length: -", "x-payload-length is no number"), (b"WARC-Date", b"WARC-Segment-Number: 99999999999\r\nWARC-Date", "warc-segment-number is no number"),
+])
+def test_warc_reading_goes_on_after_damage(spark, tmp_path, old, new, reason):
+    sha = [base64.b32encode(hashlib.sha1(x).digest()).decode() for x in (b"aa", b"bb", b"cc")]
+    records = [warc.page_records(i, "u", x, s, None) for i, (x, s) in enumerate(zip((b"aa", b"bb", b"cc"), sha))]
+    records = [r[0] for r in records]
+    records[1] = records[1].replace(old, new, 1)
+    (tmp_path / "part-0").write_bytes(b"no record\r\n" + b"".join(r + b"\r\n\r\n" for r in records))
+    got = {r.record_id.split(":")[2]: (r.valid, r.reason) for r in warc.read(spark, str(tmp_path)).collect()}
+    assert got == {"0": (True, None), "1": (False, reason), "2": (True, None)}
+
+
+def test_warc_on_hard_rows(spark):
+    kind = "page_id long, url string, html string"
+    rows = [(1, None, None), (2, "", ""), (None, "u", "no id"), (3, "u", "twice"), (3, "u", "twice"), (4, "u", LONG)]
+    extra = spark.createDataFrame(rows, kind).withColumns({n: F.lit(9) for n in ("digest", "first", "record", "block", "number")})
+    assert Counter((r.page_id, r.payload_bytes) for r in warc.round_trip(extra).collect()) == Counter((i, len(h or "")) for i, _, h in rows)
+    assert warc.round_trip(spark.createDataFrame([], kind)).count() == 0
+
+
 # 10 --------------------------------------------------------------------------------
 
 
