@@ -1,7 +1,8 @@
 """Main text of HTML pages, with site templates found by counting element subtrees.
 
 A page is parsed into a tree of elements.  Every block element's subtree has a
-hash of its tags and text.  Spark counts, for each host, on how many different
+hash of its tags and text, and outside articles one of its shape, in which the
+texts of links don't count: menus recur though their items differ.  Spark counts, for each host, on how many different
 pages each subtree stands; a subtree on at least ``PAGES`` pages and ``SHARE``
 of its host's pages, or on ``OFTEN`` pages, is template and is deleted wherever
 it stands on that host, unless nothing of a page would be left.  What
@@ -135,45 +136,62 @@ def parse(page: str) -> Element:
     return root
 
 
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
 def _walk(root: Element):
-    """(element, hash, inside an article) of every block element, inner ones first."""
+    """(element, hashes, inside an article) of every block element, inner ones first.
+
+    The first hash is of all tags and text.  Outside articles a subtree with
+    links has a second one, in which a link's text doesn't count and equal
+    neighbours count once, so menus of other items, and of more, have it too.
+    """
     out = []
     # an explicit stack: pages may nest deeper than Python calls
-    work = [(root, False, 0, [])]
+    work = [(root, False, 0, [], [])]
     while work:
-        e, article, i, parts = work.pop()
+        e, article, i, parts, shape = work.pop()
         while i < len(e.inner):
             x = e.inner[i]
             i += 1
             if isinstance(x, str):
-                parts.append(" ".join(x.split()))
+                text = " ".join(x.split())
+                parts.append(text)
+                if text and e.tag != "a" and shape[-1:] != [text]:
+                    shape.append(text)
             else:
-                work.append((e, article, i, parts))
-                work.append((x, article or x.tag in ("article", "main"), 0, []))
+                work.append((e, article, i, parts, shape))
+                work.append((x, article or x.tag in ("article", "main"), 0, [], []))
                 break
         else:
             h = xxhash.xxh64_intdigest("\0".join([e.tag, *parts]).encode("utf-8", "replace"))
+            linked = e.tag == "a" or any(p.startswith("\1") for p in shape)
+            g = xxhash.xxh64_intdigest("\0".join(["\1", e.tag, *shape]).encode("utf-8", "replace"))
             if work:
                 work[-1][3].append(f"{h:x}")
+                own = f"\1{g:x}" if linked else f"{h:x}"
+                if work[-1][4][-1:] != [own]:
+                    work[-1][4].append(own)
             if e.tag in BLOCK and parts:
-                out.append((e, h - (1 << 64) if h >> 63 else h, article))
+                out.append((e, (_signed(h), _signed(g)) if linked and not article else (_signed(h),), article))
     return out
 
 
 def _candidates(page: str) -> list[int]:
     """Hashes of the subtrees that may be template: all blocks but running text, articles and their parents."""
     keep = {"#root", "html", "body", "article", "main"}
-    return list({h for e, h, article in _walk(parse(page)) if e.tag not in keep and not (article and e.tag in PROSE)})
+    return list({h for e, hashes, article in _walk(parse(page)) if e.tag not in keep and not (article and e.tag in PROSE) for h in hashes})
 
 
-def main_text(page: str, template: set[int] | frozenset[int] = frozenset()) -> str:
+def main_text(page: str, template: frozenset[int] = frozenset()) -> str:
     """The blocks of a page's main text, joined by two line ends; with templates if they hold all of it."""
     return _blocks(page, template) or (_blocks(page, frozenset()) if template else "")
 
 
-def _blocks(page: str, template: set[int] | frozenset[int]) -> str:
+def _blocks(page: str, template: frozenset[int]) -> str:
     root = parse(page)
-    gone = {id(e) for e, h, article in _walk(root) if h in template and not (article and e.tag in PROSE)} if template else ()
+    gone = {id(e) for e, hashes, article in _walk(root) if not template.isdisjoint(hashes) and not (article and e.tag in PROSE)} if template else ()
     mains = _mains(root, gone)
     blocks: list[str] = []
     for top in mains or [root]:

@@ -334,6 +334,25 @@ def test_templates_go_where_they_recur(spark):
     assert all(got[i].endswith(f"page {i}") for i in range(12))
 
 
+def test_menus_of_other_items_are_template(spark):
+    """Lists of links in plain divs, as many on each page as it has, go; what differs otherwise stays."""
+    rows = []
+    for i in range(12):
+        menu = "".join(f"<li><a href='/{i}/{j}'>item {i} {j}</a></li>" for j in range(2 + i % 3))
+        rows.append((i, f"http://m.example/{i}", f"<div><ul>{menu}</ul></div><div>own text {i}<p>and <a href='/x'>a link {i}</a> in it {i}</div>"))
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: f"own text {i}\n\nand a link {i} in it {i}" for i in range(12)}
+
+
+def test_pages_on_hard_rows(spark):
+    kind = "page_id long, url string, html string"
+    rows = [(1, None, None), (2, "", ""), (None, "u", "<p>no id"), (3, "u", "<p>twice"), (3, "u", "<p>twice"), (4, "u", "<p>" + LONG), (5, "http://[", "<" * 300 + "</p" * 300)]
+    extra = spark.createDataFrame(rows, kind).withColumns({n: F.lit(9) for n in ("hash", "host", "k1", "k2", "hashes", "template", "text", "n_chars")})
+    got = html_text.extract(extra).collect()
+    assert len(got) == len(rows) and {r.page_id: r.text for r in got if r.page_id != 5} == {1: "", 2: "", None: "no id", 3: "twice", 4: LONG}
+    assert html_text.extract(spark.createDataFrame([], kind)).count() == 0
+
+
 def test_sentences_shared_by_articles_stay(spark):
     rows = [(i, "http://a.example/", f"<article><p>The same line.</p><p>{i}</p></article>") for i in range(20)]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
