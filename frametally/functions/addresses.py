@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +72,77 @@ def check_ipv4(addresses: DataFrame, number: str) -> DataFrame:
     return first.select(*addresses.columns, F.when(F.col("r.ord").isNotNull(), F.col("r.reason")).alias("reason"))
 
 
+def ipv4_reason(number: Column) -> Column:
+    """That of the first range the number lies in, null where it is public."""
+    out = None
+    for base, bits, reason in RANGES:
+        inside = F.shiftrightunsigned(number, 32 - bits) == _number(base) >> (32 - bits)
+        out = F.when(inside, reason) if out is None else out.when(inside, reason)
+    return out
+
+
+def _once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x, which is computed once however often f names it."""
+    return F.transform(F.array(x), f)[0]
+
+
+_QUAD = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+
+
+def ipv6_groups(text: Column) -> Column:
+    """The eight groups of an IPv6 address, bracketed or not, a zone left out, with or without an IPv4 tail; null if it is none."""
+    bare = F.substring_index(F.regexp_replace(text, r"^\[(.*)\]$", "$1"), "%", 1)
+
+    def without_quad(s: Column) -> Column:
+        tail = F.substring_index(s, ":", -1)
+        octet = [F.split(tail, r"\.")[i].cast("int") for i in range(4)]
+        groups = F.concat(F.hex(octet[0] * 256 + octet[1]), F.lit(":"), F.hex(octet[2] * 256 + octet[3]))
+        return F.when(~s.contains("."), s).when(tail.rlike(rf"^{_QUAD}(\.{_QUAD}){{3}}$"), F.concat(F.substr(s, F.lit(1), F.length(s) - F.length(tail)), groups))
+
+    def listed(half: Column) -> Column:
+        return F.when(F.coalesce(half, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(half, ":", -1))
+
+    def filled(x: Column) -> Column:
+        head, rest, parts = x["head"], x["rest"], x["parts"]
+        total = F.size(head) + F.size(rest)
+        known = F.forall(F.concat(head, rest), lambda g: g.rlike("^[0-9a-fA-F]{1,4}$"))
+        ok = known & ((parts == 1) & (total == 8) | (parts == 2) & (total <= 7))
+        return F.when(ok, F.transform(F.concat(head, F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - total)), rest), lambda g: F.conv(g, 16, 10).cast("long")))
+
+    def split(s: Column) -> Column:
+        halves = F.split(s, "::", -1)
+        return F.struct(listed(F.get(halves, F.lit(0))).alias("head"), listed(F.get(halves, F.lit(1))).alias("rest"), F.when(s.contains(":"), F.size(halves)).alias("parts"))
+
+    return _once(_once(_once(bare, without_quad), split), filled)
+
+
+def ipv6_reason(groups: Column) -> Column:
+    """Why an IPv6 address isn't public, null if it is: its own range, or that of the IPv4 address it stands for."""
+    g = [groups[i] for i in range(8)]
+    zero = lambda a, b: F.forall(F.slice(groups, a + 1, b - a), lambda x: x == 0)
+    inner = lambda how, i: F.concat(F.lit(f"{how}: "), ipv4_reason(g[i] * 65536 + g[i + 1]))
+    # Ranges that aren't public, and forms that hold an IPv4 address.
+    return (
+        F.when(zero(0, 8), "unspecified")
+        .when(zero(0, 7) & (g[7] == 1), "loopback")
+        .when(F.shiftright(g[0], 6) == 0x3FA, "link-local")
+        .when(F.shiftright(g[0], 9) == 0x7E, "unique-local")
+        .when(F.shiftright(g[0], 8) == 0xFF, "multicast")
+        .when((g[0] == 0x2001) & (g[1] == 0xDB8), "documentation")
+        .when(zero(0, 5) & (g[5] == 0xFFFF), inner("mapped", 6))
+        .when((g[0] == 0x64) & (g[1] == 0xFF9B) & zero(2, 6), inner("nat64", 6))
+        .when(zero(0, 6), inner("compatible", 6))
+        .when(g[0] == 0x2002, inner("6to4", 1))
+    )
+
+
+def address_reason(text: Column) -> Column:
+    """Why an address, IPv4 or IPv6, must not be reached; null if it may."""
+    six = _once(ipv6_groups(text), lambda g: F.when(g.isNull(), "no address").otherwise(ipv6_reason(g)))
+    four = _once(ipv4_number(text), lambda n: F.when(n.isNull(), "no address").otherwise(ipv4_reason(n)))
+    return F.when(text.contains(":"), six).otherwise(four)
+
+
 def hostname_refused(host: Column) -> Column:
     h = F.regexp_replace(F.lower(host), r"\.$", "")
     return (h == "localhost") | h.endswith(".localhost") | (h == "")

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 IMAGE = r"(?i)\.(avif|gif|jpe?g|png|webp)$"
 # Prefixes of transformation segments and names of transformation parameters.
-SEGMENT = r"[a-z]{1,3}_[^,]+"
 SEGMENT_PREFIXES = "a ar b bo br c co cs dl dn dpr du e eo f fl fn g h ki l o q r so sp t u vc vs w x y z".split()
 PARAMETERS = "ar auto crop cs dpr fit fm h q rect w".split()
 VIA = ("wordpress", "nextjs", "shopify", "cdn", "srcset", "retina")
@@ -150,3 +149,22 @@ def proposals(assets: DataFrame, key: str, url_col: str = "url", srcset_col: str
     rows = assets.select(key, F.posexplode(found).alias("at", "p")).select(key, "at", "p.url", "p.via")
     first = rows.groupBy(key, "url").agg(F.min(F.struct("at", "via")).alias("f"))
     return first.select(key, F.col("f.at").alias("ord"), "url", F.col("f.via").alias("via"))
+
+
+def normalised(url: Column) -> Column:
+    """One form of a URL: scheme and host in lower case, no credentials, default port or fragment, parameters in
+    order of their names and encoded alike; what is no absolute URL stays."""
+    scheme, at = F.lower(F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.-]*)://", 1)), F.lower(F.regexp_extract(url, r"^[^:]*://(?:[^/?#]*@)?([^/?#@]*)", 1))
+    at = F.when(scheme == "http", F.regexp_replace(at, ":80$", "")).when(scheme == "https", F.regexp_replace(at, ":443$", "")).otherwise(at)
+    before = F.substring_index(url, "#", 1)
+    query = F.when(before.contains("?"), F.regexp_extract(before, r"(?s)\?(.*)$", 1)).otherwise("")
+    path = F.regexp_extract(F.substring_index(before, "?", 1), r"^[^:]*://[^/]*(.*)$", 1)
+    # in order of names; pairs of one name keep theirs
+    named = F.transform(pairs(F.concat(F.lit("?"), query)), lambda p, i: F.struct(_decoded(key_of(p)).alias("k"), i.alias("i"), _decoded(value_of(p)).alias("v")))
+    sorted_ = F.array_join(F.transform(F.array_sort(named), lambda p: F.concat(F.url_encode(p["k"]), F.lit("="), F.url_encode(p["v"]))), "&")
+    whole = F.concat(scheme, F.lit("://"), at, F.when(path == "", "/").otherwise(path), F.when(sorted_ == "", "").otherwise(F.concat(F.lit("?"), sorted_)))
+    return F.when((scheme != "") & (at != ""), whole).otherwise(url)
+
+
+def _decoded(text: Column) -> Column:
+    return F.coalesce(F.try_url_decode(text), text)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from frametally.functions import addresses, containers, layout, rates, urls
-from frametally.operators import decide, hull, pixels, quant, spectrum, sweep, verify
+from frametally.operators import decide, history, hull, pixels, provenance, quant, resize, spectrum, sweep, verify
 from frametally.plans.views import duckdb_sql, view
 from frametally.sources import pages, receipts
 from frametally.streaming import limits
@@ -302,6 +302,41 @@ def effective_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rings.where("spectrum is not null").select("image", F.round(pixels.effective_share("spectrum"), 6).alias("share"))
 
 
+@query(f"""WITH {_TILED}, t AS (SELECT a.a AS tx, b.a AS ty FROM range(10) a(a), range(10) b(a)),
+ c AS (SELECT g.image, t.tx, t.ty, g.value, greatest(0, least(g.x + 1, (t.tx + 1) * 2.4) - greatest(g.x, t.tx * 2.4)) * greatest(0, least(g.y + 1, (t.ty + 1) * 2.4) - greatest(g.y, t.ty * 2.4)) AS w FROM g, t WHERE image IN (SELECT image FROM g GROUP BY image HAVING max(x) = 23 AND max(y) = 23))
+ SELECT image, CAST(tx AS INT) AS x, CAST(ty AS INT) AS y, round(sum(value * w) / 5.76, 4) AS value FROM c GROUP BY image, tx, ty""")
+def area_resized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _tiled(spark, sf_dir)
+    sizes = p.groupBy("image").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h")).where("w = 24 and h = 24").withColumns({"tw": F.lit(10), "th": F.lit(10)})
+    return resize.area(p, sizes, "image").withColumn("value", F.round("value", 4))
+
+
+@query(f"""WITH {_TILED}, t AS (SELECT a.a AS tx, b.a AS ty, least(greatest((a.a + 0.5) * 24 / 31.0 - 0.5, 0), 23) AS sx, least(greatest((b.a + 0.5) * 24 / 31.0 - 0.5, 0), 23) AS sy FROM range(31) a(a), range(31) b(a)),
+ c AS (SELECT i.image, tx, ty, sx - floor(sx) AS fx, sy - floor(sy) AS fy, CAST(floor(sx) AS BIGINT) AS x0, CAST(least(floor(sx) + 1, 23) AS BIGINT) AS x1, CAST(floor(sy) AS BIGINT) AS y0, CAST(least(floor(sy) + 1, 23) AS BIGINT) AS y1 FROM t, (SELECT image FROM g GROUP BY image HAVING max(x) = 23 AND max(y) = 23) i)
+ SELECT c.image, CAST(tx AS INT) AS x, CAST(ty AS INT) AS y, round((p.value + (q.value - p.value) * fx) * (1 - fy) + (r.value + (s.value - r.value) * fx) * fy, 4) AS value FROM c JOIN g p ON p.image = c.image AND p.x = x0 AND p.y = y0 JOIN g q ON q.image = c.image AND q.x = x1 AND q.y = y0
+   JOIN g r ON r.image = c.image AND r.x = x0 AND r.y = y1 JOIN g s ON s.image = c.image AND s.x = x1 AND s.y = y1""")
+def bilinear_resized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _tiled(spark, sf_dir)
+    sizes = p.groupBy("image").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h")).where("w = 24 and h = 24").withColumns({"tw": F.lit(31), "th": F.lit(31)})
+    return resize.bilinear(p, sizes, "image").withColumn("value", F.round("value", 4))
+
+
+@query("""WITH i AS (SELECT asset_id, container, declared_w AS width, declared_h AS height, CASE WHEN container = 'jpeg' THEN quality END AS q, CASE WHEN container = 'jpeg' THEN generations END AS g, CASE WHEN blocking_score = 0 THEN 1 ELSE 1 / (1 - blocking_score) END AS seams, effective_w AS ew, effective_h AS eh, p_size * 12.0 AS p95 FROM {assets}),
+ s AS (SELECT *, CASE WHEN seams <= 1 THEN 0.0 ELSE 1 - 1 / seams END AS score, coalesce(greatest(ew, eh) < 0.85 * greatest(width, height), false) AS upscaled,
+   CASE WHEN greatest(width, height) <= 1024 THEN CASE WHEN p95 >= 500 THEN 'sharp' WHEN p95 < 100 THEN 'soft' ELSE 'unknown' END ELSE CASE WHEN p95 >= 140 THEN 'sharp' WHEN p95 < 28 THEN 'soft' ELSE 'unknown' END END AS softness,
+   list_filter([CASE WHEN g >= 2 THEN 'at least ' || g || ' encode generations' END, CASE WHEN q < 60 THEN 'quality ' || q || ' is below 60' END, CASE WHEN container IN ('png', 'gif') AND CASE WHEN seams <= 1 THEN 0.0 ELSE 1 - 1 / seams END >= 1 / 3.0 THEN 'lossless container with jpeg seams' END], lambda x: x IS NOT NULL) AS gone FROM i),
+ r AS (SELECT *, CASE WHEN len(gone) > 0 THEN 'none' WHEN q < 78 THEN 'low' ELSE 'normal' END AS headroom, CASE WHEN len(gone) > 0 THEN array_to_string(gone, '; ') WHEN q < 78 THEN 'quality ' || q || ' is below 78' ELSE 'no exhaustion evidence' END AS why FROM s)
+ SELECT asset_id, upscaled, softness, headroom, concat_ws(' | ', 'container ' || container || ', ' || width || 'x' || height, 'quality about ' || q, 'encode generations ' || g, 'seams score ' || printf('%.4f', score),
+   CASE WHEN ew IS NULL THEN 'no spectrum to go by' WHEN upscaled THEN 'enlarged from ' || ew || 'x' || eh ELSE 'detail up to ' || ew || 'x' || eh END, 'softness ' || softness, 'headroom ' || headroom || ': ' || why) AS evidence FROM r""")
+def provenance_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jpeg = F.col("container") == "jpeg"
+    a = view(spark, sf_dir, "assets").select(
+        "asset_id", "container", F.col("declared_w").alias("width"), F.col("declared_h").alias("height"), F.when(jpeg, F.col("quality")).alias("quality"), F.lit(None).cast("string").alias("encoder"), F.when(jpeg, F.col("generations")).alias("generations"),
+        F.when(F.col("blocking_score") == 0, 1.0).otherwise(1 / (1 - F.col("blocking_score"))).alias("seams"), "effective_w", "effective_h", (F.col("p_size") * 12.0).alias("p95"),
+    )
+    return provenance.records(a).select("asset_id", "upscaled", "softness", "headroom", F.array_join("evidence", " | ").alias("evidence"))
+
+
 # ---- quantisation tables -------------------------------------------------------------
 
 
@@ -416,6 +451,32 @@ def blocked_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return addresses.check_ipv4(a, "number")
 
 
+@query("""WITH r AS (SELECT * FROM (VALUES (0, 0, 8, 'this network'), (1, 167772160, 8, 'private'), (2, 1681915904, 10, 'carrier-grade nat'), (3, 2130706432, 8, 'loopback'), (4, 2851995648, 16, 'link-local'), (5, 2886729728, 12, 'private'),
+   (6, 3221225472, 24, 'protocol assignments'), (7, 3221225984, 24, 'documentation'), (8, 3232235520, 16, 'private'), (9, 3323068416, 15, 'benchmarking'), (10, 3325256704, 24, 'documentation'), (11, 3405803776, 24, 'documentation'), (12, 3758096384, 4, 'multicast'), (13, 4026531840, 4, 'reserved')) t(ord, base, bits, reason)),
+ n AS (SELECT x.id, arg_min(r.reason, r.ord) AS reason FROM {addresses6} x JOIN r ON (((x.a * 256 + x.b) * 256 + x.c) * 256 + x.d) >> (32 - r.bits) = CAST(r.base AS BIGINT) >> (32 - r.bits) GROUP BY x.id)
+ SELECT x.id, x.text, CASE k WHEN 0 THEN 'mapped: ' || n.reason WHEN 1 THEN 'link-local' WHEN 2 THEN '6to4: ' || n.reason WHEN 3 THEN 'nat64: ' || n.reason WHEN 4 THEN 'documentation' WHEN 5 THEN NULL WHEN 6 THEN 'unique-local' WHEN 7 THEN 'no address' WHEN 8 THEN 'loopback' WHEN 9 THEN 'no address' WHEN 10 THEN n.reason
+   ELSE CASE WHEN a + b + c + d = 0 THEN 'unspecified' WHEN a + b + c = 0 AND d = 1 THEN 'loopback' ELSE 'compatible: ' || n.reason END END AS reason FROM {addresses6} x LEFT JOIN n ON n.id = x.id""")
+def blocked_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "addresses6").select("id", "text", addresses.address_reason(F.col("text")).alias("reason"))
+
+
+@query("""SELECT asset_id, CASE asset_id % 8 WHEN 2 THEN 'https://app.example.com/_next/image?q=75&url=%2Fmedia%2Fp' || asset_id || '+a+b.png&w=640' WHEN 4 THEN 'https://res.cloud.example/demo/image/upload/w_400,h_300,c_fill/v1/dir/a' || asset_id || '.webp?v=3&w=20'
+   WHEN 5 THEN 'https://img.example.org/a/b' || asset_id || '.jpeg?auto=&fit=crop&v=' || regexp_extract(url, 'v=([0-9]+)', 1) || '&w=300' ELSE url END AS url FROM {urls}""")
+def normalised_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "urls").select("asset_id", urls.normalised(F.col("url")).alias("url"))
+
+
+_OLDER = """a AS (SELECT asset_id, CASE WHEN asset_id % 3 <> 0 THEN file_bytes END AS bytes FROM {assets}),
+ n AS (SELECT asset_id, first(size ORDER BY ord) AS newest FROM {git_log} WHERE size IS NOT NULL GROUP BY asset_id)"""
+
+
+@query(f"""WITH {_OLDER}, f AS (SELECT l.asset_id, 'git:' || hash || ':' || path AS url, max(size) AS size, min(ord) AS ord FROM {{git_log}} l JOIN a USING (asset_id) JOIN n USING (asset_id) WHERE size > coalesce(bytes, newest) GROUP BY ALL)
+ SELECT asset_id, CAST(row_number() OVER (PARTITION BY asset_id ORDER BY size DESC, ord, url) - 1 AS INT) AS ord, url, 'git-history' AS via, size FROM f""")
+def history_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = view(spark, sf_dir, "assets").select("asset_id", F.lit(None).cast("string").alias("url"), F.lit("img").alias("local_path"), F.when(F.col("asset_id") % 3 != 0, F.col("file_bytes")).alias("bytes"))
+    return history.proposals(a, view(spark, sf_dir, "git_log"), "asset_id")
+
+
 @query("""SELECT file_id, CASE WHEN h LIKE 'FFD8FF%' THEN 'jpeg' WHEN h LIKE '89504E470D0A1A0A%' THEN 'png' WHEN h LIKE '52494646%' AND substr(h, 17, 8) = '57454250' THEN 'webp' WHEN h LIKE '47494638%' THEN 'gif'
    WHEN substr(h, 9, 8) = '66747970' THEN CASE WHEN substr(h, 17, 8) IN ('61766966', '61766973') THEN 'avif' END WHEN h LIKE '3C73766720%' THEN 'svg' END AS scan,
   CASE WHEN h LIKE 'FFD8FF%' THEN 'jpeg' WHEN h LIKE '89504E470D0A1A0A%' THEN 'png' WHEN h LIKE '52494646%' AND substr(h, 17, 8) = '57454250' THEN 'webp' WHEN h LIKE '474946383761%' OR h LIKE '474946383961%' THEN 'gif'

@@ -72,6 +72,19 @@ FROM {part}
     "addresses": """
 SELECT c_custkey AS id, (c_custkey * 7919 + 10) % 256 AS a, (c_custkey * 104729) % 256 AS b, (c_custkey * 31) % 256 AS c, c_custkey % 256 AS d
 FROM {customer}
+""",
+    "addresses6": """
+SELECT id, k, a, b, c, d, CASE k
+  WHEN 0 THEN concat('::ffff:', q) WHEN 1 THEN concat('[fe80::', lower(hex(b)), '%eth0]') WHEN 2 THEN concat('2002:', hex(a * 256 + b), ':', hex(c * 256 + d), '::1') WHEN 3 THEN concat('64:ff9b::', q)
+  WHEN 4 THEN concat('2001:db8::', hex(d)) WHEN 5 THEN concat('2606:4700:0:0::', hex(c + 1), ':', hex(d)) WHEN 6 THEN concat('fc00:1:2:3:4:5:6:', hex(d)) WHEN 7 THEN concat(':::', hex(d)) WHEN 8 THEN '::1'
+  WHEN 9 THEN concat('1:2:3:4:5:6:7:8:', hex(d)) WHEN 10 THEN q ELSE concat('::', q) END AS text
+FROM (SELECT id, id % 12 AS k, a, b, c, d, concat(CAST(a AS VARCHAR(3)), '.', CAST(b AS VARCHAR(3)), '.', CAST(c AS VARCHAR(3)), '.', CAST(d AS VARCHAR(3))) AS q FROM {addresses}) AS x
+""",
+    "git_log": """
+SELECT l_partkey AS asset_id, l_orderkey * 8 + l_linenumber AS ord, lpad(lower(hex(l_orderkey * 8 + l_linenumber)), 40, '0') AS hash,
+  concat('img/a', CAST(l_partkey AS VARCHAR(20)), CASE WHEN l_linenumber % 2 = 0 THEN '.png' ELSE '.jpg' END) AS path,
+  CASE WHEN l_linenumber = 5 THEN NULL ELSE CAST(floor(l_extendedprice * 4) AS BIGINT) END AS size
+FROM {lineitem}
 """,
     "files": """
 SELECT doc_id AS file_id, concat('img', CAST(doc_id AS VARCHAR(20)), CASE doc_id % 4 WHEN 0 THEN '.JPG' WHEN 1 THEN '.png' WHEN 2 THEN '.webp' ELSE '.txt' END) AS name,

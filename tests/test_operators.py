@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from frametally.functions import addresses, containers, layout, rates, urls
-from frametally.operators import decide, hull, pixels, quant, spectrum, sweep, verify
+from frametally.operators import decide, history, hull, pixels, quant, resize, spectrum, sweep, verify
 from frametally.plans import apply
 from frametally.sources import images, pages, receipts
 from frametally.streaming import limits
@@ -360,3 +360,58 @@ def test_batches_fold_no_arrays(spark):
     assert {(x.url, x.event_id): x.hit for x in cached.collect()} == hit
     for df in (limited, cached):
         assert "collect_list" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ipv6_addresses(spark):
+    tries = {
+        "::": "unspecified", "[::1]": "loopback", "fe80::1%eth0": "link-local", "febf::": "link-local", "fec0::": None, "fdff::1": "unique-local", "ff02::1": "multicast", "2001:db8:1::": "documentation",
+        "::ffff:10.0.0.1": "mapped: private", "::ffff:8.8.8.8": None, "64:ff9b::7f00:1": "nat64: loopback", "::192.168.0.1": "compatible: private", "2002:7f00:1::": "6to4: loopback", "2606:4700::1111": None,
+        "1:2:3:4:5:6:7": "no address", "1::2::3": "no address", "::ffff:010.0.0.1": "no address", "1:2:3:4:5:6:7::8": "no address", "::12345": "no address", "0x7f.1": "loopback", "8.8.8.8": None, "name": "no address",
+    }
+    r = spark.createDataFrame([(k,) for k in tries], "t string").select("t", addresses.address_reason(F.col("t")).alias("r")).collect()
+    assert {x.t: x.r for x in r} == tries
+
+
+def test_resizing(spark):
+    rng = np.random.default_rng(5)
+    image = rng.integers(0, 256, (7, 11)).astype(float)
+    p = spark.createDataFrame([(1, x, y, float(image[y, x])) for y in range(7) for x in range(11)], "image int, x int, y int, value double")
+    size = spark.createDataFrame([(1, 11, 7, 4, 3)], "image int, w int, h int, tw int, th int")
+
+    def shares(n, t):
+        return np.array([[max(0.0, min(i + 1, (k + 1) * n / t) - max(i, k * n / t)) for i in range(n)] for k in range(t)])
+
+    want = shares(7, 3) @ image @ shares(11, 4).T / (7 / 3 * 11 / 4)
+    got = {(r.x, r.y): r.value for r in resize.area(p, size, "image").collect()}
+    assert len(got) == 12 and all(abs(got[x, y] - want[y, x]) < 1e-9 for x, y in got)
+    same = {(r.x, r.y): r.value for r in resize.bilinear(p, size.selectExpr("image", "w", "h", "w AS tw", "h AS th"), "image").collect()}
+    assert all(abs(same[x, y] - image[y, x]) < 1e-9 for x, y in same) and len(same) == 77
+    small = resize.normalised(p, "image", edge=5).agg(F.max("x"), F.max("y")).first()
+    assert tuple(small) == (4, 2) and resize.normalised(p, "image").count() == 77
+    one = spark.createDataFrame([(100.0, 255, 300.5, 0.5), (100.0, 0, -3.0, 2.0)], "v double, a int, c double, s double")
+    assert [tuple(r) for r in one.select(resize.flatten_onto_white(F.col("v"), F.col("a")), resize.clamp_byte(F.col("c")), resize.smoothstep(F.col("s"))).collect()] == [(100.0, 255.0, 0.5), (255.0, 0.0, 1.0)]
+    assert resize.has_transparency(one, alpha="a").first()[0]
+
+
+def test_version_history(spark):
+    h = ["a" * 40, "b" * 40, "c" * 40, "d" * 40]
+    text = f"{h[0]}\n\nimg/new name.png\n{h[1]}\n\nimg/old.png\n{h[2]}\n{h[3]}\r\n\r\nimg/old.png\r\n"
+    r = spark.createDataFrame([(text,)], "t string").select(history.parse_log(F.col("t")).alias("e")).first().e
+    assert [tuple(e) for e in r] == [(h[0], "img/new name.png"), (h[1], "img/old.png"), (h[3], "img/old.png")]
+    p = spark.createDataFrame([("C:\\Repo\\img\\a.png", "c:/repo"), ("/other/a.png", "/repo"), ("/repo", "/repo/")], "p string, t string").select(history.relative_path(F.col("p"), F.col("t")).alias("r")).collect()
+    assert [x.r for x in p] == ["img/a.png", None, None]
+    log = spark.createDataFrame([(1, 0, h[0], "n.png", 120000), (1, 1, h[1], "o.png", 480000), (1, 2, h[2], "o.png", 910000), (1, 3, h[3], "o.png", None)], "k int, ord int, hash string, path string, size long")
+    for known, want in ((None, [910000, 480000]), (500000, [910000]), (910000, [])):
+        a = spark.createDataFrame([(1, "u", "n.png", known)], "k int, url string, local_path string, bytes long")
+        assert [x.size for x in history.proposals(a, log, "k").orderBy("ord").collect()] == want
+    s = spark.createDataFrame([(" M a.png\nR  b.png -> c.png\n?? d.png\n", list(map(str, range(12))))], "s string, l array<string>")
+    x = s.select(history.dirty_files(F.col("s")).alias("d"), history.more_than(F.col("l")).alias("m")).first()
+    assert x.d == ["a.png", "c.png", "d.png"] and x.m.endswith("9\nand 2 more")
+
+
+def test_normal_urls(spark):
+    tries = {
+        "HTTP://u:p@Ex.Example:80/A b?b=2&a=1&b=1#x": "http://ex.example/A b?a=1&b=2&b=1", "https://e.example:443": "https://e.example/", "https://e.example:8443/?": "https://e.example:8443/", "/local?b&a": "/local?b&a",
+    }
+    r = spark.createDataFrame([(k,) for k in tries], "u string").select("u", urls.normalised(F.col("u")).alias("n")).collect()
+    assert {x.u: x.n for x in r} == tries
