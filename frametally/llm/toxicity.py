@@ -128,6 +128,15 @@ class Lexicon:
         return 0 if n < SHORTEST else 1 if n < 8 else 2
 
 
+def deletions(word: bytes, most: int) -> set[bytes]:
+    """The word with up to ``most`` of its bytes left out: two words within that many edits have one in common."""
+    out = new = {word}
+    for _ in range(most):
+        new = {w[:i] + w[i + 1 :] for w in new for i in range(len(w))}
+        out = out | new
+    return out
+
+
 class Matcher:
     """Finds the lexicon's terms, exact or misspelled, among the words of a chunk."""
 
@@ -139,6 +148,25 @@ class Matcher:
         self.trie = Trie(spelt, self.whole, [lexicon.edits(len(t)) for t in spelt])
         self.shortest = min((len(t) - lexicon.edits(len(t)) for t in spelt), default=1)
         self.memo = _memo.setdefault((lexicon.terms, lexicon.stems), {})
+        # by the length of a word: how many bytes to leave out of it, or of its prefixes, to meet a term's or stem's spelling;
+        # a swap of neighbours is met by leaving out one
+        most = [max(1, lexicon.edits(len(t))) for t in spelt]
+        self.spellings = set().union(*(deletions(t, n) for t, n in zip(spelt, most)))
+        self.depth: dict[int, int] = {}
+        for t, n in zip(lexicon.terms, most):
+            for size in range(len(t) - n, len(t) + n + 1):
+                self.depth[size] = max(n, self.depth.get(size, 0))
+        self.prefixes: dict[int, int] = {}
+        for t, n in zip(spelt[self.whole :], most[self.whole :]):
+            for size in range(len(t) - n, len(t) + n + 1):
+                self.prefixes[size] = max(n, self.prefixes.get(size, 0))
+
+    def may_match(self, word: bytes) -> bool:
+        """False only for words that no term or stem is near: complete for the edits that :meth:`nearest` allows."""
+        n = self.depth.get(len(word))
+        if n is not None and not self.spellings.isdisjoint(deletions(word, n)):
+            return True
+        return any(size <= len(word) and not self.spellings.isdisjoint(deletions(word[:size], n)) for size, n in self.prefixes.items())
 
     def nearest(self, word: bytes) -> tuple[int, int]:
         """(term, edits) of the nearest term, or (-1, _); two neighbouring letters swapped are one edit, too."""
@@ -163,7 +191,7 @@ class Matcher:
             w = flat[a:b]
             got = memo.get(w)
             if got is None:
-                got = memo[w] = self.nearest(w)
+                got = memo[w] = self.nearest(w) if self.may_match(w) else (-1, 3)
             if got[0] >= 0 and not (got[1] and w in self.lexicon.clean):
                 term[i], edits[i] = got
         found = np.flatnonzero(term[which] >= 0)

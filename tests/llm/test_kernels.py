@@ -144,3 +144,19 @@ def test_stems_are_found_misspelled_and_in_context():
     assert (x[:, 0] > 0).tolist() == [True, True, True, False, True, False]
     assert (x[:, 6] > 0).tolist() == [True, True, True, False, False, False]
     assert x[1, 2] > 0 and x[2, 3] > 0
+
+
+def test_words_are_passed_over_only_where_no_term_is_near():
+    rng = random.Random(11)
+    draw = lambda a, b: bytes(rng.choice(b"abc") for _ in range(rng.randint(a, b)))
+    for _ in range(60):
+        lexicon = Lexicon(tuple({draw(4, 10) for _ in range(4)}), tuple({draw(5, 7) for _ in range(2)}))
+        m = Matcher(lexicon)
+        for _ in range(60):
+            t = rng.choice([*lexicon.terms, *lexicon.stems])
+            w = bytearray(t)
+            for _ in range(rng.randint(0, 3)):
+                at = rng.randrange(len(w) + 1)
+                w[at : at + rng.randint(0, 1)] = draw(0, 1)
+            w = bytes(w) + draw(0, 3) * rng.randint(0, 1)
+            assert m.nearest(w)[0] < 0 or m.may_match(w)
