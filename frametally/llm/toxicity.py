@@ -60,6 +60,7 @@ ADDRESSING = frozenset(b"you your yours yourself youre u ur du dich dein ihr tu
 _QUOTE = ("\"", "“", "”", "„", "«", "»", "‘", "’", "'", "`")
 FEATURES = ("matches", "words", "quoted", "directed", "share", "terms", "stems", "stem_share")
 _memo: dict[tuple, dict[bytes, tuple[int, int]]] = {}
+_starts: dict[tuple, dict[bytes, bool]] = {}
 
 
 class Trie:
@@ -160,13 +161,22 @@ class Matcher:
         for t, n in zip(spelt[self.whole :], most[self.whole :]):
             for size in range(len(t) - n, len(t) + n + 1):
                 self.prefixes[size] = max(n, self.prefixes.get(size, 0))
+        self.longest = max(self.prefixes, default=0)
+        self.starts = _starts.setdefault((lexicon.terms, lexicon.stems), {})
 
     def may_match(self, word: bytes) -> bool:
         """False only for words that no term or stem is near: complete for the edits that :meth:`nearest` allows."""
         n = self.depth.get(len(word))
         if n is not None and not self.spellings.isdisjoint(deletions(word, n)):
             return True
-        return any(size <= len(word) and not self.spellings.isdisjoint(deletions(word[:size], n)) for size, n in self.prefixes.items())
+        # words of one beginning are told apart by no stem
+        start = word[: self.longest]
+        found = self.starts.get(start)
+        if found is None:
+            if len(self.starts) > 500_000:
+                self.starts.clear()
+            found = self.starts[start] = any(size <= len(start) and not self.spellings.isdisjoint(deletions(start[:size], n)) for size, n in self.prefixes.items())
+        return found
 
     def nearest(self, word: bytes) -> tuple[int, int]:
         """(term, edits) of the nearest term, or (-1, _); two neighbouring letters swapped are one edit, too."""
