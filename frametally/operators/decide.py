@@ -44,6 +44,20 @@ def floor_for(above_fold: Column, room: Column) -> Column:
     return F.when(room == "low", F.least(F.lit(1.0), base + LOW_MARGIN)).otherwise(base)
 
 
+#: Of judged assets, those whose decision needs candidates.
+_OPEN = "skip is null and room <> 'none'"
+
+
+def _judged(assets: DataFrame) -> DataFrame:
+    room = headroom(F.col("container"), F.col("generations"), F.col("quality"), F.col("blocking_score"))
+    return assets.withColumn("room", room["headroom"]).withColumn("skip", skip_class(F.col("container"), F.col("classification")))
+
+
+def to_measure(assets: DataFrame) -> DataFrame:
+    """The assets that neither their class nor exhausted headroom settles before a sweep."""
+    return _judged(assets).where(_OPEN).select(*assets.columns)
+
+
 def decide(assets: DataFrame, candidates: DataFrame, key: str = "asset_id") -> DataFrame:
     """assets (key, container, classification, generations, quality, blocking_score, above_fold)
     with decision, tag, format, bytes and saved.
@@ -52,10 +66,9 @@ def decide(assets: DataFrame, candidates: DataFrame, key: str = "asset_id") -> D
     no-op guard.  Refused and skipped assets are settled before any candidate
     is looked at, so their candidates aren't shuffled.
     """
-    room = headroom(F.col("container"), F.col("generations"), F.col("quality"), F.col("blocking_score"))
-    judged = assets.withColumn("room", room["headroom"]).withColumn("skip", skip_class(F.col("container"), F.col("classification")))
+    judged = _judged(assets)
     judged = judged.withColumn("floor", floor_for(F.col("above_fold"), F.col("room")))
-    open_ = judged.where("skip is null and room <> 'none'").select(key, "floor")
+    open_ = judged.where(_OPEN).select(key, "floor")
     measured = (
         candidates.join(open_, key)
         .groupBy(key)
@@ -151,3 +164,16 @@ def audit_rollup(assets: DataFrame) -> DataFrame:
         *[F.count_if(F.col("headroom") == h).alias(f"headroom_{h}") for h in ("none", "low", "normal")],
         F.count_if(F.col("recoverable") == 0).alias("nothing_recoverable"),
     )
+
+
+def plan_totals(decided: DataFrame) -> DataFrame:
+    """One row of :func:`decide`'s rows with file_bytes: assets by decision, bytes before and after."""
+    d = F.col("decision")
+    return decided.agg(
+        F.count(F.lit(1)).alias("assets"),
+        F.count_if(d == "encoded").alias("encoded"),
+        F.count_if(d == "refused").alias("refused"),
+        F.count_if(~d.isin("encoded", "refused")).alias("kept_or_skipped"),
+        F.coalesce(F.sum("file_bytes"), F.lit(0)).alias("bytes_before"),
+        F.coalesce(F.sum(F.coalesce("chosen_bytes", "file_bytes")), F.lit(0)).alias("bytes_after"),
+    )

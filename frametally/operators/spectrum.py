@@ -24,9 +24,10 @@ def radial_power(plane: np.ndarray) -> np.ndarray:
 
 
 def planes(pixels: DataFrame, *keys: str) -> DataFrame:
-    """(keys, plane): each image's luma (x, y, value) as one array, row by row."""
+    """(keys, plane): each square image's luma (x, y, value) as one array, row by row; null for others."""
     points = F.array_sort(F.collect_list(F.struct("y", "x", F.col("value").cast("double").alias("value"))))
-    return pixels.groupBy(*keys).agg(F.transform(points, lambda p: p["value"]).alias("plane"))
+    square = (F.max("x") == F.max("y")) & (F.count(F.lit(1)) == (F.max("x") + 1) * (F.max("y") + 1))
+    return pixels.groupBy(*keys).agg(F.when(square, F.transform(points, lambda p: p["value"])).alias("plane"))
 
 
 def spectrum(plane: Column) -> Column:

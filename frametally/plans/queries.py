@@ -151,7 +151,7 @@ def headroom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("asset_id", room["headroom"].alias("headroom"), F.when(room["headroom"] == "none", F.size(room["reasons"])).otherwise(0).alias("exhausted"))
 
 
-@query(f"""WITH a AS (SELECT *, {_ROOM} AS room, CASE WHEN coalesce(classification, CASE container WHEN 'svg' THEN 'vector' WHEN 'gif' THEN 'animated' END) IN ('vector', 'animated', 'icon') THEN 1 ELSE 0 END AS skip FROM {{assets}}),
+_DECISIONS = f"""WITH a AS (SELECT *, {_ROOM} AS room, CASE WHEN coalesce(classification, CASE container WHEN 'svg' THEN 'vector' WHEN 'gif' THEN 'animated' END) IN ('vector', 'animated', 'icon') THEN 1 ELSE 0 END AS skip FROM {{assets}}),
  f AS (SELECT *, least(1.0, CASE WHEN above_fold THEN 0.99 ELSE 0.97 END + CASE WHEN room = 'low' THEN 0.01 ELSE 0 END) AS floor_ FROM a),
  c AS (SELECT asset_id, format, quality, bytes, distortion, ord, ssim FROM {{candidates}}),
  m AS (SELECT asset_id, count(*) AS n, max(bytes) FILTER (format = 'keep-original') AS original FROM c GROUP BY asset_id),
@@ -159,12 +159,28 @@ def headroom(spark: SparkSession, sf_dir: str) -> DataFrame:
  t AS (SELECT f.asset_id, f.room AS headroom, CASE WHEN skip = 1 THEN 'skipped-class' WHEN room = 'none' THEN 'refused' WHEN m.n IS NULL THEN 'skipped-unmeasured' WHEN l.bytes IS NULL THEN 'kept-below-floor'
    WHEN l.format = 'keep-original' THEN 'kept-original' WHEN m.original > 0 AND (m.original - l.bytes) / CAST(m.original AS DOUBLE) < 0.05 AND l.format = f.container THEN 'kept-no-op' ELSE 'encoded' END AS tag, l.format, l.quality, l.bytes
    FROM f LEFT JOIN m USING (asset_id) LEFT JOIN l ON l.asset_id = f.asset_id AND l.r = 1)
- SELECT asset_id, headroom, split_part(tag, '-', 1) AS decision, tag, CASE WHEN tag = 'encoded' THEN format END AS chosen_format, CASE WHEN tag = 'encoded' THEN quality END AS chosen_quality, CASE WHEN tag = 'encoded' THEN bytes END AS chosen_bytes FROM t""")
+ SELECT asset_id, headroom, split_part(tag, '-', 1) AS decision, tag, CASE WHEN tag = 'encoded' THEN format END AS chosen_format, CASE WHEN tag = 'encoded' THEN quality END AS chosen_quality, CASE WHEN tag = 'encoded' THEN bytes END AS chosen_bytes FROM t"""
+
+
+@query(_DECISIONS)
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = decide.decide(view(spark, sf_dir, "assets"), view(spark, sf_dir, "candidates"))
     return d.select("asset_id", "headroom", "decision", "tag", "chosen_format", "chosen_quality", "chosen_bytes")
 
 
+@query(f"""WITH d AS ({_DECISIONS}) SELECT count(*) AS assets, count(*) FILTER (decision = 'encoded') AS encoded, count(*) FILTER (decision = 'refused') AS refused, count(*) FILTER (decision NOT IN ('encoded', 'refused')) AS kept_or_skipped,
+ CAST(sum(file_bytes) AS BIGINT) AS bytes_before, CAST(sum(coalesce(chosen_bytes, file_bytes)) AS BIGINT) AS bytes_after FROM d JOIN {{assets}} USING (asset_id)""")
+def plan_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decide.plan_totals(decide.decide(view(spark, sf_dir, "assets"), view(spark, sf_dir, "candidates")))
+
+
+@query(f"""WITH o AS (SELECT asset_id FROM {{assets}} WHERE {_ROOM} <> 'none' AND coalesce(classification, CASE container WHEN 'svg' THEN 'vector' WHEN 'gif' THEN 'animated' END, '') NOT IN ('vector', 'animated', 'icon'))
+ SELECT o.asset_id, s.step, s.format, s.quality FROM o, (SELECT -1 AS step, 'keep-original' AS format, NULL AS quality UNION ALL SELECT CAST(12 * f.i + q.i AS INT), f.format, CAST(40 + 5 * q.i AS INT) FROM (VALUES (0, 'jpeg'), (1, 'webp'), (2, 'avif')) f(i, format), range(12) q(i) UNION ALL SELECT 36, 'png', NULL) s""")
+def planned_sweeps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps of the assets that a plan has to measure."""
+    return sweep.steps_for(decide.to_measure(view(spark, sf_dir, "assets")).select("asset_id"), sweep.plan(spark), "asset_id")
+
+
 @query("""WITH p AS (SELECT a.asset_id, a.declared_w * a.declared_h AS d1, b.declared_w * b.declared_h AS d2, a.effective_w * a.effective_h AS e1, b.effective_w * b.effective_h AS e2,
    a.generations AS g1, b.generations AS g2, a.quality AS q1, b.quality AS q2 FROM {assets} a JOIN {assets} b ON b.asset_id = a.asset_id + 1),
  v AS (SELECT asset_id, CASE WHEN d2 > d1 THEN 1 WHEN d2 < d1 THEN -1 ELSE 0 END AS declared_verdict, CASE WHEN e1 IS NULL OR e2 IS NULL THEN 0 WHEN e2 > e1 * 1.05 THEN 1 WHEN e2 < e1 * 0.95 THEN -1 ELSE 0 END AS effective_verdict,
@@ -270,10 +286,11 @@ def laplacian_sharpness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("image", F.round("p95", 4).alias("p95"), F.col("tiles").cast("long").alias("tiles"))
 
 
-_DCT = f"""{_TILED}, f AS (SELECT image, x // 8 AS block_x, y // 8 AS block_y FROM g GROUP BY ALL HAVING count(*) = 64),
+_BLOCKS = """f AS (SELECT image, x // 8 AS block_x, y // 8 AS block_y FROM g GROUP BY ALL HAVING count(*) = 64),
  d AS (SELECT g.image, f.block_x, f.block_y, u.u, v.v, sum((g.value - 128) * cos((2 * (g.x % 8) + 1) * u.u * pi() / 16) * cos((2 * (g.y % 8) + 1) * v.v * pi() / 16))
    * CASE WHEN u.u = 0 THEN sqrt(0.125) ELSE 0.5 END * CASE WHEN v.v = 0 THEN sqrt(0.125) ELSE 0.5 END AS c
    FROM g JOIN f ON f.image = g.image AND f.block_x = g.x // 8 AND f.block_y = g.y // 8, range(8) u(u), range(8) v(v) GROUP BY g.image, f.block_x, f.block_y, u.u, v.v)"""
+_DCT = f"{_TILED}, {_BLOCKS}"
 
 
 @query(f"WITH {_DCT} SELECT image, block_x, block_y, u, v, round(c, 4) + 0.0 AS coefficient FROM d")
@@ -287,16 +304,35 @@ def quantised_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels.quantised_histogram(blocks, F.lit(16.0), "image")
 
 
-@query()
+@query(f"""WITH g AS (SELECT CAST(e.label // 5 AS BIGINT) AS image, p.plane * 8 + p.i % 8 AS x, p.i // 8 AS y, CAST(p.value AS DOUBLE) AS value FROM {{planes}} p JOIN embeddings e ON e.vec_id = p.plane), {_BLOCKS},
+ h AS (SELECT image, u, v, CAST(abs(floor(round(c, 6) / 4 + 0.5)) AS BIGINT) AS level, count(*) AS n FROM d WHERE u + v > 0 AND abs(floor(round(c, 6) / 4 + 0.5)) BETWEEN 1 AND 40 GROUP BY ALL),
+ s AS (SELECT image, u, v, CAST(sum(n) AS BIGINT) AS samples FROM h GROUP BY ALL),
+ l AS (SELECT s.image, s.u, s.v, k.i, ln(1.0 + coalesce(h.n, 0)) AS x FROM s CROSS JOIN range(40) k(i) LEFT JOIN h ON h.image = s.image AND h.u = s.u AND h.v = s.v AND h.level = k.i + 1),
+ e AS (SELECT image, u, v, i, x - avg(x) OVER (PARTITION BY image, u, v ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS x FROM l),
+ p AS (SELECT image, u, v, pow(sum(x * cos(2 * pi() * k.k * i / 40)), 2) + pow(sum(x * sin(2 * pi() * k.k * i / 40)), 2) AS p FROM e CROSS JOIN range(3, 21) k(k) GROUP BY image, u, v, k.k),
+ r AS (SELECT image, u, v, max(p) AS peak, list_sort(list(p))[10] AS middle FROM p GROUP BY image, u, v),
+ b AS (SELECT image, count(*) FILTER (samples >= 128) AS usable, count(*) FILTER (samples >= 128 AND CASE WHEN middle > 0 THEN peak >= 50 * middle ELSE peak > 0 END) AS periodic FROM r JOIN s USING (image, u, v) GROUP BY image)
+ SELECT image, usable, periodic, CASE WHEN usable < 3 THEN NULL WHEN periodic >= 2 THEN 2 WHEN periodic = 0 THEN 1 END AS generations,
+  CASE WHEN usable < 3 THEN NULL WHEN periodic >= 2 THEN least(1.0, 0.3 + 0.7 * periodic / CAST(usable AS DOUBLE)) WHEN periodic = 0 THEN CAST(0.7 AS DOUBLE) END AS confidence FROM b""")
 def encode_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Images of all planes of several labels, so that bands hold enough samples."""
     labels = view(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("plane"), F.expr("label div 5").alias("image"))
     p = view(spark, sf_dir, "planes").join(labels, "plane").withColumns({"x": F.col("plane") * 8 + F.col("i") % 8, "y": F.floor(F.col("i") / 8)})
-    histogram = pixels.quantised_histogram(pixels.dct_blocks(p, "image"), F.lit(4.0), "image")
+    blocks = pixels.dct_blocks(p, "image").withColumn("coefficient", F.round("coefficient", 6))
+    histogram = pixels.quantised_histogram(blocks, F.lit(4.0), "image")
     return pixels.generations(pixels.periodicity(histogram, "image"), "image")
 
 
-@query()
+@query(f"""WITH {_TILED}, q AS (SELECT image FROM g GROUP BY image HAVING count(*) = 576 AND max(x) = 23 AND max(y) = 23),
+ w AS (SELECT g.*, (0.5 - 0.5 * cos(2 * pi() * x / 23)) * (0.5 - 0.5 * cos(2 * pi() * y / 23)) AS w FROM g JOIN q USING (image)),
+ m AS (SELECT image, sum(value * w) / sum(w) AS mean FROM w GROUP BY image),
+ c AS (SELECT w.image, x, y, (value - mean) * w AS z FROM w JOIN m USING (image)),
+ r AS (SELECT image, y, k.k AS ku, sum(z * cos(2 * pi() * k.k * x / 24)) AS re, -sum(z * sin(2 * pi() * k.k * x / 24)) AS im FROM c CROSS JOIN range(-12, 12) k(k) GROUP BY image, y, k.k),
+ t AS (SELECT image, ku, k.k AS kv, sum(re * cos(2 * pi() * k.k * y / 24) + im * sin(2 * pi() * k.k * y / 24)) AS re, sum(im * cos(2 * pi() * k.k * y / 24) - re * sin(2 * pi() * k.k * y / 24)) AS im FROM r CROSS JOIN range(-12, 12) k(k) WHERE ku * ku + k.k * k.k <= 144 GROUP BY image, ku, k.k),
+ a AS (SELECT image, least(63, CAST(floor(128 * sqrt(CAST(ku * ku + kv * kv AS DOUBLE)) / 24) AS INT)) AS bin, re * re + im * im AS p FROM t),
+ b AS (SELECT image, bin, avg(p) * (bin + 0.5) * (bin + 0.5) AS p FROM a GROUP BY image, bin),
+ o AS (SELECT image, max(p) FILTER (bin >= 3) AS top FROM b GROUP BY image)
+ SELECT b.image, round(CASE WHEN any_value(top) <= 1e-6 THEN 1 ELSE 1 + coalesce(max(bin) FILTER (p > 0.4 * top), 0) END / 64.0, 6) AS share FROM b JOIN o USING (image) GROUP BY b.image""")
 def effective_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     rings = spectrum.planes(_tiled(spark, sf_dir), "image").withColumn("spectrum", spectrum.spectrum(F.col("plane")))
     return rings.where("spectrum is not null").select("image", F.round(pixels.effective_share("spectrum"), 6).alias("share"))
