@@ -214,21 +214,20 @@ def classes(docs: DataFrame, similarity: float = 0.8, text_col: str = "text", id
     shingle sets if at most REACH of the 128 lowest bits of their places differ
     (at a likeness of 0.8 the mean is 12.8 with a deviation of 3.4).
     """
-    rows = stored(docs.select(text_node(F.col(text_col)).alias("node"), F.col(id_col).cast("long").alias("doc_id"), banded(F.col(text_col)).alias("p")).select("node", "doc_id", "p.*"), "minhash")
-    reps = stored(rows.groupBy("node").agg(F.min("doc_id").alias("rep")), "reps")
-    nodes = rows.drop("doc_id").dropDuplicates(["node"])
-    nodes = stored(nodes, "nodes")
-    dropped(docs.sparkSession, rows)
+    prints = docs.select(text_node(F.col(text_col)).alias("node"), F.col(id_col).cast("long").alias("doc_id"), banded(F.col(text_col)).alias("p"))
+    nodes = stored(prints.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("p").alias("p")).select("node", "rep", "p.*"), "nodes")
 
     def sets(wanted: DataFrame) -> DataFrame:
         texts = docs.select(text_node(F.col(text_col)).alias("node"), F.col(text_col).alias("text")).join(wanted, "node", "left_semi").dropDuplicates(["node"])
         return texts.select("node", shingle_set(F.col("text")).alias("s"))
 
-    found = bucket_components(nodes.select(F.explode("keys").alias("key"), "node"), nodes.drop("keys"), sets, similarity, REACH)
-    dropped(docs.sparkSession, nodes)
-    named = reps.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    found = bucket_components(nodes.select(F.explode("keys").alias("key"), "node"), nodes.select("node", "w0", "w1"), sets, similarity, REACH)
+    named = nodes.select("node", "rep").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     low = named.groupBy("component").agg(F.min("rep").alias("class_id"))
-    return named.join(low, "component").select("node", "class_id")
+    out = stored(named.join(low, "component").select("node", "class_id"), "classes")
+    for x in (nodes, found):
+        dropped(docs.sparkSession, x)
+    return out
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -238,5 +237,4 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
 
 def fingerprinted(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of :func:`edited_neighbours` with one more column, the text's class_id."""
-    known = stored(classes(docs, similarity, text_col, id_col), "classes")
-    return edited_neighbours(docs, id_col, text_col).join(known, "node").drop("node")
+    return edited_neighbours(docs, id_col, text_col).join(classes(docs, similarity, text_col, id_col), "node").drop("node")

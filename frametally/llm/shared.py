@@ -182,7 +182,10 @@ def bucket_components(dealt: DataFrame, prints: DataFrame, sets: Callable[[DataF
     spark = dealt.sparkSession
     words = [c for c in prints.columns if c != "node"]
     lead = stored(dealt.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("top"), F.count(F.lit(1)).alias("n")).where("lead < top").select("key", "lead", "n"), "lead")
-    near = stored(_near(dealt.join(lead, "key").where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), prints, words, most), "near")
+    # keys of one node alone, most of them, are shuffled for the last time here
+    met = stored(dealt.join(lead, "key").select("key", "node", "lead", "n"), "met")
+    dropped(spark, lead)
+    near = stored(_near(met.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), prints, words, most), "near")
     first = stored(near.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("x")).select("x.a", "b"), "pairs")
     known = stored(sets(first.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "sets")
     links = stored(alike(first, known, similarity), "links")
@@ -191,7 +194,7 @@ def bucket_components(dealt: DataFrame, prints: DataFrame, sets: Callable[[DataF
     # buckets of two are known by now but for nodes that had a nearer one elsewhere
     rest = near.select("a", "b").join(part["a"], "a", "left").join(part["b"], "b", "left").where(F.coalesce("part_a", "a") != F.coalesce("part_b", "b")).select("a", "b")
     rest = stored(rest.join(first, ["a", "b"], "left_anti"), "pairs")
-    crowd = stored(dealt.join(lead.where("n > 2").select("key"), "key").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part")), "crowd")
+    crowd = stored(met.where("n > 2").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part")), "crowd")
     # a bucket's nodes of its largest part need not meet each other
     sized = crowd.groupBy("key", "part").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.sum("m").alias("n"), F.max(F.struct("m", "part")).alias("big")).where("big.m < n")
     sized = sized.select("key", F.col("big.part").alias("main"), F.ceil(F.col("big.m") / CHUNK).cast("int").alias("mains"), F.ceil((F.col("n") - F.col("big.m")) / CHUNK).cast("int").alias("others"))
@@ -211,7 +214,7 @@ def bucket_components(dealt: DataFrame, prints: DataFrame, sets: Callable[[DataF
     crowded = placed.repartition("piece").sortWithinPartitions("piece").mapInArrow(partial(linked, similarity=similarity, most=most), "a long, b long")
     more = stored(alike(rest, known2, similarity).unionByName(crowded), "links")
     out = stored(components(links.unionByName(more)), "components")
-    for x in (lead, near, first, known, links, found, rest, crowd, rows, known2, more):
+    for x in (met, near, first, known, links, found, rest, crowd, rows, known2, more):
         dropped(spark, x)
     return out
 
