@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from frametally.llm import bytekernels as bk
-from frametally.llm.shared import bucket_components, dropped, stored
+from frametally.llm.shared import bucket_components, dropped, maybe_wanted, stored
 
 PERMUTATIONS = 128
 SHINGLE = 5
@@ -86,9 +86,14 @@ def signatures(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, some
 
 
+def packed(places: np.ndarray, some: np.ndarray) -> list[bytes]:
+    """Fingerprints as bytes, two for each place."""
+    return [p.astype(">u2").tobytes() if s else b"" for p, s in zip(places, some)]
+
+
 def printed(places: np.ndarray, some: np.ndarray) -> list[str]:
     """Fingerprints as hex digits, four for each place."""
-    return [p.astype(">u2").tobytes().hex() if s else "" for p, s in zip(places, some)]
+    return [p.hex() for p in packed(places, some)]
 
 
 def likeness(a: np.ndarray, some_a: np.ndarray, b: np.ndarray, some_b: np.ndarray) -> np.ndarray:
@@ -103,7 +108,9 @@ def fingerprint(text: Column) -> Column:
     return minhash(text)
 
 
-_EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, node long"
+#: Digests are bytes until they are returned, as rows are shuffled before.
+_DIGESTS = ("edited_sha256", "fingerprint", "edited_fingerprint")
+_EDITED = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double, node long"
 
 
 def _pairs(batches: Iterator[pa.RecordBatch], rows: int = 400) -> Iterator[pa.RecordBatch]:
@@ -131,9 +138,9 @@ def _compared(table: pa.Table) -> pa.RecordBatch:
         [
             table.column(1).combine_chunks().take(pa.array(at)).cast(pa.int64()),
             pa.array([len(text[i]) for i in own], pa.int64()),
-            pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string()),
-            pa.array(printed(place[at], some[at]), pa.string()),
-            pa.array(printed(place2, some2), pa.string()),
+            pa.array([hashlib.sha256(t.encode()).digest() for t in edited], pa.binary()),
+            pa.array(packed(place[at], some[at]), pa.binary()),
+            pa.array(packed(place2, some2), pa.binary()),
             pa.array(likeness(place[at], some[at], place2, some2), pa.float64()),
             pa.array(likeness(place[at], some[at], place[at + 1], some[at + 1]), pa.float64()),
             table.column(3).combine_chunks().take(pa.array(at)),
@@ -142,8 +149,17 @@ def _compared(table: pa.Table) -> pa.RecordBatch:
     )
 
 
+def _shown(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({c: F.lower(F.hex(c)) for c in _DIGESTS})
+
+
 def edited_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, node) of every row.
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, node) of every row."""
+    return _shown(_edited(docs, id_col, text_col))
+
+
+def _edited(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of :func:`edited_neighbours`, digests as bytes.
 
     Rows are dealt into slices of neighbouring ids, each sorted in its task; the
     first document of a slice is also sent to the slice before it, where it is
@@ -218,7 +234,9 @@ def classes(docs: DataFrame, similarity: float = 0.8, text_col: str = "text", id
     nodes = stored(prints.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("p").alias("p")).select("node", "rep", "p.*"), "nodes")
 
     def sets(wanted: DataFrame) -> DataFrame:
-        texts = docs.select(text_node(F.col(text_col)).alias("node"), F.col(text_col).alias("text")).join(wanted, "node", "left_semi").dropDuplicates(["node"])
+        texts = maybe_wanted(docs.select(text_node(F.col(text_col)).alias("node"), F.col(text_col).alias("text")), wanted)
+        # equal texts are merged before the shuffle; the join needs no other
+        texts = texts.dropDuplicates(["node"]).join(wanted, "node", "left_semi")
         return texts.select("node", shingle_set(F.col("text")).alias("s"))
 
     found = bucket_components(nodes.select(F.explode("keys").alias("key"), "node"), nodes.select("node", "w0", "w1"), sets, similarity, REACH)
@@ -237,4 +255,4 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
 
 def fingerprinted(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of :func:`edited_neighbours` with one more column, the text's class_id."""
-    return edited_neighbours(docs, id_col, text_col).join(classes(docs, similarity, text_col, id_col), "node").drop("node")
+    return _shown(_edited(docs, id_col, text_col).join(classes(docs, similarity, text_col, id_col), "node").drop("node"))

@@ -55,6 +55,23 @@ def dropped(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bits of the map of wanted nodes that is broadcast: 16 MB at most.
+MAP_BITS = 27
+
+
+def maybe_wanted(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose node is in wanted, and a few others: those that share their lowest MAP_BITS bits with one that is.
+
+    Spares most rows a shuffle at any size; a join with wanted must follow.
+    """
+    place = F.pmod(F.col("node"), F.lit(1 << MAP_BITS)) + 1
+    maps = wanted.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("_map"))
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("_map", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    met = rows.join(F.broadcast(maps), F.bitmap_bucket_number(place) == F.col("_bucket"))
+    return met.where(F.getbit(byte, (at % 8).cast("int")) == 1).drop("_bucket", "_map")
+
+
 #: Nodes of a bucket, about, that are tested against each other in one piece, and shingles looked at a time.
 CHUNK, COLUMNS = 1024, 4096
 
@@ -187,7 +204,9 @@ def bucket_components(dealt: DataFrame, prints: DataFrame, sets: Callable[[DataF
     dropped(spark, lead)
     near = stored(_near(met.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), prints, words, most), "near")
     first = stored(near.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("x")).select("x.a", "b"), "pairs")
-    known = stored(sets(first.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "sets")
+    # written first: its size decides how the texts are looked up
+    wanted = stored(first.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
+    known = stored(sets(wanted), "sets")
     links = stored(alike(first, known, similarity), "links")
     found = stored(components(links), "found")
     part = {s: found.select(F.col("node").alias(s), F.col("component").alias(f"part_{s}")) for s in ("a", "b")}
@@ -199,7 +218,8 @@ def bucket_components(dealt: DataFrame, prints: DataFrame, sets: Callable[[DataF
     sized = crowd.groupBy("key", "part").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.sum("m").alias("n"), F.max(F.struct("m", "part")).alias("big")).where("big.m < n")
     sized = sized.select("key", F.col("big.part").alias("main"), F.ceil(F.col("big.m") / CHUNK).cast("int").alias("mains"), F.ceil((F.col("n") - F.col("big.m")) / CHUNK).cast("int").alias("others"))
     rows = stored(crowd.join(sized, "key"), "rows")
-    known2 = stored(sets(rows.select("node").unionByName(rest.select(F.explode(F.array("a", "b")).alias("node"))).distinct()), "sets")
+    wanted2 = stored(rows.select("node").unionByName(rest.select(F.explode(F.array("a", "b")).alias("node"))).distinct(), "wanted")
+    known2 = stored(sets(wanted2), "sets")
     in_main = F.col("part") == F.col("main")
     own = F.pmod(F.xxhash64("node"), F.when(in_main, F.col("mains")).otherwise(F.col("others"))).cast("int")
 
@@ -214,7 +234,7 @@ def bucket_components(dealt: DataFrame, prints: DataFrame, sets: Callable[[DataF
     crowded = placed.repartition("piece").sortWithinPartitions("piece").mapInArrow(partial(linked, similarity=similarity, most=most), "a long, b long")
     more = stored(alike(rest, known2, similarity).unionByName(crowded), "links")
     out = stored(components(links.unionByName(more)), "components")
-    for x in (met, near, first, known, links, found, rest, crowd, rows, known2, more):
+    for x in (met, near, first, wanted, wanted2, known, links, found, rest, crowd, rows, known2, more):
         dropped(spark, x)
     return out
 
