@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frametally.llm import decontaminate, html_text, licenses, minhash, mixing, quality, repeats, simhash, toxicity, warc
+from frametally.llm import conversations, decontaminate, html_text, licenses, minhash, mixing, quality, repeats, simhash, token_counts, toxicity, vector_codes, warc
 from frametally.llm.shared import table
 
 
@@ -52,7 +52,21 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_print(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_minhash, op3_repeats, op4_decontaminate, op5_mixing, op6_html, op7_quality, op8_licenses, op9_warc, op10_simhash)}
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
+def op12_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.counted(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repaired(table(spark, sf_dir, "conversations"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_minhash, op3_repeats, op4_decontaminate, op5_mixing, op6_html, op7_quality, op8_licenses, op9_warc, op10_simhash, op11_codes, op12_tokens, op13_repair)}
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {"op4_decontaminate": decontaminate.SQL}
+ORACLE_SQL: dict[str, str] = {"op4_decontaminate": decontaminate.SQL, "op11_codes": vector_codes.SQL}
