@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -68,6 +69,8 @@ MARKS = frozenset(
 #: An open element of the first kind ends where one of the second begins.
 CLOSES = {"p": BLOCK - {"option", "optgroup"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot", "thead"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option", "optgroup"}}
 
+CLOSED_BY = {tag: [t for t, by in CLOSES.items() if tag in by] for tag in frozenset().union(*CLOSES.values())}
+
 
 @dataclass
 class Element:
@@ -96,7 +99,14 @@ def parse(page: str) -> Element:
     """The tree of a page."""
     root = Element("#root")
     stack = [root]
+    # how many of each tag are open: looking through the stack for one that isn't would cost its depth at every tag
+    opened: Counter[str] = Counter()
     at, n = 0, len(page)
+
+    def shut(i: int) -> None:
+        opened.subtract(e.tag for e in stack[i:])
+        del stack[i:]
+
     while at < n:
         m = _TOKEN.match(page, at)
         at = m.end()
@@ -108,18 +118,18 @@ def parse(page: str) -> Element:
             continue
         tag = tag.lower()
         if m["close"]:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if stack[i].tag == tag:
-                    del stack[i:]
+                    shut(i)
                     break
                 if tag not in APART and stack[i].tag in BLOCK:
                     break  # an inline end tag ends nothing outside its block
             continue
-        while len(stack) > 1 and tag in BLOCK and stack[-1].tag not in APART and any(e.tag == "p" for e in stack[1:]):
-            stack.pop()  # inline elements left open end with their paragraph
-        for i in range(len(stack) - 1, 0, -1):
+        while len(stack) > 1 and tag in BLOCK and stack[-1].tag not in APART and opened["p"]:
+            shut(len(stack) - 1)  # inline elements left open end with their paragraph
+        for i in range(len(stack) - 1, 0, -1) if any(opened[t] for t in CLOSED_BY.get(tag, ())) else ():
             if tag in CLOSES.get(stack[i].tag, ()):
-                del stack[i:]
+                shut(i)
                 break
             if stack[i].tag in BLOCK and stack[i].tag not in CLOSES or stack[i].tag == "table":
                 break
@@ -133,6 +143,7 @@ def parse(page: str) -> Element:
             at = end.end() if end else n
         elif tag not in VOID and not m["rest"].endswith("/"):
             stack.append(e)
+            opened[tag] += 1
     return root
 
 
@@ -230,18 +241,23 @@ def _blocks(page: str, template: frozenset[int]) -> str:
 
 
 def _mains(root: Element, gone) -> list[Element]:
-    """The outermost article and main elements that stand in nothing that goes."""
-    out, work = [], [root]
+    """The outermost article and main elements that stand in nothing that goes; of a main that holds others, those."""
+    out: list[Element] = []
+    work: list = [root]
     while work:
         e = work.pop()
+        if isinstance(e, tuple):  # the end of a main, and how many there were at its beginning
+            if len(out) == e[1]:
+                out.append(e[0])
+            continue
         if isinstance(e, str) or e.marked or id(e) in gone:
             continue
-        if e.tag in ("article", "main"):
-            inner = [x for x in e.inner if isinstance(x, Element)]
-            nested = _mains(Element("#main", inner=inner), gone) if e.tag == "main" else []
-            out += nested or [e]
-        else:
-            work += reversed(e.inner)
+        if e.tag == "article":
+            out.append(e)
+            continue
+        if e.tag == "main":
+            work.append((e, len(out)))
+        work += reversed(e.inner)
     return out
 
 

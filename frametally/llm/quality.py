@@ -35,6 +35,8 @@ FEATURES = (
 #: Statistics are held as multiples of 2**-12, so that sums of products are exact integers.
 GRID = 4096
 MIN_ROWS = 8
+#: What is added to each variance at least, so that equal rows can be fitted.
+LEAST_VARIANCE = 1e-6
 
 _kind = np.zeros((9, 256), dtype=bool)
 _kind[0, [*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True  # punctuation and symbols
@@ -184,7 +186,8 @@ def fit(labelled: DataFrame, shrink: float = 0.1, ridge: float = 0.02) -> Discri
     factor, offset = [], []
     for c in (0, 1):
         s = (1 - shrink) * scatter[c] / n[c] + shrink * pooled
-        s += ridge * np.eye(d) * np.trace(s) / d
+        # statistics that are equal in all labelled rows have no variance to take a share of
+        s += np.eye(d) * max(ridge * np.trace(s) / d, LEAST_VARIANCE)
         low = np.linalg.cholesky(s)
         factor.append(np.linalg.solve(low, np.eye(d)))
         offset.append(np.log(n[c] / n.sum()) - np.log(np.diag(low)).sum())

@@ -33,6 +33,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,15 +83,18 @@ def unchunked(body: bytes) -> bytes:
         at = end + 4 + size
 
 
-def page_records(page_id: int | None, url: str, payload: bytes, sha1: str, refers_to: int | None, copy: int = 0, segment: int = SEGMENT) -> list[bytes]:
-    """The records of one page, without the two line ends that close each."""
-    name = f"<urn:page:{'none' if page_id is None else page_id}:{sha1}:{copy}>"
+def page_records(page_id: int | None, url: str, payload: bytes, sha1: str, refers_to: int | None, copy: int | None = None, segment: int = SEGMENT) -> list[bytes]:
+    """The records of one page, without the two line ends that close each.
+
+    ``copy`` tells apart pages of one id and payload: segments meet under their record's name.
+    """
+    name = f"<urn:page:{'none' if page_id is None else page_id}:{sha1}{'' if copy is None else f':{copy}'}>"
     url = re.sub(r"[\x00-\x20]", lambda m: f"%{ord(m[0]):02X}", url)
     common = [("WARC-Target-URI", url), ("WARC-Date", DATE), ("WARC-Payload-Digest", f"sha1:{sha1}"), ("X-Payload-Length", len(payload))]
     if refers_to is not None:
         head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
         fields = [("WARC-Type", "revisit"), ("WARC-Record-ID", name), *common]
-        fields += [("WARC-Refers-To", f"<urn:page:{refers_to}:{sha1}:0>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
+        fields += [("WARC-Refers-To", f"<urn:page:{refers_to}:{sha1}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
         return [_headers([*fields, ("Content-Type", "application/http; msgtype=response"), ("Content-Length", len(head))]) + head]
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     parts = [block[i : i + segment] for i in range(0, len(block), segment)]
@@ -110,13 +114,18 @@ def page_records(page_id: int | None, url: str, payload: bytes, sha1: str, refer
 
 
 def _written(batches: Iterator[pa.RecordBatch], segment: int) -> Iterator[pa.RecordBatch]:
-    """Records of (page_id, url, html, digest, first); at most some MB at a time."""
+    """Records of (page_id, url, html, digest, first, copies); at most some MB at a time.
+
+    Rows that may occur repeatedly are numbered by task and place in it.
+    """
+    number = TaskContext.get().partitionId() << 33
     for batch in batches:
         raw = batch.column(2).fill_null("").cast(pa.binary())
         out, held = [], 0
-        for i, (p, url, sha1, first) in enumerate(zip(*(batch.column(j).to_pylist() for j in (0, 1, 3, 4)))):
+        for i, (p, url, sha1, first, copies) in enumerate(zip(*(batch.column(j).to_pylist() for j in (0, 1, 3, 4, 5)))):
             refers = first if first is not None and first != p else None
-            own = page_records(p, url or "", raw[i].as_buffer().to_pybytes(), sha1, refers, i, segment)
+            own = page_records(p, url or "", raw[i].as_buffer().to_pybytes(), sha1, refers, number if p is None or copies > 1 else None, segment)
+            number += 1
             out += own
             held += sum(map(len, own))
             if held > 4 << 20:
@@ -125,18 +134,21 @@ def _written(batches: Iterator[pa.RecordBatch], segment: int) -> Iterator[pa.Rec
         yield pa.record_batch([pa.array(out, pa.binary())], names=["record"])
 
 
-def originals(pages: DataFrame, least: int = 0) -> DataFrame:
-    """(digest, first): the smallest page id of each payload digest that several pages have."""
-    known = pages.select("page_id", "digest", F.coalesce(F.octet_length("html"), F.lit(0)).alias("size")).where(F.col("size") >= least)
-    return known.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").select("digest", "first")
+def originals(pages: DataFrame) -> DataFrame:
+    """(digest, first, copies): of payloads that several rows have, the smallest page id and how many rows have both."""
+    each = pages.groupBy("digest", "page_id").agg(F.count(F.lit(1)).alias("copies"))
+    by_digest = each.groupBy("digest").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "copies"))).alias("f"), F.sum("copies").alias("n"))
+    return by_digest.where("n > 1 and f is not null").select("digest", F.col("f.page_id").alias("first"), "f.copies")
 
 
 def write(pages: DataFrame, path: str, least: int = 0, segment: int = SEGMENT) -> None:
     """Writes pages (page_id, url, html) as WARC files under path."""
     known = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").withColumn("digest", digest(F.col("html")))
-    firsts = stored(originals(known, least), "originals")
-    joined = known.join(firsts, "digest", "left")
-    joined = joined.withColumn("first", F.when(F.coalesce(F.octet_length("html"), F.lit(0)) >= least, F.col("first"))).select("page_id", "url", "html", "digest", "first")
+    joined = known.join(stored(originals(known), "originals"), "digest", "left")
+    refers = F.when(F.coalesce(F.octet_length("html"), F.lit(0)) >= least, F.col("first"))
+    # rows of the smallest id come once unless counted otherwise; of other ids all but small ones are revisits, of one record each
+    copies = F.when((F.col("page_id") == F.col("first")) | F.col("first").isNull(), F.coalesce("copies", F.lit(1))).otherwise(2)
+    joined = joined.select("page_id", "url", "html", "digest", refers.alias("first"), copies.alias("copies"))
     records = joined.mapInArrow(partial(_written, segment=segment), "record binary")
     records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS).text(path)
 

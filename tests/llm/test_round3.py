@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import time
 import zlib
 
 import duckdb
@@ -10,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from frametally.llm import bpe_transducer, conversations, shared, token_counts, vector_codes
+from frametally.llm import bpe_transducer, conversations, html_text, quality, shared, token_counts, vector_codes, warc
 from frametally.llm.queries import QUERIES
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -260,3 +261,39 @@ def test_repair_query_equals_brute_force(spark, sf):
         groups.setdefault(r.conv_id, []).append((r.conv_id, r.turn, r.role, r.text))
     got = {r.conv_id: tuple(r)[1:] for r in QUERIES["op13_repair"](spark, sf).collect()}
     assert got == {c: by_hand(g) for c, g in groups.items()}
+
+
+# ---- rows and pages that broke earlier operators
+
+
+def test_equal_segmented_pages_come_back_each(spark, tmp_path):
+    big = "x" * 100_000
+    rows = [(7, "http://a/", big), (8, "http://b/", big), (None, "http://c/", big), (None, "http://c/", big), (9, "http://d/", "y" * 70_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    pages = pages.unionByName(spark.createDataFrame([(7, "http://a/", big)], pages.schema))  # a partition of its own
+    got = sorted(((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to, r.valid) for r in warc.round_trip(pages).collect()), key=repr)
+    assert got == [(0, 100_000, "revisit", 7, True)] * 2 + [(7, 100_000, "response", None, True)] * 2 + [(8, 100_000, "revisit", 7, True), (9, 70_000, "response", None, True)]
+    alone = spark.createDataFrame([(None, "u", big)], pages.schema)
+    got = warc.round_trip(alone.unionByName(alone)).collect()
+    assert [(r.page_id, r.record_type, r.segments > 1, r.valid) for r in got] == [(None, "response", True, True)] * 2
+
+
+@pytest.mark.parametrize("text", ["", "One sentence. Another one."])
+def test_quality_of_equal_texts(spark, text):
+    docs = spark.createDataFrame([(i, text) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    got = quality.classify(docs, labels).collect()
+    assert len(got) == 60 and all(0 <= r.score <= 1 for r in got)
+
+
+@pytest.mark.parametrize("page", ["<main>" * 5000 + "Deep.", "<b><div>" * 20_000 + "Deep.", "<div>" * 20_000 + "</section>" * 20_000 + "Deep.", "<p>" + "<b>" * 20_000 + "</i>" * 20_000 + "Deep.", "<li>" + "<i>" * 20_000 + "<li>" * 20_000 + "Deep."])
+def test_deep_pages_are_read_in_linear_time(page):
+    began = time.process_time()
+    assert html_text.main_text(page) == "Deep."
+    html_text._candidates(page)
+    assert time.process_time() - began < 4
+
+
+def test_mains_in_mains():
+    page = "<main>a<main>b<article>c</article></main><main>d</main></main><main>e</main>"
+    assert html_text.main_text(page) == "c\n\nd\n\ne"
