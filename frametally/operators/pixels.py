@@ -145,17 +145,3 @@ def generations(bands: DataFrame, *keys: str, least_samples: int = 128, least_ba
     return out.withColumn("generations", F.when(few, None).when(p >= 2, 2).when(p == 0, 1)).withColumn(
         "confidence", F.when(few, None).when(p >= 2, F.least(F.lit(1.0), 0.3 + 0.7 * p / F.col("usable"))).when(p == 0, 0.7)
     )
-
-
-def effective_share(spectrum: str = "spectrum") -> Column:
-    """Share of the Nyquist radius up to which a 64-bin radial power spectrum holds detail.
-
-    Bins are whitened by their squared radius; the last bin above 0.4 of the
-    largest from the third on counts; flat images give 1/64, no spectrum null.
-    """
-    return F.expr(f"""
-      CASE WHEN {spectrum} IS NULL THEN NULL
-      WHEN array_max(slice(transform({spectrum}, (p, b) -> p * (b + 0.5D) * (b + 0.5D)), 4, {BINS - 3})) <= 1e-6 THEN 1D / {BINS}
-      ELSE (1 + coalesce(array_max(filter(sequence(0, {BINS - 1}), b -> {spectrum}[b] * (b + 0.5D) * (b + 0.5D)
-        > 0.4D * array_max(slice(transform({spectrum}, (p, i) -> p * (i + 0.5D) * (i + 0.5D)), 4, {BINS - 3})))), 0)) / {BINS}D END
-    """)

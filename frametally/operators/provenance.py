@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from frametally.functions import rates
+from frametally.operators import headers, resize, spectrum
+from frametally.operators import pixels as measures
 from frametally.operators.decide import headroom
 
-#: Below this share of the certified resolution an image counts as enlarged.
-UPSCALED = 0.85
+#: Below this share of the resolution that its spectrum can certify an image counts as enlarged.
+UPSCALED = 0.625
 #: Shorter edges have no spectrum to go by.
 LEAST = 16
 
@@ -19,31 +21,51 @@ def _pair(w: Column, h: Column) -> Column:
 
 
 def records(images: DataFrame) -> DataFrame:
-    """images (container, width, height, quality, encoder, generations, seams, effective_w, effective_h, p95) with
-    blocking_score, upscaled, softness, headroom, reasons and evidence.
+    """images (container, width, height, quality, encoder, subsampling, generations, seams, effective_w, effective_h,
+    certified_w, certified_h, p95, said) with blocking_score, upscaled, softness, headroom, reasons and evidence.
 
     seams is the ratio of :func:`frametally.operators.pixels.blocking`; quality,
-    encoder and generations are null but for JPEGs; effective sizes are null
-    where the spectrum tells nothing.
+    encoder, subsampling and generations are null but for JPEGs; sizes are those
+    of :func:`frametally.operators.spectrum.resolution`, null where there is no
+    spectrum; a null p95 has softness unknown.  ``said`` is an array of what the
+    header gave, told after the container.
     """
     c = F.col
     long_edge, short_edge = F.greatest("width", "height"), F.least("width", "height")
-    score = rates.blocking_score(c("seams"))
-    measured = (short_edge >= LEAST) & c("effective_w").isNotNull()
-    upscaled = F.coalesce(measured & (F.greatest("effective_w", "effective_h") < UPSCALED * long_edge), F.lit(False))
-    out = images.withColumns({"blocking_score": score, "upscaled": upscaled, "softness": rates.softness(c("p95"), long_edge)})
+    measured = (short_edge >= LEAST) & c("effective_w").isNotNull() & c("certified_w").isNotNull()
+    upscaled = F.coalesce(measured & (F.greatest("effective_w", "effective_h") < UPSCALED * F.greatest("certified_w", "certified_h")), F.lit(False))
+    softness = F.coalesce(F.when(c("p95").isNotNull(), rates.softness(c("p95"), long_edge)), F.lit("unknown"))
+    out = images.withColumns({"blocking_score": rates.blocking_score(c("seams")), "upscaled": upscaled, "softness": softness})
     out = out.withColumn("_room", headroom(c("container"), c("generations"), c("quality"), c("blocking_score")))
     size = _pair(c("effective_w"), c("effective_h"))
-    evidence = F.array_compact(
-        F.array(
-            F.concat(F.lit("container "), "container", F.lit(", "), _pair(c("width"), c("height"))),
-            F.when(c("quality").isNotNull(), F.concat(F.lit("quality about "), c("quality").cast("string"))),
-            F.when(c("encoder").isNotNull(), F.concat(F.lit("encoder "), "encoder")),
-            F.when(c("generations").isNotNull(), F.concat(F.lit("encode generations "), c("generations").cast("string"))),
-            F.concat(F.lit("seams score "), F.format_string("%.4f", c("blocking_score"))),
-            F.when(~measured, F.lit("no spectrum to go by")).when(c("upscaled"), F.concat(F.lit("enlarged from "), size)).otherwise(F.concat(F.lit("detail up to "), size)),
-            F.concat(F.lit("softness "), "softness"),
-            F.concat(F.lit("headroom "), c("_room.headroom"), F.lit(": "), F.array_join(c("_room.reasons"), "; ")),
-        )
+    told = F.array(
+        F.when(c("generations").isNotNull(), F.concat(F.lit("encode generations "), c("generations").cast("string"))),
+        F.concat(F.lit("seams score "), F.format_string("%.4f", c("blocking_score"))),
+        F.when(~measured, F.lit("no spectrum to go by")).when(c("upscaled"), F.concat(F.lit("enlarged from "), size)).otherwise(F.concat(F.lit("detail up to "), size)),
+        F.concat(F.lit("softness "), "softness"),
+        F.concat(F.lit("headroom "), c("_room.headroom"), F.lit(": "), F.array_join(c("_room.reasons"), "; ")),
     )
+    first = F.array(F.concat(F.lit("container "), "container", F.lit(", "), _pair(c("width"), c("height"))))
+    evidence = F.array_compact(F.concat(first, F.coalesce("said", F.array().cast("array<string>")), told))
     return out.select(*images.columns, "blocking_score", "upscaled", "softness", c("_room.headroom").alias("headroom"), c("_room.reasons").alias("reasons"), evidence.alias("evidence"))
+
+
+def measured(pixels: DataFrame, files: DataFrame, *keys: str) -> DataFrame:
+    """Records of images whose pixels (keys, x, y, value) and files (keys, content) are at hand.
+
+    Seams, spectrum and sharpness are measured on the pixels, quality and
+    encoder read from the header, and generations counted with the steps of the
+    file's luma table.  Images without a file count as PNG; files without pixels
+    give no record.
+    """
+    on = list(keys)
+    opened = headers.read(files)
+    values = opened.where("luma is not null").select(*keys, F.posexplode("luma.values").alias("_at", "_step")).select(*keys, (F.col("_at") % 8).cast("long").alias("u"), F.floor(F.col("_at") / 8).alias("v"), "_step")
+    bands = measures.dct_blocks(pixels, *keys).join(values, [*keys, "u", "v"])
+    generations = measures.generations(measures.periodicity(measures.quantised_histogram(bands, F.col("_step"), *keys), *keys), *keys).select(*keys, "generations")
+    seams = measures.blocking(pixels, *keys).select(*keys, F.col("combined").alias("seams"))
+    sharp = measures.laplacian(resize.normalised(pixels, *keys), *keys).select(*keys, "p95")
+    known = spectrum.resolution(pixels, *keys).join(seams, on).join(sharp, on, "left").join(generations, on, "left")
+    read = opened.select(*keys, "container", headers.notes(pixels=True).alias("said"), F.col("fit.quality").alias("quality"), F.col("fit.encoder").alias("encoder"), "subsampling")
+    out = known.withColumnsRenamed({"w": "width", "h": "height"}).join(read, on, "left").withColumn("container", F.coalesce("container", F.lit("png")))
+    return records(out.withColumn("generations", F.when(F.col("container") == "jpeg", F.col("generations"))))

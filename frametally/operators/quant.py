@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,17 @@ STANDARD_LUMA = [
     16, 11, 10, 16, 24, 40, 51, 61, 12, 12, 14, 19, 26, 58, 60, 55, 14, 13, 16, 24, 40, 57, 69, 56, 14, 17, 22, 29, 51, 87, 80, 62,
     18, 22, 37, 56, 68, 109, 103, 77, 24, 35, 55, 64, 81, 104, 113, 92, 49, 64, 78, 87, 103, 121, 120, 101, 72, 92, 95, 98, 112, 100, 103, 99,
 ]
+# The chrominance table of the same annex, and the table of the other encoder in use, for luma and chroma alike.
+STANDARD_CHROMA = [
+    17, 18, 24, 47, 99, 99, 99, 99, 18, 21, 26, 66, 99, 99, 99, 99, 24, 26, 56, 99, 99, 99, 99, 99, 47, 66, 99, 99, 99, 99, 99, 99,
+    99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99,
+]
+PSYCHOVISUAL = [
+    16, 16, 16, 18, 25, 37, 56, 85, 16, 17, 20, 27, 34, 40, 53, 75, 16, 20, 24, 31, 43, 62, 91, 135, 18, 27, 31, 40, 53, 74, 106, 156,
+    25, 34, 43, 53, 69, 94, 131, 189, 37, 40, 62, 74, 94, 124, 169, 238, 56, 53, 91, 106, 131, 169, 226, 311, 85, 75, 135, 156, 189, 238, 311, 418,
+]
+#: Largest value of a table of 8 and of 16 bits.
+LIMITS = (255, 32767)
 #: Largest mean relative deviation of a fit.
 FIT = 0.05
 
@@ -64,6 +77,57 @@ def estimate_quality(tables: DataFrame, known: DataFrame, key: str, table: str =
     )
 
 
+def registry(spark: SparkSession) -> DataFrame:
+    """(family_ord, family, q, luma8, luma16, chroma8, chroma16): both tables of every family at every quality, 200 rows."""
+    known = [(0, "standard", STANDARD_LUMA, STANDARD_CHROMA), (1, "psychovisual", PSYCHOVISUAL, PSYCHOVISUAL)]
+    base = spark.createDataFrame(known, "family_ord int, family string, luma array<int>, chroma array<int>")
+    q = spark.range(1, 101).select(F.col("id").cast("int").alias("q"))
+    scaled = [scale_table(F.col(c), F.col("q"), limit).alias(f"{c}{bits}") for c in ("luma", "chroma") for bits, limit in zip((8, 16), LIMITS)]
+    return base.join(q).select("family_ord", "family", "q", *scaled)
+
+
+def pair_fit(known: DataFrame):
+    """A function of luma and chroma tables (id, precision, values) that gives struct(family, quality, fit, exact, encoder).
+
+    The chroma table may be null.  Deviations are means over all values of both;
+    earlier families and lower qualities win ties; fits over FIT give nulls, and
+    no luma table a null.  ``known`` (see :func:`registry`) is a few hundred rows
+    that go along with the function.  Each different pair of a batch is compared
+    once: encoders write few.
+    """
+    rows = sorted(known.collect(), key=lambda r: (r.family_ord, r.q))
+    expected = {f"{c}{bits}": np.array([r[f"{c}{bits}"] for r in rows], dtype=float) for c in ("luma", "chroma") for bits in (8, 16)}
+    order = {f: i for i, f in enumerate(dict.fromkeys(r.family for r in rows))}
+    names, family, q = list(order), np.array([order[r.family] for r in rows]), [r.q for r in rows]
+    kind = pa.struct([("family", pa.string()), ("quality", pa.int32()), ("fit", pa.float64()), ("exact", pa.bool_()), ("encoder", pa.string())])
+
+    def compared(tables: list[tuple[str, list[int]]]) -> dict:
+        apart = [(np.abs(values - expected[name]) / expected[name]).sum(axis=1) / len(values) for name, values in tables]
+        fit = np.sum(apart, axis=0) / len(apart)
+        at = int(np.argmin(np.round(fit, 12)))
+        exact = {names[f] for f in family[fit == 0]}
+        ok = fit[at] <= FIT
+        return {"family": names[family[at]] if ok else None, "quality": q[at] if ok else None, "fit": fit[at] if ok else None, "exact": bool(exact), "encoder": exact.pop() if len(exact) == 1 else None}
+
+    @F.arrow_udf("struct<family:string,quality:int,fit:double,exact:boolean,encoder:string>")
+    def nearest(luma: pa.Array, luma_bits: pa.Array, chroma: pa.Array, chroma_bits: pa.Array) -> pa.Array:
+        out, seen = [], {}
+        for lv, lb, cv, cb in zip(*(x.to_pylist() for x in (luma, luma_bits, chroma, chroma_bits))):
+            if lv is None:
+                out.append(None)
+                continue
+            key = (tuple(lv), lb, cv and tuple(cv), cb)
+            if key not in seen:
+                seen[key] = compared([(f"{name}{16 if bits else 8}", values) for name, values, bits in (("luma", lv, lb), ("chroma", cv, cb)) if values is not None])
+            out.append(seen[key])
+        return pa.array(out, kind)
+
+    def fit(luma: Column, chroma: Column) -> Column:
+        return nearest(luma["values"], luma["precision"], chroma["values"], chroma["precision"])
+
+    return fit
+
+
 def signature(table: Column, precision: int = 0) -> Column:
     """FNV-1a (32 bits, eight hex digits) of the precision byte and the table's values, two bytes each."""
     data = F.concat(F.array(F.lit(precision).cast("long")), F.flatten(F.transform(table, lambda v: F.array(F.shiftright(v, 8).cast("long"), v.bitwiseAND(255).cast("long")))))

@@ -70,4 +70,5 @@ def normalised(pixels: DataFrame, *keys: str, edge: int = 1024) -> DataFrame:
     tw, th = fit_within(F.col("w"), F.col("h"), edge)
     large = sizes.where(F.greatest("w", "h") > edge).select(*keys, "w", "h", tw.alias("tw"), th.alias("th"))
     small = pixels.join(large.select(*keys), list(keys), "left_anti").select(*keys, F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), "value")
-    return small.unionByName(area(pixels, large, *keys).withColumn("value", clamp_byte(F.col("value"))))
+    # means are fractions of the sizes: what lies on a tie but for the last bits of its sum is taken as one
+    return small.unionByName(area(pixels, large, *keys).withColumn("value", clamp_byte(F.round("value", 9))))

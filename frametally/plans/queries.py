@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from frametally.functions import addresses, containers, layout, rates, urls
-from frametally.operators import decide, history, hull, pixels, provenance, quant, resize, spectrum, sweep, verify
+from frametally.operators import decide, history, hull, pixels, quant, resize, sweep, verify
 from frametally.plans.views import duckdb_sql, view
 from frametally.sources import pages, receipts
 from frametally.streaming import limits
@@ -278,14 +278,6 @@ def block_seams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("image", F.round("horizontal", 6).alias("horizontal"), F.round("vertical", 6).alias("vertical"))
 
 
-@query(f"""WITH {_TILED}, l AS (SELECT c.image, c.x, c.y, w.value + e.value + n.value + s.value - 4 * c.value AS l FROM g c JOIN g w ON w.image = c.image AND w.y = c.y AND w.x = c.x - 1 JOIN g e ON e.image = c.image AND e.y = c.y AND e.x = c.x + 1
-   JOIN g n ON n.image = c.image AND n.x = c.x AND n.y = c.y - 1 JOIN g s ON s.image = c.image AND s.x = c.x AND s.y = c.y + 1)
- SELECT image, round(greatest(0, avg(l * l) - avg(l) * avg(l)), 4) AS p95, CAST(1 AS BIGINT) AS tiles FROM l GROUP BY image""")
-def laplacian_sharpness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = pixels.laplacian(_tiled(spark, sf_dir), "image")
-    return s.select("image", F.round("p95", 4).alias("p95"), F.col("tiles").cast("long").alias("tiles"))
-
-
 _BLOCKS = """f AS (SELECT image, x // 8 AS block_x, y // 8 AS block_y FROM g GROUP BY ALL HAVING count(*) = 64),
  d AS (SELECT g.image, f.block_x, f.block_y, u.u, v.v, sum((g.value - 128) * cos((2 * (g.x % 8) + 1) * u.u * pi() / 16) * cos((2 * (g.y % 8) + 1) * v.v * pi() / 16))
    * CASE WHEN u.u = 0 THEN sqrt(0.125) ELSE 0.5 END * CASE WHEN v.v = 0 THEN sqrt(0.125) ELSE 0.5 END AS c
@@ -323,21 +315,6 @@ def encode_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels.generations(pixels.periodicity(histogram, "image"), "image")
 
 
-@query(f"""WITH {_TILED}, q AS (SELECT image FROM g GROUP BY image HAVING count(*) = 576 AND max(x) = 23 AND max(y) = 23),
- w AS (SELECT g.*, (0.5 - 0.5 * cos(2 * pi() * x / 23)) * (0.5 - 0.5 * cos(2 * pi() * y / 23)) AS w FROM g JOIN q USING (image)),
- m AS (SELECT image, sum(value * w) / sum(w) AS mean FROM w GROUP BY image),
- c AS (SELECT w.image, x, y, (value - mean) * w AS z FROM w JOIN m USING (image)),
- r AS (SELECT image, y, k.k AS ku, sum(z * cos(2 * pi() * k.k * x / 24)) AS re, -sum(z * sin(2 * pi() * k.k * x / 24)) AS im FROM c CROSS JOIN range(-12, 12) k(k) GROUP BY image, y, k.k),
- t AS (SELECT image, ku, k.k AS kv, sum(re * cos(2 * pi() * k.k * y / 24) + im * sin(2 * pi() * k.k * y / 24)) AS re, sum(im * cos(2 * pi() * k.k * y / 24) - re * sin(2 * pi() * k.k * y / 24)) AS im FROM r CROSS JOIN range(-12, 12) k(k) WHERE ku * ku + k.k * k.k <= 144 GROUP BY image, ku, k.k),
- a AS (SELECT image, least(63, CAST(floor(128 * sqrt(CAST(ku * ku + kv * kv AS DOUBLE)) / 24) AS INT)) AS bin, re * re + im * im AS p FROM t),
- b AS (SELECT image, bin, avg(p) * (bin + 0.5) * (bin + 0.5) AS p FROM a GROUP BY image, bin),
- o AS (SELECT image, max(p) FILTER (bin >= 3) AS top FROM b GROUP BY image)
- SELECT b.image, round(CASE WHEN any_value(top) <= 1e-6 THEN 1 ELSE 1 + coalesce(max(bin) FILTER (p > 0.4 * top), 0) END / 64.0, 6) AS share FROM b JOIN o USING (image) GROUP BY b.image""")
-def effective_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rings = spectrum.planes(_tiled(spark, sf_dir), "image").withColumn("spectrum", spectrum.spectrum(F.col("plane")))
-    return rings.where("spectrum is not null").select("image", F.round(pixels.effective_share("spectrum"), 6).alias("share"))
-
-
 @query(f"""WITH {_TILED}, t AS (SELECT a.a AS tx, b.a AS ty FROM range(10) a(a), range(10) b(a)),
  c AS (SELECT g.image, t.tx, t.ty, g.value, greatest(0, least(g.x + 1, (t.tx + 1) * 2.4) - greatest(g.x, t.tx * 2.4)) * greatest(0, least(g.y + 1, (t.ty + 1) * 2.4) - greatest(g.y, t.ty * 2.4)) AS w FROM g, t WHERE image IN (SELECT image FROM g GROUP BY image HAVING max(x) = 23 AND max(y) = 23))
  SELECT image, CAST(tx AS INT) AS x, CAST(ty AS INT) AS y, round(sum(value * w) / 5.76, 4) AS value FROM c GROUP BY image, tx, ty""")
@@ -357,22 +334,6 @@ def bilinear_resized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resize.bilinear(p, sizes, "image").withColumn("value", F.round("value", 4))
 
 
-@query("""WITH i AS (SELECT asset_id, container, declared_w AS width, declared_h AS height, CASE WHEN container = 'jpeg' THEN quality END AS q, CASE WHEN container = 'jpeg' THEN generations END AS g, CASE WHEN blocking_score = 0 THEN 1 ELSE 1 / (1 - blocking_score) END AS seams, effective_w AS ew, effective_h AS eh, p_size * 12.0 AS p95 FROM {assets}),
- s AS (SELECT *, CASE WHEN seams <= 1 THEN 0.0 ELSE 1 - 1 / seams END AS score, coalesce(greatest(ew, eh) < 0.85 * greatest(width, height), false) AS upscaled,
-   CASE WHEN greatest(width, height) <= 1024 THEN CASE WHEN p95 >= 500 THEN 'sharp' WHEN p95 < 100 THEN 'soft' ELSE 'unknown' END ELSE CASE WHEN p95 >= 140 THEN 'sharp' WHEN p95 < 28 THEN 'soft' ELSE 'unknown' END END AS softness,
-   list_filter([CASE WHEN g >= 2 THEN 'at least ' || g || ' encode generations' END, CASE WHEN q < 60 THEN 'quality ' || q || ' is below 60' END, CASE WHEN container IN ('png', 'gif') AND CASE WHEN seams <= 1 THEN 0.0 ELSE 1 - 1 / seams END >= 1 / 3.0 THEN 'lossless container with jpeg seams' END], lambda x: x IS NOT NULL) AS gone FROM i),
- r AS (SELECT *, CASE WHEN len(gone) > 0 THEN 'none' WHEN q < 78 THEN 'low' ELSE 'normal' END AS headroom, CASE WHEN len(gone) > 0 THEN array_to_string(gone, '; ') WHEN q < 78 THEN 'quality ' || q || ' is below 78' ELSE 'no exhaustion evidence' END AS why FROM s)
- SELECT asset_id, upscaled, softness, headroom, concat_ws(' | ', 'container ' || container || ', ' || width || 'x' || height, 'quality about ' || q, 'encode generations ' || g, 'seams score ' || printf('%.4f', score),
-   CASE WHEN ew IS NULL THEN 'no spectrum to go by' WHEN upscaled THEN 'enlarged from ' || ew || 'x' || eh ELSE 'detail up to ' || ew || 'x' || eh END, 'softness ' || softness, 'headroom ' || headroom || ': ' || why) AS evidence FROM r""")
-def provenance_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    jpeg = F.col("container") == "jpeg"
-    a = view(spark, sf_dir, "assets").select(
-        "asset_id", "container", F.col("declared_w").alias("width"), F.col("declared_h").alias("height"), F.when(jpeg, F.col("quality")).alias("quality"), F.lit(None).cast("string").alias("encoder"), F.when(jpeg, F.col("generations")).alias("generations"),
-        F.when(F.col("blocking_score") == 0, 1.0).otherwise(1 / (1 - F.col("blocking_score"))).alias("seams"), "effective_w", "effective_h", (F.col("p_size") * 12.0).alias("p95"),
-    )
-    return provenance.records(a).select("asset_id", "upscaled", "softness", "headroom", F.array_join("evidence", " | ").alias("evidence"))
-
-
 # ---- quantisation tables -------------------------------------------------------------
 
 
@@ -587,3 +548,6 @@ def rate_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT url, event_id, t AS "at", hit FROM s""")
 def cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limits.cache_batch(_requests(spark, sf_dir), 600_000).select("url", "event_id", "at", "hit")
+
+
+from frametally.plans import evidence_queries  # noqa: E402, F401  (registers its queries here)

@@ -12,6 +12,25 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from frametally.operators import quant
+from frametally.sources.images import ZIGZAG
+
+
+def _bases() -> str:
+    """Both families' tables as rows (family, t, i, z, b): t is 0 for luma, i and z are places in natural and stored order."""
+    tables = ((0, 0, quant.STANDARD_LUMA), (0, 1, quant.STANDARD_CHROMA), (1, 0, quant.PSYCHOVISUAL), (1, 1, quant.PSYCHOVISUAL))
+    place = {i: z for z, i in enumerate(ZIGZAG)}
+    return "SELECT * FROM (VALUES " + ", ".join(f"({f}, {t}, {i}, {place[i]}, {b})" for f, t, table in tables for i, b in enumerate(table)) + ") AS b(family, t, i, z, b)"
+
+
+_SIZE = "lpad(hex(60 + 2 * p_size), 4, '0'), lpad(hex(100 + 3 * p_size), 4, '0')"
+_SOS = "'FFDA0008010100003F00FFD9'"
+
+
+def _frame(marker: str, factors: str) -> str:
+    return f"concat('{marker}001108', {_SIZE}, '0301{factors}00021101031101')"
+
+
 VIEWS = {
     "candidates": """
 SELECT asset_id, page, format, quality, bytes, ssim, delta_e, distortion, ord FROM (
@@ -115,6 +134,32 @@ FROM {orders}
 SELECT c_custkey AS file_ord, concat(CASE WHEN c_custkey % 2 = 0 THEN 'A' ELSE 'a' END, CAST(c_custkey * 2 AS VARCHAR(20)), '.jpg') AS name,
   CASE c_custkey % 3 WHEN 0 THEN concat('sha256:s', CAST(c_custkey % 97 AS VARCHAR(20))) WHEN 1 THEN concat('sha256:o', CAST(c_custkey % 89 AS VARCHAR(20))) ELSE concat('sha256:x', CAST(c_custkey AS VARCHAR(20))) END AS hash
 FROM {customer}
+""",
+    "pictures": """
+SELECT CAST(floor(plane / 6) AS BIGINT) AS image, i % 8 + 8 * (plane % 6 % cols) AS x, CAST(floor(i / 8) AS BIGINT) + 8 * CAST(floor(plane % 6 / cols) AS BIGINT) AS y, value
+FROM (SELECT *, CASE CAST(floor(plane / 6) AS BIGINT) % 3 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 6 END AS cols FROM {planes}) AS p
+UNION ALL
+SELECT -1 - CAST(floor(plane / 300) AS BIGINT), i % 8 + 8 * CAST(floor(plane % 300 / 2) AS BIGINT), CAST(floor(i / 8) AS BIGINT) + 8 * (plane % 2), value FROM {planes}
+""",
+    "quant_bases": _bases(),
+    "jpeg_cells": """
+SELECT p_partkey AS file_id, p_partkey % 12 AS k, 50 + p_size AS q, t, i, z,
+  CAST(least(255, greatest(1, floor((b * (100 - 2 * p_size) + 50) / 100))) AS BIGINT) + CASE WHEN p_partkey % 12 = 4 THEN 40 WHEN p_partkey % 12 = 10 AND t = 0 AND i = 7 THEN 1 ELSE 0 END AS v
+FROM {part} JOIN {quant_bases} ON family = CASE WHEN p_partkey % 12 = 7 THEN 1 ELSE 0 END
+""",
+    "jpegs": f"""
+SELECT p_partkey AS file_id, CASE p_partkey % 12
+  WHEN 0 THEN concat('FFD8FFE000104A46494600010100000100010000', 'FFDB004300', l, 'FFDB004301', c, {_frame("FFC0", "22")}, {_SOS})
+  WHEN 1 THEN concat('FFD8FFDB008400', l, '01', c, {_frame("FFC2", "11")}, {_SOS})
+  WHEN 2 THEN concat('FFD8FFDB008310', l, 'FFDB008311', c, {_frame("FFC0", "22")}, {_SOS})
+  WHEN 3 THEN concat('FFD8FFDB004300', l, 'FFC0000B08', {_SIZE}, '01011100', {_SOS})
+  WHEN 5 THEN concat('FFD8FFDB004300', l, 'FFDB004301', substr(c, 1, 20))
+  WHEN 6 THEN concat('FFD8FFDB004300', l, 'FFDB004301', c, {_SOS})
+  WHEN 8 THEN '89504E470D0A1A0A' WHEN 9 THEN 'FFD8FF00'
+  WHEN 10 THEN concat('FFD8FFDB004300', c, 'FFDB004300', l, 'FFDB004301', c, {_frame("FFC0", "21")}, {_SOS})
+  WHEN 11 THEN concat('FFD8FFFFDB004300', l, 'FFDB004301', c, {_frame("FFC1", "12")}, {_SOS})
+  ELSE concat('FFD8FFDB004300', l, 'FFDB004301', c, {_frame("FFC0", "22")}, {_SOS}) END AS hexbytes
+FROM {{part}} JOIN (SELECT file_id, max(CASE WHEN t = 0 THEN h END) AS l, max(CASE WHEN t = 1 THEN h END) AS c FROM {{jpeg_hex}} GROUP BY file_id) AS x ON file_id = p_partkey
 """,
     "requests": """
 SELECT event_id, user_id AS client, ts, concat('/', event_type, '/', CAST(user_id AS VARCHAR(20))) AS url FROM {events}
@@ -122,8 +167,14 @@ SELECT event_id, user_id AS client, ts, concat('/', event_type, '/', CAST(user_i
 }
 
 #: Views whose text differs between the engines: unnesting with a position.
-SPARK_ONLY = {"vectors": "SELECT vec_id, pos, v FROM {embeddings} LATERAL VIEW posexplode(embedding) t AS pos, v"}
-DUCKDB_ONLY = {"vectors": "SELECT vec_id, unnest(range(len(embedding))) AS pos, unnest(embedding) AS v FROM {embeddings}"}
+SPARK_ONLY = {
+    "vectors": "SELECT vec_id, pos, v FROM {embeddings} LATERAL VIEW posexplode(embedding) t AS pos, v",
+    "jpeg_hex": "SELECT file_id, t, concat_ws('', transform(array_sort(collect_list(struct(z, lpad(hex(v), CASE WHEN k = 2 THEN 4 ELSE 2 END, '0') AS h))), x -> x.h)) AS h FROM {jpeg_cells} GROUP BY file_id, t",
+}
+DUCKDB_ONLY = {
+    "vectors": "SELECT vec_id, unnest(range(len(embedding))) AS pos, unnest(embedding) AS v FROM {embeddings}",
+    "jpeg_hex": "SELECT file_id, t, string_agg(lpad(hex(v), CASE WHEN k = 2 THEN 4 ELSE 2 END, '0'), '' ORDER BY z) AS h FROM {jpeg_cells} GROUP BY file_id, t",
+}
 
 _REF = re.compile(r"(?<!\{)\{(\w+)\}(?!\})")
 

@@ -21,8 +21,8 @@ HEAD = 1 << 16
 
 _TABLE = pa.struct([("id", pa.int32()), ("precision", pa.int32()), ("values", pa.list_(pa.int32()))])
 _COMPONENT = pa.struct([("id", pa.int32()), ("h", pa.int32()), ("v", pa.int32()), ("table", pa.int32())])
-_HEADER = pa.struct([("width", pa.int32()), ("height", pa.int32()), ("tables", pa.list_(_TABLE)), ("components", pa.list_(_COMPONENT)), ("truncated", pa.bool_())])
-_SPARK = "struct<width:int,height:int,tables:array<struct<id:int,precision:int,values:array<int>>>,components:array<struct<id:int,h:int,v:int,table:int>>,truncated:boolean>"
+_HEADER = pa.struct([("width", pa.int32()), ("height", pa.int32()), ("bits", pa.int32()), ("progressive", pa.bool_()), ("tables", pa.list_(_TABLE)), ("components", pa.list_(_COMPONENT)), ("truncated", pa.bool_())])
+_SPARK = "struct<width:int,height:int,bits:int,progressive:boolean,tables:array<struct<id:int,precision:int,values:array<int>>>,components:array<struct<id:int,h:int,v:int,table:int>>,truncated:boolean>"
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
@@ -52,7 +52,7 @@ def parse_jpeg(data: bytes) -> dict | None:
     what was read and ``truncated``; None for what isn't a JPEG."""
     if data[:2] != b"\xff\xd8":
         return None
-    out = {"width": None, "height": None, "tables": {}, "components": [], "truncated": True}
+    out = {"width": None, "height": None, "bits": None, "progressive": False, "tables": {}, "components": [], "truncated": True}
     at = 2
     while at + 4 <= len(data):
         if data[at] != 0xFF:
@@ -81,6 +81,7 @@ def parse_jpeg(data: bytes) -> dict | None:
                 body = body[1 + n :]
         elif marker in (0xC0, 0xC1, 0xC2) and out["width"] is None and len(body) >= 6:
             out["height"], out["width"] = struct.unpack_from(">HH", body, 1)
+            out["bits"], out["progressive"] = body[0], marker == 0xC2
             parts = body[6 : 6 + 3 * body[5]]
             out["components"] = [{"id": parts[i], "h": parts[i + 1] >> 4, "v": parts[i + 1] & 15, "table": parts[i + 2]} for i in range(0, len(parts) - 2, 3)]
         at += 2 + size

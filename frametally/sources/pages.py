@@ -93,14 +93,22 @@ class _Images(HTMLParser):
             self.found.append({"url": url, "kind": kind, "lazy": lazy, "attr_w": size[0], "attr_h": size[1], "css_w": css.get("width"), "css_h": css.get("height"), "srcset": entries})
 
 
+def _resolved(base: str, url: str) -> str | None:
+    """The URL that a page's base makes of one; None where there is none, as for a host that is no address."""
+    try:
+        return urljoin(base, url)
+    except ValueError:
+        return None
+
+
 def images_of(html: str, base: str) -> list[dict]:
     rules = style_rules("\n".join(re.findall(r"<style[^>]*>(.*?)</style", html, re.DOTALL | re.IGNORECASE)))
     page = _Images(rules)
     page.feed(html)
     for f in page.found:
-        f["url"] = urljoin(base, f["url"])
-        f["srcset"] = [{"url": urljoin(base, e["url"]), "descriptor": e["descriptor"]} for e in f["srcset"]]
-    return page.found
+        f["url"] = _resolved(base, f["url"])
+        f["srcset"] = [e | {"url": url} for e in f["srcset"] if (url := _resolved(base, e["url"])) is not None]
+    return [f for f in page.found if f["url"] is not None]
 
 
 def found_images(html: Column, base: Column) -> Column:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from frametally.functions import addresses, containers, layout, rates, urls
-from frametally.operators import decide, history, hull, pixels, quant, resize, spectrum, sweep, verify
+from frametally.operators import decide, history, hull, pixels, quant, resize, sweep, verify
 from frametally.plans import apply
 from frametally.sources import images, pages, receipts
 from frametally.streaming import limits
@@ -130,16 +130,6 @@ def test_double_quantisation_is_told_from_single(spark):
     assert got == {1: 1, 2: 2} and m.shape == (8, 8)
 
 
-def test_spectrum_tells_an_enlarged_plane(spark):
-    rng = np.random.default_rng(5)
-    noise = rng.normal(128, 40, (128, 128))
-    wide = np.fft.ifft2(np.pad(np.fft.fftshift(np.fft.fft2(noise)), 64)[np.ix_(np.r_[128:256, 0:128], np.r_[128:256, 0:128])]).real
-    rows = [(1, noise.ravel().tolist()), (2, wide.ravel().tolist()), (3, [0.0] * 256), (4, [1.0] * 9)]
-    d = spark.createDataFrame(rows, "image int, plane array<double>").withColumn("spectrum", spectrum.spectrum(F.col("plane")))
-    got = {r.image: r.share for r in d.select("image", pixels.effective_share("spectrum").alias("share")).collect()}
-    assert got[1] > 0.95 and 0.4 < got[2] < 0.65 and got[3] == 1 / 64 and got[4] is None
-
-
 def test_quality_of_a_table(spark):
     base = F.array(*map(F.lit, quant.STANDARD_LUMA))
     t = spark.range(1, 101).withColumn("luma", quant.scale_table(base, F.col("id")))
