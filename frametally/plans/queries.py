@@ -15,7 +15,7 @@ from frametally.functions import addresses, containers, layout, rates, urls
 from frametally.operators import decide, history, hull, pixels, quant, resize, sweep, verify
 from frametally.plans.views import duckdb_sql, view
 from frametally.sources import pages, receipts
-from frametally.streaming import limits
+from frametally.streaming import limits, probe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -550,4 +550,39 @@ def cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limits.cache_batch(_requests(spark, sf_dir), 600_000).select("url", "event_id", "at", "hit")
 
 
+# ten clients share an instance; targets are missing, wrong, refused, failing, no images, or written in two ways
+_TARGETS = """SELECT event_id, client, CAST(floor(client / 10) AS BIGINT) AS instance, ts, CASE WHEN event_id % 41 = 0 THEN NULL WHEN event_id % 43 = 0 THEN '' WHEN event_id % 37 = 0 THEN 'no address'
+  ELSE concat('https://img.example/', split_part(url, '/', 2), '/', CAST(client % 5 AS VARCHAR(9)), CASE WHEN event_id % 2 = 0 THEN '?a=1&b=2' ELSE '?b=2&a=1#top' END) END AS target FROM {requests}"""
+_RESPONSES = """SELECT concat('https://img.example/', event_type, '/', CAST(k AS VARCHAR(9)), '?a=1&b=2') AS url, CASE WHEN k = 4 THEN CASE event_type WHEN 'click' THEN 'private-address' WHEN 'view' THEN 'timeout' ELSE 'content-type' END END AS refusal,
+  CASE WHEN k = 3 AND event_type <> 'view' THEN 404 ELSE 206 END AS upstream, CASE WHEN k = 2 AND event_type = 'view' THEN 'svg' ELSE 'jpeg' END AS container FROM (SELECT DISTINCT split_part(url, '/', 2) AS event_type, client % 5 AS k FROM {requests}) AS d WHERE NOT (k = 1 AND event_type = 'click')"""
+
+
+def probe_requests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Requests and responses of the probe over the events."""
+    r = view(spark, sf_dir, "requests")
+    asked = spark.sql(_TARGETS, requests=r).withColumn("at", F.expr("timestampdiff(MILLISECOND, timestamp'1970-01-01 00:00:00', ts)"))
+    return asked, spark.sql(_RESPONSES, requests=r)
+
+
+PROBE_LIMITS = {"windows": ((3_600_000, 2), (86_400_000, 4)), "ttl_ms": 172_800_000, "most": 6}
+
+
+@query(f"""WITH t AS (SELECT *, epoch_us(ts) // 1000 AS t FROM ({_TARGETS}) x), rs AS ({_RESPONSES}),
+ q AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY client ORDER BY t, event_id) AS k FROM t WHERE coalesce(target, '') <> ''),
+ s AS (SELECT event_id, client, k, CAST(0 AS BIGINT) AS wait, [t] AS hits FROM q WHERE k = 1
+   UNION ALL SELECT event_id, client, k, wait, CASE WHEN wait = 0 THEN list_append(day, t) ELSE day END FROM (SELECT *, greatest(CASE WHEN len(hour) >= 2 THEN hour[len(hour) - 1] + 3600000 - t ELSE 0 END, CASE WHEN len(day) >= 4 THEN day[len(day) - 3] + 86400000 - t ELSE 0 END) AS wait FROM
+     (SELECT q.*, list_filter(s.hits, lambda x: x > q.t - 3600000) AS hour, list_filter(s.hits, lambda x: x > q.t - 86400000) AS day FROM s JOIN q ON q.client = s.client AND q.k = s.k + 1) j) w),
+ a AS (SELECT q.event_id, q.instance, q.t, q.target, s.wait, CASE WHEN s.wait = 0 AND q.target LIKE 'https:%' THEN replace(replace(q.target, '#top', ''), 'b=2&a=1', 'a=1&b=2') END AS url FROM q JOIN s USING (event_id)),
+ o AS MATERIALIZED (SELECT a.*, CASE WHEN a.url IS NULL THEN NULL WHEN rs.url IS NULL THEN 'network-error' WHEN refusal IS NOT NULL THEN refusal WHEN upstream >= 300 THEN 'upstream-status' WHEN container = 'svg' THEN 'unrecognized-container' END AS code, row_number() OVER (PARTITION BY instance ORDER BY t, a.event_id) AS k FROM a LEFT JOIN rs ON rs.url = a.url WHERE a.url IS NOT NULL),
+ c AS (SELECT event_id, instance, k, false AS hit, CASE WHEN code IS NULL THEN [struct_pack(u := url, e := t + 172800000)] ELSE [] END AS held FROM o WHERE k = 1
+   UNION ALL SELECT event_id, instance, k, hit, CASE WHEN hit OR code IS NOT NULL THEN CASE WHEN hit THEN held ELSE gone END ELSE list_append(CASE WHEN len(gone) >= 6 THEN gone[2:] ELSE gone END, struct_pack(u := url, e := t + 172800000)) END FROM
+     (SELECT o.*, c.held, len(list_filter(c.held, lambda x: x.u = o.url AND o.t < x.e)) > 0 AS hit, list_filter(c.held, lambda x: x.u <> o.url) AS gone FROM c JOIN o ON o.instance = c.instance AND o.k = c.k + 1) j)
+ SELECT t.event_id, t.t AS "at", CAST(CASE WHEN coalesce(t.target, '') = '' THEN 400 WHEN a.wait > 0 THEN 429 WHEN a.url IS NULL THEN 400 WHEN c.hit THEN 200 ELSE CASE o.code WHEN 'private-address' THEN 400 WHEN 'content-type' THEN 415 WHEN 'unrecognized-container' THEN 415 WHEN 'timeout' THEN 504 WHEN 'network-error' THEN 502 WHEN 'upstream-status' THEN 502 ELSE 200 END END AS INT) AS status,
+   CASE WHEN coalesce(t.target, '') = '' THEN 'missing-url' WHEN a.wait > 0 THEN 'rate-limited' WHEN a.url IS NULL THEN 'invalid-url' WHEN NOT c.hit THEN o.code END AS code, coalesce(c.hit, false) AS cached, CASE WHEN a.wait > 0 THEN greatest(1, CAST(ceil(a.wait / 1000.0) AS BIGINT)) END AS retry_after
+ FROM t LEFT JOIN a USING (event_id) LEFT JOIN o USING (event_id) LEFT JOIN c USING (event_id)""")
+def probe_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked, responses = probe_requests(spark, sf_dir)
+    return probe.answers(asked, responses, **PROBE_LIMITS)
+
+
 from frametally.plans import evidence_queries  # noqa: E402, F401  (registers its queries here)
