@@ -34,7 +34,7 @@ def _frame(marker: str, factors: str) -> str:
 VIEWS = {
     "candidates": """
 SELECT asset_id, page, format, quality, bytes, ssim, delta_e, distortion, ord FROM (
-  SELECT l_partkey AS asset_id, l_partkey % 40 AS page,
+  SELECT l_partkey AS asset_id, CAST(floor(l_partkey / 50) AS BIGINT) AS page,
     CASE l_linenumber % 4 WHEN 0 THEN 'jpeg' WHEN 1 THEN 'webp' WHEN 2 THEN 'png' ELSE 'avif' END AS format,
     CASE WHEN l_linenumber % 4 = 2 THEN NULL ELSE CAST(40 + 5 * (CAST(l_quantity AS BIGINT) % 12) AS INT) END AS quality,
     CAST(floor(l_extendedprice / 8) AS BIGINT) AS bytes,
@@ -44,12 +44,12 @@ SELECT asset_id, page, format, quality, bytes, ssim, delta_e, distortion, ord FR
     l_orderkey * 8 + l_linenumber AS ord
   FROM {lineitem}
   UNION ALL
-  SELECT l_partkey, l_partkey % 40, 'keep-original', CAST(NULL AS INT), max(CAST(floor(l_extendedprice / 8) AS BIGINT)) + 500, CAST(1 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS BIGINT)
+  SELECT l_partkey, CAST(floor(l_partkey / 50) AS BIGINT), 'keep-original', CAST(NULL AS INT), max(CAST(floor(l_extendedprice / 8) AS BIGINT)) + 500, CAST(1 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS BIGINT)
   FROM {lineitem} GROUP BY l_partkey
 ) AS c
 """,
     "assets": """
-SELECT p_partkey AS asset_id, p_partkey % 40 AS page, p_size,
+SELECT p_partkey AS asset_id, CAST(floor(p_partkey / 50) AS BIGINT) AS page, p_size,
   CASE p_partkey % 7 WHEN 0 THEN 'jpeg' WHEN 1 THEN 'jpeg' WHEN 2 THEN 'png' WHEN 3 THEN 'webp' WHEN 4 THEN 'gif' WHEN 5 THEN 'svg' ELSE 'avif' END AS container,
   CASE WHEN p_partkey % 11 = 0 THEN 'photo' WHEN p_partkey % 13 = 0 THEN 'icon' ELSE NULL END AS classification,
   CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE CAST(1 + p_partkey % 2 AS INT) END AS generations,

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 DECISIONS = ("encoded", "kept", "refused", "skipped")
@@ -13,9 +13,17 @@ KEYS = "v ts asset sourceHash outputHash sourceRecovered reference decision reas
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, raw) of receipt files, lines from 1, files whole so that lines keep their numbers."""
-    text = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.split("value", "\n", -1).alias("l"))
-    return text.select("file", F.posexplode("l").alias("p", "raw")).select("file", (F.col("p") + 1).alias("line"), "raw")
+    """(file, line, raw) of receipt files, lines from 1; large files are read in blocks by many tasks.
+
+    Ids ascend within a block, so a line's number is its place in the block and
+    the lines of the blocks before it; of each block one row is shuffled.
+    """
+    text = spark.read.option("lineSep", "\n").text(path)
+    lines = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), F.col("value").alias("raw"))
+    blocks = lines.groupBy("file", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = blocks.withColumn("_before", before).drop("_n")
+    return lines.join(placed, ["file", "_block"]).select("file", (F.col("_before") + F.col("_id") - F.col("_first") + 1).cast("int").alias("line"), "raw")
 
 
 #: Key -> what its value must be: kinds of values, or the fields of an object and whether it may be null instead.
