@@ -73,7 +73,7 @@ def maybe_wanted(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 #: Nodes of a bucket, about, that are tested against each other in one piece, and shingles looked at a time.
-CHUNK, COLUMNS = 1024, 4096
+CHUNK, COLUMNS = 1024, 1024
 
 
 def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -145,7 +145,7 @@ def linked(batches: Iterator[pa.RecordBatch], similarity: float, most: int) -> I
         at, flat = sets.offsets.to_numpy(), sets.values.to_numpy()
         size = np.diff(at)
         ok = part[left][:, None] != part[right][None, :]
-        apart = np.zeros(ok.shape, dtype=np.int64)
+        apart = np.zeros(ok.shape, dtype=np.uint16)
         for i in range(5, rows.num_columns):
             w = rows.column(i).to_numpy().view(np.uint64)
             apart += np.bitwise_count(w[left][:, None] ^ w[right][None, :])
@@ -169,6 +169,8 @@ def linked(batches: Iterator[pa.RecordBatch], similarity: float, most: int) -> I
         for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
             if b - a > 1 and (out := links(rows.slice(a, b - a).combine_chunks())) is not None:
                 yield out
+            # a crowded bucket is many pieces: what one needed is given back before the next
+            pa.default_memory_pool().release_unused()
 
     for batch in batches:
         if not batch.num_rows:
