@@ -2,14 +2,20 @@
 
 DataFrame and SQL functions only.  A source's target divided by its size is the
 number of copies each of its documents should have on average; the whole part
-is taken outright and the fractional part is rounded by the pivotal method: two
-documents with fractional copies trade words (one gives what the other gets)
-in a direction drawn so that neither's expectation changes, until one of them
-has a whole copy or none.  A trade keeps the pair's words, so a source's total
-moves only when its very last residual is rounded.
+is taken outright and the fractional part is rounded by the pivotal method: of
+a pair with fractional copies one gives words that the other gets, in a
+direction drawn so that neither's expectation changes, until one of the two has
+whole copies only.  In a block, whose documents begin with one fraction, the
+largest is paired first, with all smaller ones together; so it is settled while
+there are words enough to trade with, and the residual is the smallest document
+unless a larger one outweighs all that its partners can trade.  Where a source
+is one block such a document goes the way that its partners can bear, the one
+place where a draw is not free.  A trade keeps the pair's words, so a source's
+total moves only when its very last residual is rounded, by at most half of
+that document.
 
 Trades run inside blocks of about ``BLOCK`` documents; each block leaves at most
-one fractional document, and these residuals are combined level by level, a
+one fractional document, and these residuals trade two by two level by level, a
 reduction tree of fan-in ``BLOCK`` whose depth grows with the logarithm of the
 largest source.  Blocks are dealt by a hash of the document, so a source with a
 third of all rows is spread over as many tasks as any other rows.  Draws are
@@ -63,8 +69,56 @@ _SCHEMA = "struct<p:double,size:bigint,doc_id:bigint,n:bigint>"
 _ITEM = "struct<p:double,size:bigint,doc_id:bigint,n:bigint,one:int>"
 
 
+def _block_trades() -> str:
+    """SQL of the trades of a block's ``items``, whose fractions are equal: struct(rest, done), rest the document still fractional.
+
+    The state holds the words ``m`` still due from the documents not settled
+    yet and their ``size``: their fraction is m / size, as each shares a trade
+    by its size.  whole is 0 or 1 once the partner of ``rest`` is settled, and
+    so are all that follow.  In a source's ``lone`` block nothing can make up for
+    a large residual: there a document that can be settled one way only, as all
+    others have too few words to give or too little room, goes that way.
+    """
+    draw = "pmod(xxhash64(-1, x.doc_id, x.n, x.size), 9007199254740992) / 9007199254740992D"
+
+    def state(m: str, size: str, rest: str, whole: str, done: str) -> str:
+        return f"named_struct('m', {m}, 'size', {size}, 'rest', {rest}, 'whole', {whole}, 'done', {done})"
+
+    def settled(one: str) -> str:
+        return f"concat(a.done, array(named_struct('p', cast({one} as double), 'size', x.size, 'doc_id', x.doc_id, 'n', x.n, 'one', {one})))"
+
+    def residual(p: str, whole: str) -> str:
+        return state("a.m", "a.size", f"named_struct('p', {p}, 'size', x.size, 'doc_id', x.doc_id, 'n', x.n)", f"cast({whole} as int)", "a.done")
+
+    # has, lacks: words that the partner, all smaller documents, has and has room for; gives, gets: it can settle x by giving or getting
+    partner = """array(named_struct(
+        'p', a.m / a.size,
+        'has', a.m - a.m / a.size * x.size,
+        'lacks', (a.size - a.m) * (a.size - x.size) / a.size,
+        'gives', a.m >= x.size,
+        'gets', a.size - x.size >= a.m))"""
+    gains = "{draw} * (least((1 - w.p) * x.size, w.has) + least(w.p * x.size, w.lacks)) < least(w.p * x.size, w.lacks)".format(draw=draw)
+    trade = f"""
+        case when a.size = x.size then {residual("w.p", "null")}
+        when case when lone and w.gives != w.gets then w.gives else {gains} end then
+          case when w.gives then {state("a.m - x.size", "a.size - x.size", "a.rest", "a.whole", settled("1"))} else {residual("a.m / x.size", "0")} end
+        else
+          case when w.gets then {state("a.m", "a.size - x.size", "a.rest", "a.whole", settled("0"))} else {residual("w.p - w.lacks / x.size", "1")} end
+        end"""
+    start = state("items[0].p * aggregate(items, 0L, (m, x) -> m + x.size)", "aggregate(items, 0L, (m, x) -> m + x.size)", f"cast(null as {_SCHEMA})", "cast(null as int)", f"cast(array() as array<{_ITEM}>)")
+    return f"""
+    aggregate(
+      items,
+      {start},
+      (a, x) -> case
+        when a.rest is not null then {state("a.m", "a.size", "a.rest", "a.whole", settled("a.whole"))}
+        else element_at(transform({partner}, w -> {trade}), 1) end,
+      a -> named_struct('rest', a.rest, 'done', a.done))
+    """
+
+
 def _trades(level: int) -> str:
-    """SQL of the trades along the array ``items``: struct(rest, done), rest the document still fractional."""
+    """SQL of the trades of two at a time along the residuals ``items``: struct(rest, done), rest the document still fractional."""
     none = f"cast(null as {_SCHEMA})"
     gain = "least((1 - a.rest.p) * a.rest.size, x.p * x.size)"
     lose = "least(a.rest.p * a.rest.size, (1 - x.p) * x.size)"
@@ -96,18 +150,18 @@ def _trades(level: int) -> str:
 
 
 def _rounded(open_: DataFrame, blocks: int) -> list[DataFrame]:
-    """(source, doc_id, n, size, one) of rows (source, block, item) in one frame for each level of the tree."""
+    """(source, doc_id, n, size, one) of rows (source, lone, block, item) in one frame for each level of the tree."""
     out, level = [], 0
     while True:
-        grouped = open_.groupBy("source", "block").agg(F.array_sort(F.collect_list("item"), lambda a, b: _largest_first(a, b)).alias("items"))
-        traded = stored(grouped.select("source", "block", F.expr(_trades(level)).alias("t")), "trades")
+        grouped = open_.groupBy("source", "lone", "block").agg(F.array_sort(F.collect_list("item"), lambda a, b: _largest_first(a, b)).alias("items"))
+        traded = stored(grouped.select("source", "lone", "block", F.expr(_trades(level) if level else _block_trades()).alias("t")), "trades")
         done = traded.select("source", F.explode("t.done").alias("d"))
         out.append(done.select("source", "d.doc_id", "d.n", "d.size", "d.one"))
         rest = traded.where("t.rest is not null")
         if blocks <= 1:
             return [*out, rest.select("source", "t.rest.doc_id", "t.rest.n", "t.rest.size", (F.col("t.rest.p") >= 0.5).cast("int").alias("one"))]
         blocks = -(-blocks // BLOCK)
-        open_ = rest.select("source", F.expr(f"block div {BLOCK}").alias("block"), F.col("t.rest").alias("item"))
+        open_ = rest.select("source", "lone", F.expr(f"block div {BLOCK}").alias("block"), F.col("t.rest").alias("item"))
         level += 1
 
 
@@ -145,7 +199,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     most = targets.agg(F.max("rows")).first()[0] or 0
     blocks = max(1, -(-most // BLOCK))
     block = F.pmod(F.xxhash64(F.lit(7), "doc_id", "n", "size"), F.greatest(F.lit(1), F.ceil(F.col("rows") / BLOCK)).cast("long"))
-    open_ = rated.where("p > 0 and size > 0").select("source", block.alias("block"), F.struct("p", "size", "doc_id", "n").alias("item"))
+    lone = (F.col("rows") <= BLOCK).alias("lone")
+    open_ = rated.where("p > 0 and size > 0").select("source", lone, block.alias("block"), F.struct("p", "size", "doc_id", "n").alias("item"))
     columns = ["doc_id", "size", "source_size", "target"]
     whole = rated.where("p = 0 or size = 0").select(*columns, (F.col("base") * F.col("size")).cast("long").alias("taken"))
     rounded = None

@@ -289,6 +289,7 @@ def test_mixing(spark):
     for s, n in source.values():
         largest[s] = max(largest[s], n)
     assert all(abs(taken[s] - want[s]) <= largest[s] / 2 + 1 for s in want)
+    assert all(abs(taken[s] - want[s]) <= 0.02 * want[s] for s in want if want[s] > largest[s])
     assert sorted(map(tuple, rows)) == sorted(map(tuple, mixing.mix(docs.repartition(3)).collect()))
 
 
@@ -301,6 +302,46 @@ def test_mixing_targets_stop_at_caps(spark):
     assert mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).count() == 5
 
 
+@pytest.mark.parametrize("p", [0.05, 0.4, 0.9, None])
+def test_mixing_trades_favour_no_document(spark, p):
+    """Over 2,000 blocks each fraction's mean is what it was, and a block's words are kept."""
+    sizes = [60, 25, 9, 8, 8, 7, 5, 3, 2, 1]
+    ps = [p or q for q in [0.3, 0.9, 0.1, 0.5, 0.02, 0.7, 0.4, 0.98, 0.6, 0.25]]
+    rows = [(b, False, [(p, n, 100 * b + i, 1) for i, (n, p) in enumerate(zip(sizes, ps, strict=True))]) for b in range(2000)]
+    blocks = spark.createDataFrame(rows, f"b long, lone boolean, items array<{mixing._SCHEMA}>")
+    sums = Counter()
+    for r in blocks.select(F.expr(mixing._block_trades() if p else mixing._trades(1)).alias("t")).collect():
+        assert len(r.t.done) == len(sizes) - 1
+        after = [(x.doc_id % 100, x.size, x.p) for x in [*r.t.done, r.t.rest]]
+        assert all(x.p == x.one for x in r.t.done) and -1e-9 <= r.t.rest.p <= 1 + 1e-9
+        assert abs(sum(n * p for _, n, p in after) - sum(n * p for n, p in zip(sizes, ps, strict=True))) < 1e-6
+        for i, _, p_ in after:
+            sums[i] += p_
+    for i, q in enumerate(ps):
+        assert abs(sums[i] / 2000 - q) < 4.5 * (q * (1 - q) / 2000) ** 0.5
+
+
+def test_mixing_meets_targets(spark):
+    """900 sources of equal sizes are 900 draws: each meets its target to half its smallest document."""
+    sizes = [60, 25, 9, 8, 8, 7, 5, 3, 2, 2, 1, 1]
+    rows = [(100 * s + i, " ".join(["w"] * n), f"s{s:03}") for s in range(900) for i, n in enumerate(sizes)]
+    taken, target = Counter(), {}
+    for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect():
+        taken[r.doc_id // 100] += r.taken
+        target[r.doc_id // 100] = r.target
+    assert len(target) == 900 and max(abs(taken[s] - target[s]) for s in target) <= 0.5 + 1e-6
+
+
+def test_mixing_tree_of_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 4)
+    rows = [(i, " ".join(["w"] * (1 + i * i % 37)), "ab"[i % 3 == 0]) for i in range(700)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(got) == 700
+    for s in (0, 1):
+        mine = [r for r in got if (r.doc_id % 3 == 0) == s]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 19
+
+
 def test_mixing_on_hard_rows(spark, hard, empty):
     got = mixing.mix(hard).collect()
     assert len(got) == len(HARD) and all(r.taken <= 3 * r.size for r in got)
