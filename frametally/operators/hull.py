@@ -52,6 +52,18 @@ def hull_points(hulled: DataFrame, *keys: str) -> DataFrame:
     return hulled.select(*keys, F.posexplode("hull").alias("k", "p")).select(*keys, "k", "p.*")
 
 
+def point_key(format: Column, quality: Column) -> Column:
+    """The name of a format at a quality; without one it is lossless."""
+    return F.concat(format, F.lit(":"), F.coalesce(F.concat(F.lit("q"), quality.cast("string")), F.lit("lossless")))
+
+
+def members(candidates: DataFrame, hulled: DataFrame, *keys: str) -> DataFrame:
+    """Candidates with their point's key and on_hull, whether a point of that key is on their group's hull."""
+    on = hull_points(hulled, *keys).select(*keys, point_key(F.col("format"), F.col("quality")).alias("key"), F.lit(True).alias("on_hull")).distinct()
+    named = candidates.withColumn("key", point_key(F.col("format"), F.col("quality")))
+    return named.join(on, [*keys, "key"], "left").withColumn("on_hull", F.coalesce("on_hull", F.lit(False)))
+
+
 def with_rates(hulled: DataFrame) -> DataFrame:
     """Adds ``rates``: weighted distortion saved per byte by each step along the hull (falling)."""
     return hulled.withColumn(

@@ -7,7 +7,7 @@ per-window sums are shuffled.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 C1, C2 = (0.01 * 255) ** 2, (0.03 * 255) ** 2
@@ -91,25 +91,78 @@ def laplacian(pixels: DataFrame, *keys: str, tile: int = 64, least: int = 16) ->
     return out.select(*keys, F.coalesce("tiled", "whole").alias("p95"), F.greatest(F.lit(1), "full").alias("tiles"))
 
 
-def dct_blocks(pixels: DataFrame, *keys: str) -> DataFrame:
-    """(keys, block_x, block_y, u, v, coefficient) of every full 8x8 block, levels shifted by 128.
-
-    The transform is separable: rows, then columns, each a grouped sum against
-    a cosine table of 64 rows.
-    """
-    spark = pixels.sparkSession
-    cosines = spark.range(64).select(
+def _cosines(spark: SparkSession) -> DataFrame:
+    """(k, n, c): the 64 values of the orthonormal transform of eight samples."""
+    return spark.range(64).select(
         F.floor(F.col("id") / 8).cast("long").alias("k"),
         (F.col("id") % 8).alias("n"),
         (F.cos((2 * (F.col("id") % 8) + 1) * F.floor(F.col("id") / 8) * F.lit(3.141592653589793) / 16) * F.when(F.col("id") < 8, F.sqrt(F.lit(0.125))).otherwise(0.5)).alias("c"),
     )
-    full = pixels.withColumns({"block_x": F.floor(F.col("x") / 8), "block_y": F.floor(F.col("y") / 8), "n": F.col("x") % 8, "m": F.col("y") % 8})
-    rows = full.join(F.broadcast(cosines), "n").groupBy(*keys, "block_x", "block_y", "m", F.col("k").alias("u")).agg(F.sum((F.col("value") - 128) * F.col("c")).alias("s"), F.count(F.lit(1)).alias("w"))
+
+
+def _forward(cut: DataFrame, *keys: str) -> DataFrame:
+    """(keys, block_x, block_y, u, v, coefficient) of (keys, block_x, block_y, n, m, value) where 64 samples are there."""
+    cosines = _cosines(cut.sparkSession)
+    rows = cut.join(F.broadcast(cosines), "n").groupBy(*keys, "block_x", "block_y", "m", F.col("k").alias("u")).agg(F.sum((F.col("value") - 128) * F.col("c")).alias("s"), F.count(F.lit(1)).alias("w"))
     table = cosines.select(F.col("k").alias("v"), F.col("n").alias("m"), F.col("c").alias("d"))
     both = rows.where("w = 8").join(F.broadcast(table), "m").groupBy(*keys, "block_x", "block_y", "u", "v").agg(F.sum(F.col("s") * F.col("d")).alias("coefficient"), F.count(F.lit(1)).alias("h"))
     return both.where("h = 8").drop("h")
 
 
+def _inverse(blocks: DataFrame, *keys: str) -> DataFrame:
+    """(keys, block_x, block_y, n, m, value) of (keys, block_x, block_y, u, v, coefficient); missing coefficients are 0."""
+    cosines = _cosines(blocks.sparkSession)
+    table = cosines.select(F.col("k").alias("v"), F.col("n").alias("m"), F.col("c").alias("d"))
+    columns = blocks.join(F.broadcast(table), "v").groupBy(*keys, "block_x", "block_y", "u", "m").agg(F.sum(F.col("coefficient") * F.col("d")).alias("s"))
+    rows = columns.join(F.broadcast(cosines.withColumnRenamed("k", "u")), "u").groupBy(*keys, "block_x", "block_y", "n", "m")
+    return rows.agg((F.sum(F.col("s") * F.col("c")) + 128).alias("value"))
+
+
+def _cut(pixels: DataFrame, *keys: str) -> DataFrame:
+    """Pixels as samples of blocks; dealt by block, so that no transform of a block shuffles again."""
+    cut = pixels.select(*keys, F.floor(F.col("x") / 8).alias("block_x"), F.floor(F.col("y") / 8).alias("block_y"), (F.col("x") % 8).alias("n"), (F.col("y") % 8).alias("m"), "value")
+    return cut.repartition(*keys, "block_x", "block_y")
+
+
+def dct_blocks(pixels: DataFrame, *keys: str) -> DataFrame:
+    """(keys, block_x, block_y, u, v, coefficient) of every full 8x8 block, levels shifted by 128.
+
+    The transform is separable: rows, then columns, each a grouped sum against
+    a cosine table of 64 rows.
+    """
+    return _forward(_cut(pixels, *keys), *keys)
+
+
+def pixels_of(blocks: DataFrame, *keys: str) -> DataFrame:
+    """(keys, x, y, value) of blocks of coefficients, the inverse of :func:`dct_blocks`: a coefficient
+    without a row is 0, a block without rows gives no pixels."""
+    samples = _inverse(blocks, *keys)
+    return samples.select(*keys, (F.col("block_x") * 8 + F.col("n")).alias("x"), (F.col("block_y") * 8 + F.col("m")).alias("y"), "value")
+
+
+def requantised(blocks: DataFrame, step: Column) -> DataFrame:
+    """Blocks whose coefficients are the nearest multiples of step, a column over u and v, at least 1."""
+    return blocks.withColumn("coefficient", step * half_up(F.round("coefficient", 6) / step))
+
+
+def table_step(table: Column) -> Column:
+    """The step of u and v in a table of 64 in natural order."""
+    return F.element_at(table, (F.col("v") * 8 + F.col("u") + 1).cast("int")).cast("double")
+
+
+def encoded(pixels: DataFrame, *keys: str, steps: tuple[Column, ...]) -> DataFrame:
+    """(keys, x, y, value): what is left after an encode and a decode with each of steps in turn.
+
+    Values are whole and lie in 0..255 after each.  Blocks that aren't full are
+    left out.  One shuffle in all, however many encodes there are.
+    """
+    samples = _cut(pixels, *keys)
+    for step in steps:
+        samples = _inverse(requantised(_forward(samples, *keys), step), *keys)
+        samples = samples.withColumn("value", F.least(F.lit(255.0), F.greatest(F.lit(0.0), half_up(F.round("value", 6)).cast("double"))))
+    return samples.select(*keys, (F.col("block_x") * 8 + F.col("n")).alias("x"), (F.col("block_y") * 8 + F.col("m")).alias("y"), "value")
+
+
 def half_up(x: Column) -> Column:
     """Rounding half towards plus infinity."""
     return F.floor(x + 0.5)

@@ -585,4 +585,4 @@ def probe_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probe.answers(asked, responses, **PROBE_LIMITS)
 
 
-from frametally.plans import audit_queries, evidence_queries  # noqa: E402, F401  (registers its queries here)
+from frametally.plans import audit_queries, encode_queries, evidence_queries  # noqa: E402, F401  (registers its queries here)
