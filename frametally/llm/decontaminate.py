@@ -7,7 +7,9 @@ A second pass stores the positional index: for every row the positions of those
 terms, with the words around each.  The lists of a phrase's two rarest terms,
 each shifted by the term's offset in the phrase, are intersected by a grouped
 join; what both lists hold is compared word for word with the stored context,
-so matches are exact.
+so matches are exact.  Proximity matches, for reworded passages, are the lists
+brought within a slack of each other where the stored context holds most of
+the phrase's words.
 
 The set of wanted terms is shipped to the tasks only while it has at most
 ``SHIPPED_TERMS`` members (its size is counted first); beyond that every word is
@@ -149,14 +151,13 @@ def rarest_terms(found: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     vocabulary = stored(placed.select("word").distinct().select("word", term_hash(F.col("word")).alias("term")), "terms")
     counts = docs.select(text_col).mapInArrow(partial(_counted, terms=_shipped(vocabulary)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     known = placed.join(vocabulary.join(counts, "term"), "word")
-    by = known.groupBy("phrase", "size").agg(F.array_sort(F.collect_list(F.struct("n", "term", "offset"))).alias("terms")).where("size(terms) = size")
+    by = known.groupBy("phrase", "size").agg(F.array_sort(F.collect_list(F.struct("n", "word", "offset", "term"))).alias("terms")).where("size(terms) = size")
     return by.select("phrase", "size", F.explode(F.slice("terms", 1, LOOKED_UP)).alias("t")).select("phrase", "size", "t.term", "t.offset", "t.n")
 
 
-def matches(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, occurrences, phrases): every row of docs (row, doc_id, text_hash, n_words), the
-    exact places (row, start, size, phrase) of benchmark phrases in them, and
-    the phrases (item_id, phrase, size)."""
+def _looked_up(docs: DataFrame, items: DataFrame, window: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, entries, phrases): entries are (row, phrase, size, offset, start, lead, context), the postings of every
+    phrase's looked-up terms, each moved back by the term's offset to where the phrase would start."""
     found = stored(phrases(items, window), "phrases")
     wanted = stored(rarest_terms(found, docs, text_col), "wanted")
     terms = _shipped(wanted.select("term").distinct())
@@ -167,18 +168,41 @@ def matches(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "
         "index",
     )
     postings = index.select("row", F.explode("p.hits").alias("h")).select("row", "h.term", "h.at", "h.lead", "h.context")
-    shifted = postings.join(wanted, "term").select(
+    entries = postings.join(wanted, "term").select(
         "row", "phrase", "size", "offset", (F.col("at") - F.col("offset")).alias("start"), "lead", "context"
     )
-    places = (
-        shifted.where("start >= 0 and lead >= offset")
-        .where(F.expr("array_join(slice(split(context, ' '), lead - offset + 1, size), ' ') = phrase"))
-        .groupBy("row", "phrase", "size", "start")
+    return index.select("row", "doc_id", "text_hash", F.col("p.n_words").alias("n_words")), entries, found
+
+
+_IN_PLACE = "start >= 0 and lead >= offset and array_join(slice(split(context, ' '), greatest(1, lead - offset + 1), size), ' ') = phrase"
+
+
+def _exact(entries: DataFrame) -> DataFrame:
+    """(row, phrase, size, start) where all lists of a phrase agree, of entries whose context holds it in place."""
+    return (
+        entries.groupBy("row", "phrase", "size", "start")
         .agg(F.count(F.lit(1)).alias("lists"))
         .where(F.col("lists") == F.least(F.lit(LOOKED_UP), F.col("size")))
         .select("row", "start", "size", "phrase")
     )
-    return index.select("row", "doc_id", "text_hash", F.col("p.n_words").alias("n_words")), places, found
+
+
+def _near(entries: DataFrame, slack: int) -> DataFrame:
+    """(row, phrase) where entries of two lists differ by at most slack in their start.
+
+    In order of start two lists that come so close have neighbours that do, so neighbours are compared, not pairs.
+    """
+    w = Window.partitionBy("row", "phrase").orderBy("start", "offset")
+    pair = entries.select("row", "phrase", "offset", "start", F.lag("offset").over(w).alias("other"), F.lag("start").over(w).alias("before"))
+    return pair.where((F.col("other") != F.col("offset")) & (F.col("start") - F.col("before") <= slack)).select("row", "phrase").distinct()
+
+
+def matches(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, occurrences, phrases): every row of docs (row, doc_id, text_hash, n_words), the
+    exact places (row, start, size, phrase) of benchmark phrases in them, and
+    the phrases (item_id, phrase, size)."""
+    rows, entries, found = _looked_up(docs, items, window, id_col, text_col)
+    return rows, _exact(entries.where(_IN_PLACE)), found
 
 
 def near_each_other(docs: DataFrame, items: DataFrame, within: int = 20, window: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -198,12 +222,36 @@ def near_each_other(docs: DataFrame, items: DataFrame, within: int = 20, window:
     return near.where(F.col("other") != F.col("term")).withColumn("distance", F.col("at") - F.col("before")).where(F.col("distance") <= within).select("doc_id", "item_id", F.col("before").alias("at"), "distance")
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _items(phrases_of_rows: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    """(row, name): the sorted ids of the items whose phrases (row, phrase) a row has."""
+    named = phrases_of_rows.join(found.where("item_id is not null").select("phrase", "item_id").distinct(), "phrase")
+    return named.groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias(name))
+
+
+def _listed(ids: Column) -> tuple[Column, Column]:
+    """How many ids there are, and the digest of their list."""
+    ids = F.coalesce(ids, F.array().cast("array<string>"))
+    return F.size(ids).cast("long"), F.sha2(F.array_join(ids, ",").cast("binary"), 256)
+
+
+def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", slack: int | None = None) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, text_hash) of every row of docs.
 
-    n_hit counts the words inside any occurrence of a phrase once.
+    n_hit counts the words inside any occurrence of a phrase once.  With slack,
+    also n_near and near_sha256 of the items with a proximity match, exact ones
+    of two words and more included: the two looked-up terms of a phrase stand
+    where its start by one and by the other differ by at most slack words, and
+    around each, ``window - 1`` words to either side, at least four fifths of the
+    phrase's different words stand.
     """
-    rows, places, found = matches(docs, items, window, id_col, text_col)
+    rows, entries, found = _looked_up(docs, items, window, id_col, text_col)
+    if slack is None:
+        places, near = _exact(entries.where(_IN_PLACE)), None
+    else:
+        common = F.size(F.array_intersect(F.split("context", " "), F.split("phrase", " ")))
+        like = 5 * common >= 4 * F.size(F.array_distinct(F.split("phrase", " ")))
+        close = stored(entries.where(like).select("row", "phrase", "size", "offset", "start", F.expr(_IN_PLACE).alias("in_place")), "close")
+        places, near = _exact(close.where("in_place")), _items(_near(close, slack), found, "near")
     places = stored(places, "places")
     w = Window.partitionBy("row").orderBy("start", "size").rowsBetween(Window.unboundedPreceding, -1)
     end = F.col("start") + F.col("size")
@@ -213,25 +261,25 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: s
         .groupBy("row")
         .agg(F.sum(F.greatest(F.lit(0), end - F.greatest("start", "covered"))).alias("n_hit"))
     )
-    named = places.select("row", "phrase").distinct().join(found.where("item_id is not null").select("phrase", "item_id").distinct(), "phrase")
-    of = named.groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("ids"))
-    ids = F.coalesce("ids", F.array().cast("array<string>"))
-    return (
-        rows.join(hit, "row", "left")
-        .join(of, "row", "left")
-        .select(
-            "doc_id",
-            "n_words",
-            F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-            F.size(ids).cast("long").alias("n_items"),
-            F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"),
-            (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
-            "text_hash",
-        )
-    )
-
-
-#: DuckDB SQL of :func:`contamination` over ``documents`` and ``benchmark``.
+    of = _items(places.select("row", "phrase").distinct(), found, "ids")
+    n_items, listed = _listed(F.col("ids"))
+    out = [
+        "doc_id",
+        "n_words",
+        F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+        n_items.alias("n_items"),
+        listed.alias("items_sha256"),
+        (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+        "text_hash",
+    ]
+    joined = rows.join(hit, "row", "left").join(of, "row", "left")
+    if near is None:
+        return joined.select(*out)
+    n_near, near_listed = _listed(F.col("near"))
+    return joined.join(near, "row", "left").select(*out, n_near.alias("n_near"), near_listed.alias("near_sha256"))
+
+
+#: DuckDB SQL of :func:`contamination` with a slack of 5 over ``documents`` and ``benchmark``.
 SQL = """
 WITH b AS (SELECT CAST(item_id AS VARCHAR) AS item_id,
              regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
@@ -242,8 +290,16 @@ WITH b AS (SELECT CAST(item_id AS VARCHAR) AS item_id,
            FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM q) WHERE len(w) >= n)),
      m AS (SELECT s.doc_id, s.i, s.n, q.item_id FROM s JOIN q ON s.phrase = q.phrase AND s.n = q.n),
      h AS (SELECT doc_id, count(DISTINCT word) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS word FROM m) GROUP BY doc_id),
-     t AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY doc_id)
+     t AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY doc_id),
+     c AS (SELECT word, count(*) AS n FROM (SELECT unnest(w) AS word FROM d) GROUP BY word),
+     k AS (SELECT phrase, n, o, string_split(phrase, ' ')[o] AS word FROM (SELECT phrase, n, unnest(range(1, n + 1)) AS o FROM (SELECT DISTINCT phrase, n FROM q))),
+     r AS (SELECT phrase, o, word FROM (SELECT k.phrase, k.n, k.o, k.word, row_number() OVER (PARTITION BY k.phrase ORDER BY c.n, k.word, k.o) AS place, count(*) OVER (PARTITION BY k.phrase) AS known FROM k JOIN c ON c.word = k.word) WHERE known = n AND place <= 2),
+     x AS (SELECT d.doc_id, r.phrase, r.o, l.i - r.o AS start FROM (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM d) l JOIN r ON r.word = l.word JOIN d ON d.doc_id = l.doc_id
+           WHERE 5 * len(list_intersect(d.w[greatest(1, l.i - 9):l.i + 9], string_split(r.phrase, ' '))) >= 4 * len(list_distinct(string_split(r.phrase, ' ')))),
+     y AS (SELECT DISTINCT x.doc_id, q.item_id FROM x JOIN x z ON z.doc_id = x.doc_id AND z.phrase = x.phrase AND z.o <> x.o AND abs(z.start - x.start) <= 5 JOIN q ON q.phrase = x.phrase),
+     v AS (SELECT doc_id, count(*) AS n_near, string_agg(item_id, ',' ORDER BY item_id) AS near FROM y WHERE item_id IS NOT NULL GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+       CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, sha256(coalesce(near, '')) AS near_sha256
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN v USING (doc_id)
 """
