@@ -1,12 +1,12 @@
-"""Queries of block encodes made here, of sweeps in order and of hull members, and their SQL."""
+"""Queries of block encodes made here, of sweeps in order, hull members and all recoverers together, and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from frametally.operators import hull, pixels, quant, sweep
-from frametally.plans.queries import _BEST, _BLOCKS, _LEGAL, _hulls, query
+from frametally.operators import hull, pixels, quant, recover, sweep
+from frametally.plans.queries import _BEST, _BLOCKS, _LEGAL, ORACLE_SQL, _hulls, query
 from frametally.plans.views import _bases, view
 from frametally.streaming.sweeps import FORMATS
 
@@ -108,3 +108,12 @@ def progressive_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hull_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     legal = hull.at_or_above_floor(view(spark, sf_dir, "candidates"), hull.FLOOR)
     return hull.members(legal, _hulls(spark, sf_dir), "asset_id").select("asset_id", "ord", "key", "on_hull")
+
+
+@query(f"""SELECT asset_id, CAST(row_number() OVER (PARTITION BY asset_id ORDER BY turn, ord) - 1 AS INT) AS ord, url, via FROM (SELECT asset_id, 0 AS turn, ord, url, via FROM ({ORACLE_SQL["source_proposals"]}) s
+ UNION ALL SELECT asset_id, 1, ord, url, via FROM ({ORACLE_SQL["history_proposals"]}) h) b""")
+def all_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What all seven recoverers propose for an asset, in their order."""
+    bytes_ = F.when(F.col("asset_id") % 3 != 0, F.col("file_bytes")).alias("bytes")
+    assets = view(spark, sf_dir, "assets").select("asset_id", F.lit("img").alias("local_path"), bytes_).join(view(spark, sf_dir, "urls"), "asset_id")
+    return recover.proposals(assets, view(spark, sf_dir, "git_log"), "asset_id")

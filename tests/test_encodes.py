@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from frametally.operators import hull, pixels, quant, sweep
+from frametally.operators import hull, pixels, quant, recover, sweep
 from frametally.streaming import sweeps
 
 N = np.arange(8)
@@ -161,3 +161,16 @@ def test_hull_members_go_by_key(spark):
     got = {r.ord: (r.key, r.on_hull) for r in hull.members(c, hull.hulls(c, "asset"), "asset").collect()}
     # a dearer encode of a member's key counts as a member, as its key does
     assert got == {1: ("webp:q40", True), 2: ("webp:lossless", True), 3: ("webp:q40", True), 4: ("jpeg:q60", False)}
+
+
+def test_recoverers_in_order(spark):
+    schema = "asset int, url string, local_path string, bytes long, listed array<struct<url:string,descriptor:string>>"
+    assets = spark.createDataFrame(
+        [(1, "https://e.example/a.jpg", "a.jpg", 50, [("git:h3:a.jpg", "2x"), ("https://e.example/a@2x.jpg", "3x")]), (2, None, "b.png", None, None), (3, "https://e.example/c", None, 9, None)], schema
+    )
+    log = spark.createDataFrame([(1, 0, "h1", "a.jpg", 50), (1, 1, "h2", "a.jpg", 80), (1, 2, "h3", "a.jpg", 70), (1, 3, "h4", "a.jpg", None), (2, 0, "g1", "b.png", 5), (2, 1, "g2", "b.png", 6)], "asset int, ord long, hash string, path string, size long")
+    got = sorted(map(tuple, recover.proposals(assets, log, "asset", srcset_col="listed").collect()))
+    assert got == [
+        (1, 0, "https://e.example/a@2x.jpg", "srcset"), (1, 1, "git:h3:a.jpg", "srcset"), (1, 2, "https://e.example/a@3x.jpg", "retina"), (1, 3, "git:h2:a.jpg", "git-history"), (2, 0, "git:g2:b.png", "git-history"),
+    ]
+    assert recover.proposals(assets.limit(0), log, "asset").count() == 0
