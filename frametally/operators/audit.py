@@ -28,15 +28,28 @@ def inspected(items: DataFrame, images: int = IMAGES, head: int = HEAD, total: i
     return out.withColumn("head", F.when(F.col("state") == "inspected", F.least("length", F.lit(head))).otherwise(0).cast("long"))
 
 
-def assets(items: DataFrame, images: int = IMAGES, head: int = HEAD, total: int = TOTAL) -> DataFrame:
+def assets(items: DataFrame, images: int = IMAGES, head: int = HEAD, total: int = TOTAL, files: DataFrame | None = None, key: str = "file_id") -> DataFrame:
     """items (page, idx, url, length, content, attr_w, attr_h, display_w, display_h) with state, header evidence and recoverable bytes.
 
     Sizes are those of the header, or those that the page declares.  Only heads
-    of inspected images are parsed.
+    of inspected images are parsed.  With ``files`` (key, content), one row a
+    key, items have the key instead of content: a file's head is parsed once,
+    however many pages show it.
     """
     seen = inspected(items, images, head, total)
+    if files is not None:
+        return _judged(_shown(seen, headers.evidence(files.withColumn("content", F.substring("content", 1, head)), key), key))
     opened = headers.evidence(seen.withColumn("content", F.when(F.col("state") == "inspected", F.substring("content", 1, head))).withColumn("_row", F.struct(*[c for c in seen.columns if c != "content"])), "_row")
-    flat = opened.select("_row.*", *[c for c in opened.columns if c != "_row"])
+    return _judged(opened.select("_row.*", *[c for c in opened.columns if c != "_row"]))
+
+
+def _shown(seen: DataFrame, read: DataFrame, key: str) -> DataFrame:
+    """Inspected items with what their file's head tells; others, and those without a file, as without content."""
+    told = seen.join(read.withColumnRenamed(key, "_file"), (F.col("state") == "inspected") & (F.col(key) == F.col("_file")), "left").drop("_file")
+    return told.withColumn("evidence", F.coalesce("evidence", F.array(F.lit("no known container"))))
+
+
+def _judged(flat: DataFrame) -> DataFrame:
     known = flat.withColumns({"declared_w": F.coalesce("width", "attr_w"), "declared_h": F.coalesce("height", "attr_h"), "file_bytes": F.col("length"), "blocking_score": F.lit(None).cast("double")})
     # bytes of no known container are judged as a JPEG's
     judged = recoverable(known.withColumns({"_container": F.col("container"), "container": F.coalesce("container", F.lit("jpeg"))}))

@@ -42,7 +42,7 @@ _CAPS = {"images": 5, "head": 9_000, "total": 24_000}
 def audited_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.sql(_ITEMS, page_items=view(spark, sf_dir, "page_items"), part=view(spark, sf_dir, "part"))
     files = view(spark, sf_dir, "jpegs").select("file_id", F.unhex("hexbytes").alias("content"))
-    seen = audit.assets(items.join(files, "file_id", "left"), **_CAPS)
+    seen = audit.assets(items, **_CAPS, files=files)
     return audit.pages(seen, _CAPS["images"], _CAPS["total"]).withColumn("truncations", F.array_join("truncations", " | "))
 
 
