@@ -182,6 +182,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 #: A wide fingerprint's words of 64 bits, and the bits in which candidates may differ (see :func:`similar`).
 WIDE, REACH = 8, 128
+#: Blocks of the first of them on which texts meet: two of five, so 10 keys of 25 or 26 bits.
+PARTS = 5
 _draw = np.random.default_rng(64)
 _ODD = _draw.integers(1, 1 << 63, WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -214,8 +216,16 @@ def shingle_sets(text: Column, k: int) -> Column:
     return shingled(text)
 
 
+def block_keys(prints: np.ndarray) -> np.ndarray:
+    """Hashes of the blocks of each fingerprint: two that differ in at most 3 bits share one at least (see :func:`links`)."""
+    masks = np.array(block_masks(PARTS), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        return bk.mix((prints[:, None] & masks) ^ bk.mix(np.arange(1, len(masks) + 1, dtype=np.uint64) * _ODD[0]))
+
+
 def wide_fingerprint(text: Column, k: int) -> Column:
-    """struct(node, wide, keys) of a text's distinct shingles: their hash, WIDE SimHashes of them under different hash functions, and the hashes of their MinHash bands (none for no shingles)."""
+    """struct(node, wide, keys) of a text's distinct shingles: their hash, WIDE SimHashes of them under different hash functions,
+    and the hashes of the blocks of the first SimHash and of their MinHash bands (none for no shingles)."""
 
     @F.arrow_udf("struct<node:bigint,wide:array<bigint>,keys:array<bigint>>")
     def simhashes(texts: pa.Array) -> pa.Array:
@@ -225,7 +235,7 @@ def wide_fingerprint(text: Column, k: int) -> Column:
                 for i in range(WIDE):
                     out[a:b, i] = majority_bits(bk.mix(s * _ODD[i]), at)
             node[a:b] = [_node(s[i:j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
-            own = bk.signed(bands(minima(s, at)))
+            own = bk.signed(np.concatenate([block_keys(out[a:b, 0]), bands(minima(s, at)).view(np.uint64)], axis=1))
             keys += [x if n else x[:0] for x, n in zip(own, np.diff(at).tolist())]
         wide = pa.ListArray.from_arrays(np.arange(0, out.size + 1, WIDE, dtype=np.int32), bk.signed(out.ravel()))
         return pa.StructArray.from_arrays([pa.array(bk.signed(node)), wide, pa.array(keys, pa.list_(pa.int64()))], names=["node", "wide", "keys"])
@@ -236,14 +246,15 @@ def wide_fingerprint(text: Column, k: int) -> Column:
 def similar(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
     """(doc_id, component_id) of every row: near-duplicates by the Jaccard likeness of distinct k-word shingles.
 
-    Texts of the same shingles are one node.  At a likeness of 0.8 SimHashes of
-    64 bits differ in 9.7 on average, which no blocks of equal bits of a useful
-    size survive; so the blocks on which nodes meet are MinHash bands (two sets
-    of that likeness share one with probability 0.998), and SimHash verifies:
-    pairs are candidates whose wide fingerprints differ in at most REACH of 512
-    bits (at a likeness of 0.8 the mean is 77.6 with a deviation of 8.1; of sets
-    of a few shingles up to 96 and 9), and links if the likeness of the sets is
-    reached.
+    Texts of the same shingles are one node.  Nodes meet on blocks of equal bits
+    of their SimHash, as in :func:`links`: all whose first 64 bits differ in at
+    most 3 share a key.  At a likeness of 0.8 those bits differ in 9.7 on
+    average, so nodes meet on MinHash bands as well (two sets of that likeness
+    share one with probability 0.998), which adds pairs and takes none away.
+    SimHash verifies all of them: pairs are candidates whose wide fingerprints
+    differ in at most REACH of 512 bits (at a likeness of 0.8 the mean is 77.6
+    with a deviation of 8.1; of sets of a few shingles up to 96 and 9), and
+    links if the likeness of the sets is reached.
     """
     printed = wide_fingerprint(F.col(text_col), k)
     prints = stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), printed.alias("p")).select("doc_id", "p.node", *[F.get("p.wide", F.lit(i)).alias(f"w{i}") for i in range(WIDE)], "p.keys"), "wide")
