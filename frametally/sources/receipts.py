@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -67,8 +68,16 @@ _KINDS = {
 _NAMES = {"null": "null", "string": "text", "text": "text", "number": "a number"}
 
 
+@lru_cache(maxsize=None)
+def _checks(kinds: str) -> tuple:
+    return tuple(_KINDS[k] for k in kinds.split())
+
+
 def _is(value: object, kinds: str) -> bool:
-    return any(_KINDS[k](value) for k in kinds.split())
+    for check in _checks(kinds):
+        if check(value):
+            return True
+    return False
 
 
 def _listed(names: list[str]) -> str:
@@ -113,7 +122,7 @@ def judged(raw: Column) -> Column:
 
     @F.arrow_udf(", ".join(f"{f.name} string" for f in kind).join(("struct<", ">")).replace(" string", ":string"))
     def judge(lines: pa.Array) -> pa.Array:
-        out = []
+        out: list[list[str | None]] = [[] for _ in kind]
         for line in lines.to_pylist():
             try:
                 entry = json.loads(line, parse_constant=_no_constant)
@@ -121,15 +130,17 @@ def judged(raw: Column) -> Column:
             except (ValueError, RecursionError, OverflowError):
                 entry, reason = None, "invalid JSON"
             got = entry if isinstance(entry, dict) else {}
-            out.append({"reason": reason} | {n: got.get(k) if isinstance(got.get(k), str) else None for n, k in _FOUND})
-        return pa.array(out, kind)
+            out[0].append(reason)
+            for column, (_, k) in zip(out[1:], _FOUND):
+                column.append(v if isinstance(v := got.get(k), str) else None)
+        return pa.StructArray.from_arrays([pa.array(column, pa.string()) for column in out], fields=list(kind))
 
     return judge(raw)
 
 
 def parse(lines: DataFrame) -> DataFrame:
     """lines (..., raw) that aren't blank, with ``reason`` (null: valid) and the fields that joins need."""
-    trimmed = lines.withColumn("raw", F.regexp_replace("raw", r"^\s+|\s+$", "")).where("raw <> ''")
+    trimmed = lines.withColumn("raw", F.btrim("raw", F.lit(" \t\n\x0b\f\r"))).where("raw <> ''")
     return trimmed.withColumn("_r", judged(F.col("raw"))).select(*lines.columns, "_r.*")
 
 
