@@ -7,6 +7,8 @@ per-window sums are shuffled.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -91,58 +93,76 @@ def laplacian(pixels: DataFrame, *keys: str, tile: int = 64, least: int = 16) ->
     return out.select(*keys, F.coalesce("tiled", "whole").alias("p95"), F.greatest(F.lit(1), "full").alias("tiles"))
 
 
-def _cosines(spark: SparkSession) -> DataFrame:
-    """(k, n, c): the 64 values of the orthonormal transform of eight samples."""
-    return spark.range(64).select(
-        F.floor(F.col("id") / 8).cast("long").alias("k"),
-        (F.col("id") % 8).alias("n"),
-        (F.cos((2 * (F.col("id") % 8) + 1) * F.floor(F.col("id") / 8) * F.lit(3.141592653589793) / 16) * F.when(F.col("id") < 8, F.sqrt(F.lit(0.125))).otherwise(0.5)).alias("c"),
-    )
+#: The orthonormal transform of eight samples: a row for each frequency.
+COSINES = np.cos((2 * np.arange(8) + 1) * np.arange(8)[:, None] * np.pi / 16) * np.where(np.arange(8) == 0, np.sqrt(0.125), 0.5)[:, None]
+
+
+def _transform(inverse: bool = False):
+    """A function of a block's 64 samples, row by row, that gives its coefficients v by v, or of those that gives the samples.
+
+    Nulls count as 0; a block of nulls only stays so.
+    """
+    left = COSINES.T if inverse else COSINES
 
+    @F.arrow_udf("array<double>")
+    def transformed(blocks: pa.Array) -> pa.Array:
+        flat = blocks.flatten()
+        empty = ~flat.is_valid().to_numpy(zero_copy_only=False).reshape(-1, 64).any(axis=1)
+        values = left @ flat.fill_null(0.0).to_numpy().reshape(-1, 8, 8) @ left.T
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(blocks) + 1, dtype=np.int32) * 64), pa.array(values.ravel(), pa.float64(), mask=np.repeat(empty, 64)))
 
-def _forward(cut: DataFrame, *keys: str) -> DataFrame:
-    """(keys, block_x, block_y, u, v, coefficient) of (keys, block_x, block_y, n, m, value) where 64 samples are there."""
-    cosines = _cosines(cut.sparkSession)
-    rows = cut.join(F.broadcast(cosines), "n").groupBy(*keys, "block_x", "block_y", "m", F.col("k").alias("u")).agg(F.sum((F.col("value") - 128) * F.col("c")).alias("s"), F.count(F.lit(1)).alias("w"))
-    table = cosines.select(F.col("k").alias("v"), F.col("n").alias("m"), F.col("c").alias("d"))
-    both = rows.where("w = 8").join(F.broadcast(table), "m").groupBy(*keys, "block_x", "block_y", "u", "v").agg(F.sum(F.col("s") * F.col("d")).alias("coefficient"), F.count(F.lit(1)).alias("h"))
-    return both.where("h = 8").drop("h")
+    return transformed
+
+
+def _gathered(rows: DataFrame, at: Column, value: Column, *by: str) -> DataFrame:
+    """(by, n, values): the number of rows, and an array of the sums of value where at is 0 to 63, null where there is none.
+
+    What a task holds is 64 sums a block, before the shuffle and after it, however many rows are made of a block elsewhere.
+    """
+    rows = rows.select(*by, at.alias("_at"), value.alias("_value"))
+    sums = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.when(F.col("_at") == i, F.col("_value"))).alias(f"_{i}") for i in range(64)])
+    return sums.select(*by, "n", F.array(*[f"_{i}" for i in range(64)]).alias("values"))
 
 
-def _inverse(blocks: DataFrame, *keys: str) -> DataFrame:
-    """(keys, block_x, block_y, n, m, value) of (keys, block_x, block_y, u, v, coefficient); missing coefficients are 0."""
-    cosines = _cosines(blocks.sparkSession)
-    table = cosines.select(F.col("k").alias("v"), F.col("n").alias("m"), F.col("c").alias("d"))
-    columns = blocks.join(F.broadcast(table), "v").groupBy(*keys, "block_x", "block_y", "u", "m").agg(F.sum(F.col("coefficient") * F.col("d")).alias("s"))
-    rows = columns.join(F.broadcast(cosines.withColumnRenamed("k", "u")), "u").groupBy(*keys, "block_x", "block_y", "n", "m")
-    return rows.agg((F.sum(F.col("s") * F.col("c")) + 128).alias("value"))
+def blocks(pixels: DataFrame, *keys: str) -> DataFrame:
+    """(keys, block_x, block_y, samples) of every full 8x8 block: its levels row by row, shifted by 128."""
+    cut = pixels.withColumns({"block_x": F.floor(F.col("x") / 8), "block_y": F.floor(F.col("y") / 8)})
+    at = F.pmod("y", F.lit(8)) * 8 + F.pmod("x", F.lit(8))
+    return _gathered(cut, at, F.col("value") - 128, *keys, "block_x", "block_y").where("n = 64").drop("n").withColumnRenamed("values", "samples")
 
 
-def _cut(pixels: DataFrame, *keys: str) -> DataFrame:
-    """Pixels as samples of blocks; dealt by block, so that no transform of a block shuffles again."""
-    cut = pixels.select(*keys, F.floor(F.col("x") / 8).alias("block_x"), F.floor(F.col("y") / 8).alias("block_y"), (F.col("x") % 8).alias("n"), (F.col("y") % 8).alias("m"), "value")
-    return cut.repartition(*keys, "block_x", "block_y")
+def coefficients(blocks: DataFrame, *keys: str, samples: str = "samples") -> DataFrame:
+    """(keys, block_x, block_y, u, v, coefficient) of blocks of samples."""
+    each = blocks.withColumn("_c", _transform()(F.col(samples))).select(*keys, "block_x", "block_y", F.posexplode("_c").alias("_at", "coefficient"))
+    return each.select(*keys, "block_x", "block_y", (F.col("_at") % 8).cast("long").alias("u"), F.expr("_at div 8").alias("v"), "coefficient")
 
 
 def dct_blocks(pixels: DataFrame, *keys: str) -> DataFrame:
-    """(keys, block_x, block_y, u, v, coefficient) of every full 8x8 block, levels shifted by 128.
+    """(keys, block_x, block_y, u, v, coefficient) of every full 8x8 block, levels shifted by 128."""
+    return coefficients(blocks(pixels, *keys), *keys)
 
-    The transform is separable: rows, then columns, each a grouped sum against
-    a cosine table of 64 rows.
-    """
-    return _forward(_cut(pixels, *keys), *keys)
+
+def _pixels(blocks: DataFrame, *keys: str) -> DataFrame:
+    """(keys, x, y, value) of blocks of samples."""
+    each = blocks.select(*keys, "block_x", "block_y", F.posexplode("samples").alias("_at", "_value"))
+    return each.select(*keys, (F.col("block_x") * 8 + F.col("_at") % 8).alias("x"), (F.col("block_y") * 8 + F.expr("_at div 8")).alias("y"), (F.col("_value") + 128).alias("value"))
 
 
 def pixels_of(blocks: DataFrame, *keys: str) -> DataFrame:
     """(keys, x, y, value) of blocks of coefficients, the inverse of :func:`dct_blocks`: a coefficient
     without a row is 0, a block without rows gives no pixels."""
-    samples = _inverse(blocks, *keys)
-    return samples.select(*keys, (F.col("block_x") * 8 + F.col("n")).alias("x"), (F.col("block_y") * 8 + F.col("m")).alias("y"), "value")
+    by = [*keys, "block_x", "block_y"]
+    whole = _gathered(blocks, F.col("v") * 8 + F.col("u"), F.col("coefficient"), *by)
+    return _pixels(whole.select(*by, _transform(inverse=True)(F.col("values")).alias("samples")), *keys)
+
+
+def _requantised(c: Column, step: Column) -> Column:
+    return step * half_up(F.round(c, 6) / step)
 
 
 def requantised(blocks: DataFrame, step: Column) -> DataFrame:
     """Blocks whose coefficients are the nearest multiples of step, a column over u and v, at least 1."""
-    return blocks.withColumn("coefficient", step * half_up(F.round("coefficient", 6) / step))
+    return blocks.withColumn("coefficient", _requantised(F.col("coefficient"), step))
 
 
 def table_step(table: Column) -> Column:
@@ -150,17 +170,33 @@ def table_step(table: Column) -> Column:
     return F.element_at(table, (F.col("v") * 8 + F.col("u") + 1).cast("int")).cast("double")
 
 
+def _tables(spark: SparkSession, steps: tuple[Column, ...]) -> DataFrame:
+    """One row of arrays of 64 (_0, _1, ...), v by v: the values of columns over u and v."""
+    cells = spark.range(64, numPartitions=1).select("id", (F.col("id") % 8).alias("u"), F.expr("id div 8").alias("v"))
+    cells = cells.select("id", *[s.cast("double").alias(f"_{i}") for i, s in enumerate(steps)])
+    return cells.agg(*[F.transform(F.array_sort(F.collect_list(F.struct("id", F.col(f"_{i}").alias("s")))), lambda c: c["s"]).alias(f"_{i}") for i in range(len(steps))])
+
+
+def encoded_blocks(blocks: DataFrame, steps: tuple[Column, ...], out: str = "samples") -> DataFrame:
+    """Blocks with the samples (in the column out) that an encode and a decode with each of steps in turn,
+    columns over u and v, leave; levels are whole and lie in 0..255 after each."""
+    columns = [F.col(c) for c in blocks.columns if c != out]
+    coded = blocks.withColumn("_samples", F.col("samples")).crossJoin(F.broadcast(_tables(blocks.sparkSession, steps)))
+    for i in range(len(steps)):
+        coded = coded.withColumn("_c", _transform()(F.col("_samples")))
+        coded = coded.withColumn("_c", F.zip_with("_c", f"_{i}", _requantised))
+        coded = coded.withColumn("_samples", _transform(inverse=True)(F.col("_c")))
+        coded = coded.withColumn("_samples", F.transform("_samples", lambda s: F.least(F.lit(255.0), F.greatest(F.lit(0.0), half_up(F.round(s + 128, 6)).cast("double"))) - 128))
+    return coded.select(*columns, F.col("_samples").alias(out))
+
+
 def encoded(pixels: DataFrame, *keys: str, steps: tuple[Column, ...]) -> DataFrame:
     """(keys, x, y, value): what is left after an encode and a decode with each of steps in turn.
 
     Values are whole and lie in 0..255 after each.  Blocks that aren't full are
     left out.  One shuffle in all, however many encodes there are.
     """
-    samples = _cut(pixels, *keys)
-    for step in steps:
-        samples = _inverse(requantised(_forward(samples, *keys), step), *keys)
-        samples = samples.withColumn("value", F.least(F.lit(255.0), F.greatest(F.lit(0.0), half_up(F.round("value", 6)).cast("double"))))
-    return samples.select(*keys, (F.col("block_x") * 8 + F.col("n")).alias("x"), (F.col("block_y") * 8 + F.col("m")).alias("y"), "value")
+    return _pixels(encoded_blocks(blocks(pixels, *keys), steps), *keys)
 
 
 def half_up(x: Column) -> Column:

@@ -16,7 +16,7 @@ _STRIPS = "SELECT CAST(e.label // 5 AS BIGINT) AS image, p.plane * 8 + p.i % 8 A
 
 
 def _strips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = view(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("plane"), F.expr("label div 5").alias("image"))
+    labels = view(spark, sf_dir, "embeddings").where("label is not null").select(F.col("vec_id").alias("plane"), F.expr("label div 5").alias("image"))
     value = F.greatest(F.lit(0), F.least(F.lit(255), F.col("value"))).cast("double")
     return view(spark, sf_dir, "planes").join(labels, "plane").select("image", (F.col("plane") * 8 + F.col("i") % 8).alias("x"), F.expr("i div 8").alias("y"), value.alias("value"))
 
@@ -58,10 +58,10 @@ _TWICE = 3
  SELECT CAST(encodes AS INT) AS encodes, image, usable, periodic, CASE WHEN usable < 3 THEN NULL WHEN periodic >= 2 THEN 2 WHEN periodic = 0 THEN 1 END AS generations FROM b""")
 def made_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Images encoded once, and those encoded with a coarser step before, told apart by their levels."""
-    strips = _strips(spark, sf_dir)
-    before = pixels.encoded(strips, "image", steps=(F.lit(float(_TWICE)),))
-    both = strips.withColumn("encodes", F.lit(1)).unionByName(before.withColumn("encodes", F.lit(2)))
-    blocks = pixels.dct_blocks(both, "encodes", "image").withColumn("coefficient", F.round("coefficient", 6))
+    made = pixels.encoded_blocks(pixels.blocks(_strips(spark, sf_dir), "image"), (F.lit(float(_TWICE)),), out="again")
+    both = F.array(*[F.struct(F.lit(i).alias("encodes"), F.col(c).alias("samples")) for i, c in ((1, "samples"), (2, "again"))])
+    each = made.select("image", "block_x", "block_y", F.inline(both))
+    blocks = pixels.coefficients(each, "encodes", "image").withColumn("coefficient", F.round("coefficient", 6))
     histogram = pixels.quantised_histogram(blocks, F.lit(1.0), "encodes", "image")
     return pixels.generations(pixels.periodicity(histogram, "encodes", "image"), "encodes", "image").drop("confidence")
 
