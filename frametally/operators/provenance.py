@@ -59,10 +59,15 @@ def measured(pixels: DataFrame, files: DataFrame, *keys: str) -> DataFrame:
     give no record.
     """
     on = list(keys)
-    opened = headers.read(files)
-    values = opened.where("luma is not null").select(*keys, F.posexplode("luma.values").alias("_at", "_step")).select(*keys, (F.col("_at") % 8).cast("long").alias("u"), F.floor(F.col("_at") / 8).alias("v"), "_step")
-    bands = measures.dct_blocks(pixels, *keys).join(values, [*keys, "u", "v"])
-    generations = measures.generations(measures.periodicity(measures.quantised_histogram(bands, F.col("_step"), *keys), *keys), *keys).select(*keys, "generations")
+    opened = headers.read(files.join(pixels.select(*keys).distinct(), on, "left_semi"))
+    # a block meets its file's table whole and is told apart afterwards: what an explode makes of arrays isn't seen in
+    # estimates of sizes, by which all coefficients of all images would be sent to the driver as a small side of the join.
+    # No table is one of nulls, whose bands have no levels: a filter on it would parse the headers of all files first
+    steps = F.coalesce("luma.values", F.array_repeat(F.lit(None).cast("int"), 64))
+    tables = opened.select(*keys, steps.alias("_steps")).hint("merge")
+    bands = measures.coefficients(measures.blocks(pixels, *keys).join(tables, on), *keys, "_steps")
+    histogram = measures.quantised_histogram(bands, measures.table_step(F.col("_steps")), *keys)
+    generations = measures.generations(measures.periodicity(histogram, *keys), *keys).select(*keys, "generations")
     seams = measures.blocking(pixels, *keys).select(*keys, F.col("combined").alias("seams"))
     sharp = measures.laplacian(resize.normalised(pixels, *keys), *keys).select(*keys, "p95")
     known = spectrum.resolution(pixels, *keys).join(seams, on).join(sharp, on, "left").join(generations, on, "left")
